@@ -75,29 +75,32 @@ def canonical_order() -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in ("Area", "Item", "Element", "Year")]
 
 
+def is_primary() -> Column:
+    """A harvested area of a single crop; a missing item or crop code does not count."""
+    return F.coalesce(
+        (F.col("Element") == AREA_HARVESTED)
+        & ~F.contains(F.col(CPC_COLUMN), F.lit(AGGREGATE_CPC_MARK))
+        & F.col("Item").isNotNull(),
+        F.lit(False),
+    )
+
+
 def primary_items(crops: DataFrame) -> DataFrame:
     """Items with a harvested area that are single crops, not groups of crops."""
-    return (
-        crops.where(
-            (F.col("Element") == AREA_HARVESTED)
-            & ~F.contains(F.col(CPC_COLUMN), F.lit(AGGREGATE_CPC_MARK))
-            & F.col("Item").isNotNull()
-        )
-        .select("Item")
-        .distinct()
-    )
+    return crops.where(is_primary()).select("Item").distinct()
 
 
 def area_table(crops: DataFrame) -> DataFrame:
     return crops.select("Area", M49_COLUMN).distinct()
 
 
-def availability(crops: DataFrame) -> DataFrame:
-    """Years on record per (Area, Item) of the primary crops.
+def availability(crops: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Years on record per (Area, Item) of the given or else the primary items.
 
     Years are made distinct before they are gathered, so an array never holds
     more entries than there are years.
     """
+    items = primary_items(crops) if items is None else items
     years = (
         crops.where(F.col("Element").isin(*CROP_ELEMENTS))
         .groupBy("Area", "Item", "Year")
@@ -107,7 +110,7 @@ def availability(crops: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("Year")).alias("Years"),
         F.bool_or("harvested").alias("harvested"),
     )
-    return index.join(primary_items(crops), "Item", "left_semi").select(
+    return index.join(items, "Item", "left_semi").select(
         "Area", "Item", "Years", "harvested"
     )
 

@@ -68,6 +68,13 @@ def _areas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _countries(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries among all areas of the dimension, for joins with the facts."""
+    areas = star.area_codes(spark, sf)
+    return geography.country_areas(geography.enrich_geography(areas, _lookup(spark, sf)))
+
+
+def _countries_on_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries among the areas that have crop observations."""
     enriched = geography.enrich_geography(_areas(spark, sf), _lookup(spark, sf))
     return geography.country_areas(enriched)
 
@@ -255,7 +262,7 @@ def domain_dimensions(spark, sf):
 
 @query
 def scope_areas(spark, sf):
-    return geography.scope_areas(_countries(spark, sf), "EUROPE", "EUROPE-1")
+    return geography.scope_areas(_countries_on_record(spark, sf), "EUROPE", "EUROPE-1")
 
 
 @query
@@ -406,7 +413,7 @@ def enriched_geography(spark, sf):
 
 @query
 def country_areas(spark, sf):
-    return _countries(spark, sf)
+    return _countries_on_record(spark, sf)
 
 
 @query
@@ -605,7 +612,7 @@ def domain_union(spark, sf):
         "PP": star.prices(spark, sf).drop("Domain"),
         "TCL": star.trade(spark, sf).drop("Months", "Domain"),
     }
-    return release.domain_union(frames)
+    return bulk.domain_union(frames)
 
 
 # ---- Exports ---------------------------------------------------------------------------

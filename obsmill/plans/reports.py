@@ -136,10 +136,10 @@ def production_share(crops: DataFrame, countries: DataFrame) -> DataFrame:
     )
     own = sum_by(in_scope(made, countries), PRODUCTION, ["Area", "Year"])
     share = safe_ratio(F.col("Value"), F.when(F.col("world_value") > 0, F.col("world_value"))) * 100
-    return (
-        own.where(F.col("Value").isNotNull())
-        .join(world, "Year", "left")
-        .withColumn("share_pct", share)
+    # The null-safe join adds no filter to one side only, so both sides can
+    # share one scan and shuffle of the facts.
+    return match_keys(own.where(F.col("Value").isNotNull()), world, ["Year"], "left").withColumn(
+        "share_pct", share
     )
 
 
@@ -284,12 +284,14 @@ def kpi_summary(
     out = out.unionByName(rows(paid, figure("producer_price", col("price"), "USD/t")))
 
     if one_area:
-        population = in_scope(recent.where(col("Year") == last), countries)
-        values = aggregate(population, indicator, ["Area", "Year"]).where(
+        # Both years are ranked and one is picked: filtering here would make a
+        # second pass over the facts out of the one that the sums already need.
+        values = aggregate(in_scope(recent, countries), indicator, ["Area", "Year"]).where(
             col("Unit") == CROP_UNITS[indicator]
         )
-        # A global maximum gives one row also when the area has no rank.
-        rank = rank_of(values, areas[0], ["Year"]).agg(F.max("rank").cast("double").alias("rank"))
+        rank = rank_of(values, areas[0], ["Year"]).agg(
+            F.max(F.when(col("Year") == last, col("rank"))).cast("double").alias("rank")
+        )
     else:
         rank = sums.select(F.lit(None).cast("double").alias("rank"))
     return out.unionByName(rows(rank, figure("world_rank", col("rank"), "rank")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.schema import require_columns, typed
+from obsmill.schema import DOMAINS, require_columns, typed
 
 # Quotes inside a quoted cell are doubled, as spreadsheets and databases write them.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -51,6 +54,20 @@ def load_bulk(spark: SparkSession, folder: str) -> DataFrame:
     return typed(read_bulk(spark, find_normalized(spark, folder)))
 
 
+def load_domains(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
+    """The bulk CSV of each domain code in one frame with a Domain column."""
+    unknown = set(folders) - set(DOMAINS)
+    if unknown:
+        raise ValueError(f"unknown domains {sorted(unknown)}")
+    return domain_union({code: load_bulk(spark, folder) for code, folder in folders.items()})
+
+
+def domain_union(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """All domains in one frame; a column one domain lacks is null there."""
+    tagged = [f.withColumn("Domain", F.lit(code)) for code, f in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
 def write_bulk(df: DataFrame, folder: str, name: str) -> str:
     """Writes a frame as a normalised bulk CSV that `load_bulk` reads back."""
     path = f"{folder}/{name}_Normalized.csv"

@@ -35,10 +35,15 @@ def write_csv(df: DataFrame, path: str, byte_order_mark: bool = True) -> None:
 
 
 def write_sheets(df: DataFrame, path: str, limit: int = SHEET_ROWS) -> None:
-    """One folder per domain, in canonical order, no file longer than a sheet."""
+    """One folder per domain, in canonical order, no file longer than a sheet.
+
+    The whole row takes part in the range key, so equal keys spread over tasks.
+    """
     (
         safe_cells(df)
-        .repartitionByRange("Domain", "Area", "Item", "Element", "Year")
+        .repartitionByRange(
+            "Domain", "Area", "Item", "Element", "Year", F.xxhash64(*[f"`{c}`" for c in df.columns])
+        )
         .sortWithinPartitions("Domain", *canonical_order())
         .write.option("maxRecordsPerFile", limit)
         .options(header=True, nullValue="", emptyValue="", quote='"', escape='"')

@@ -11,16 +11,16 @@ import time
 import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.operators.selection import area_table, availability, primary_items
+from obsmill.operators.selection import availability, is_primary, primary_items
 from obsmill.schema import (
     ANNUAL,
     CROP_ELEMENTS,
     DOMAINS,
+    M49_COLUMN,
     MONTHS_COLUMN,
     PRICE_ELEMENT,
     SCHEMA_VERSION,
@@ -28,6 +28,7 @@ from obsmill.schema import (
     empty_like,
     require_columns,
 )
+from obsmill.sources.catalog import stale_domains
 
 LOG_SCHEMA = "sequence long, release string, schema_version int, published_at double"
 
@@ -42,9 +43,10 @@ def domain_condition() -> Column:
     )
 
 
-def release_rows(observations: DataFrame) -> DataFrame:
-    """The observations of the primary crops that belong in a release."""
-    items = primary_items(observations.where(F.col("Domain") == "QCL"))
+def release_rows(observations: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The observations of the given or else the primary items that belong in a release."""
+    if items is None:
+        items = primary_items(observations.where(F.col("Domain") == "QCL"))
     return observations.where(domain_condition()).join(items, "Item", "left_semi").select(
         *observations.columns
     )
@@ -171,18 +173,29 @@ class ReleaseStore:
         return entry.release
 
     def stage(self, observations: DataFrame, metadata: DataFrame) -> str:
-        """Writes a release that is not visible to readers yet and checks it."""
+        """Writes a release that is not visible to readers yet and checks it.
+
+        The source is read once for the dimensions and once for the rows; all
+        other tables come from what was written.
+        """
         release = "release-" + uuid.uuid4().hex[:12]
-        write_rows(release_rows(require_columns(observations)), self.path(release, "observations"))
-        crops = observations.where(F.col("Domain") == "QCL")
-        for table, frame in {
-            "areas": area_table(crops),
-            "items": primary_items(crops),
-            "availability": availability(crops),
-            "domains": metadata,
-            "manifest": manifest(self._table(release, "observations")),
-        }.items():
-            frame.write.option("compression", "zstd").parquet(self.path(release, table))
+        members = (
+            require_columns(observations)
+            .where(F.col("Domain") == "QCL")
+            .groupBy("Area", M49_COLUMN, "Item")
+            .agg(F.bool_or(is_primary()).alias("primary"))
+        )
+        self._write(release, "members", members)
+        members = self._table(release, "members")
+        self._write(release, "areas", members.select("Area", M49_COLUMN).distinct())
+        self._write(release, "items", members.where("primary").select("Item").distinct())
+        items = self._table(release, "items")
+
+        write_rows(release_rows(observations, items), self.path(release, "observations"))
+        rows = self._table(release, "observations")
+        self._write(release, "availability", availability(rows.where("Domain = 'QCL'"), items))
+        self._write(release, "domains", metadata)
+        self._write(release, "manifest", manifest(rows))
         if self._table(release, "manifest").isEmpty():
             raise ValueError("a release without rows is not published")
         if not self.mismatches(release).isEmpty():
@@ -199,8 +212,10 @@ class ReleaseStore:
         )
         return release
 
-    def ensure(self, build: Callable[[], tuple[DataFrame, DataFrame]], updated: str | None = None) -> str:
-        """The current release if it is whole and up to date, else a new one.
+    def ensure(
+        self, build: Callable[[], tuple[DataFrame, DataFrame]], catalog: DataFrame | None = None
+    ) -> str:
+        """The current release if it is whole and, given a catalog, up to date; else a new one.
 
         When building fails an intact older release stays in use, with a warning.
         """
@@ -208,7 +223,7 @@ class ReleaseStore:
         if held is not None:
             try:
                 self.open(held)
-                if updated is not None and updated in self._updates(held):
+                if catalog is None or not self._stale(held, catalog):
                     return held
             except Exception as problem:
                 warnings.warn(f"{held} is damaged and will be rebuilt: {problem}")
@@ -221,9 +236,11 @@ class ReleaseStore:
             warnings.warn(f"update failed, {held} stays in use: {problem}")
             return held
 
-    def _updates(self, release: str) -> list[str]:
-        # One row per domain.
-        return [r.updated for r in self._table(release, "domains").select("updated").collect()]
+    def _stale(self, release: str, catalog: DataFrame) -> bool:
+        return not stale_domains(catalog, self._table(release, "domains")).where("stale").isEmpty()
+
+    def _write(self, release: str, table: str, frame: DataFrame) -> None:
+        frame.write.option("compression", "zstd").parquet(self.path(release, table))
 
     def _table(self, release: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(release, table))
@@ -279,8 +296,3 @@ class DomainFrames(Mapping):
                 self._frames[code] = empty_like(self._frames["QCL"])
         return self._frames[code]
 
-
-def domain_union(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """All domains in one frame; a column one domain lacks is null there."""
-    tagged = [f.withColumn("Domain", F.lit(code)) for code, f in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

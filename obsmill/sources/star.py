@@ -46,8 +46,33 @@ COLUMNS = (
 )
 
 
+# The schemas of the star tables.  Given to the reader, so that
+# opening a table starts no job to read file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hundredths(name: str) -> Column:
@@ -96,11 +121,13 @@ def _observation(element: str, unit: Column | str, value: Column, kept: Column |
     return row if kept is None else F.when(kept, row)
 
 
+def _area_code(nk: Column) -> Column:
+    return F.concat(F.lit("'"), F.lpad((nk + 100).cast("string"), 3, "0"))
+
+
 def _finish(cells: DataFrame, domain: str, rows: Iterable[Column], months: Column) -> DataFrame:
     """One cell to its observations; nk -1 is the World row."""
-    code = F.when(F.col("nk") < 0, F.lit("'001")).otherwise(
-        F.concat(F.lit("'"), F.lpad((F.col("nk") + 100).cast("string"), 3, "0"))
-    )
+    code = F.when(F.col("nk") < 0, F.lit("'001")).otherwise(_area_code(F.col("nk")))
     cpc = F.when(F.col("Item") == "PROMO", F.lit("'F1")).otherwise(
         F.concat(F.lit("'01"), F.substring("Item", 1, 1))
     )
@@ -257,6 +284,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def area_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All areas with their codes, from the nation dimension instead of the facts."""
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("Area"), _area_code(F.col("n_nationkey")).alias(M49_COLUMN)
+    )
+
+
 def geography_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw geography rows of the nations, with the flaws a lookup has to settle."""
     nation = table(spark, sf_dir, "nation")
