@@ -21,6 +21,7 @@ from obsmill.schema import (
     bad_cells,
     typed,
 )
+from obsmill.session import sound_unions, union_all
 from obsmill.sources import bulk, catalog, export, release, star
 from obsmill.sources.workspace import new_folder
 
@@ -46,8 +47,12 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    _REGISTRY[function.__name__] = function
-    return function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sound_unions(spark)
+        return function(spark, sf_dir)
+
+    _REGISTRY[function.__name__] = run
+    return run
 
 
 def registry() -> dict[str, Query]:
@@ -300,7 +305,7 @@ def duplicate_observations(spark, sf):
     rows = _crops(spark, sf)
     # A second source that reports the same yields in kg/ha.
     second = measures.normalize_yields(rows.where(F.col("Element") == YIELD))
-    return measures.duplicate_observations(rows.unionByName(second))
+    return measures.duplicate_observations(union_all(rows, second))
 
 
 @query
@@ -580,8 +585,7 @@ def missing_items(spark, sf):
 def missing_items_by_domain(spark, sf):
     requested = selection.primary_items(star.crops(spark, sf))
     facts = (
-        star.trade(spark, sf, [IMPORT_VALUE])
-        .unionByName(selection.annual_only(star.prices(spark, sf)))
+        union_all(star.trade(spark, sf, [IMPORT_VALUE]), selection.annual_only(star.prices(spark, sf)))
         .where("Area = 'NATION_5'")
     )
     return reports.missing_items_by_domain(requested, facts, ["TCL", "PP"])

@@ -34,6 +34,7 @@ from obsmill.schema import (
     WORLD,
     YIELD,
 )
+from obsmill.session import union_all
 
 # ---- Series ------------------------------------------------------------------
 
@@ -101,7 +102,7 @@ def trade_series(trade: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
     crowded = [r.Element for r in series_guard(flows).collect() if r.n_series > limit]
     many = F.col("Element").isin(crowded)
     detail = series_rows(flows.where(~many))
-    return detail.unionByName(_as_series(trade_by_item(flows.where(many))))
+    return union_all(detail, _as_series(trade_by_item(flows.where(many))))
 
 
 def price_series(prices: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def country_comparison(crops: DataFrame) -> DataFrame:
         )
         for e in CROP_ELEMENTS
     ]
-    return reduce(DataFrame.unionByName, each).where(F.col("Value").isNotNull())
+    return union_all(*each).where(F.col("Value").isNotNull())
 
 
 def crop_comparison(crops: DataFrame, indicator: str) -> DataFrame:
@@ -274,14 +275,14 @@ def kpi_summary(
         F.max(F.when(col("Year") == last, col("Value"))).alias("y"),
         F.max(F.when(col("Year") == F.lit(before).cast("int"), col("Value"))).alias("y_before"),
     )
-    out = out.unionByName(rows(yields, figure("yield", col("y"), "kg/ha", col("y_before"))))
+    out = union_all(out, rows(yields, figure("yield", col("y"), "kg/ha", col("y_before"))))
 
     one_area = len(areas) == 1
     if one_area and len(items) == 1:
         paid = kpi_price(apply_selection(prices, Selection(areas, items, None, (last, last))))
     else:
         paid = sums.select(F.lit(None).cast("double").alias("price"))
-    out = out.unionByName(rows(paid, figure("producer_price", col("price"), "USD/t")))
+    out = union_all(out, rows(paid, figure("producer_price", col("price"), "USD/t")))
 
     if one_area:
         # Both years are ranked and one is picked: filtering here would make a
@@ -294,7 +295,7 @@ def kpi_summary(
         )
     else:
         rank = sums.select(F.lit(None).cast("double").alias("rank"))
-    return out.unionByName(rows(rank, figure("world_rank", col("rank"), "rank")))
+    return union_all(out, rows(rank, figure("world_rank", col("rank"), "rank")))
 
 
 # ---- Questions answered by rules ---------------------------------------------------
@@ -363,7 +364,7 @@ def rule_answers(crops: DataFrame, indicator: str, year: int) -> DataFrame:
             )
         )
         out.append(answer(crops.agg(F.count("*").alias("n")), "count", e, n_rows=col("n")))
-    return reduce(DataFrame.unionByName, out)
+    return union_all(*out)
 
 
 def answered_questions(

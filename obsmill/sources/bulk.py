@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.schema import DOMAINS, require_columns, typed
+from obsmill.session import union_all
 
 # Quotes inside a quoted cell are doubled, as spreadsheets and databases write them.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -65,7 +65,7 @@ def load_domains(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
 def domain_union(frames: Mapping[str, DataFrame]) -> DataFrame:
     """All domains in one frame; a column one domain lacks is null there."""
     tagged = [f.withColumn("Domain", F.lit(code)) for code, f in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return union_all(*tagged, allow_missing=True)
 
 
 def write_bulk(df: DataFrame, folder: str, name: str) -> str:

@@ -28,6 +28,7 @@ from obsmill.schema import (
     empty_like,
     require_columns,
 )
+from obsmill.session import sound_unions, union_all
 from obsmill.sources.catalog import stale_domains
 
 LOG_SCHEMA = "sequence long, release string, schema_version int, published_at double"
@@ -64,6 +65,7 @@ def manifest(rows: DataFrame) -> DataFrame:
     The fingerprint is a sum of row hashes: it does not depend on order or
     files, and unlike an exclusive or it notices duplicated rows.
     """
+    sound_unions(rows.sparkSession)
     columns = sorted(rows.columns)
     return (
         rows.withColumn("_h", _row_hash(columns).cast("decimal(20,0)"))
@@ -104,7 +106,7 @@ def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     positive `surplus` counts copies only `left` has, negative only `right`.
     """
     columns = [f"`{c}`" for c in left.columns]
-    tagged = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    tagged = union_all(left.withColumn("_n", F.lit(1)), right.withColumn("_n", F.lit(-1)))
     return (
         tagged.groupBy(*columns).agg(F.sum("_n").alias("surplus")).where(F.col("surplus") != 0)
     )
@@ -113,8 +115,9 @@ def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 def parity(left: DataFrame, right: DataFrame, by: str = "Domain") -> DataFrame:
     """Per domain: rows of each side and rows only one side has."""
     columns = [f"`{c}`" for c in left.columns]
-    tagged = left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}).unionByName(
-        right.withColumns({"_l": F.lit(0), "_r": F.lit(1)})
+    tagged = union_all(
+        left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}),
+        right.withColumns({"_l": F.lit(0), "_r": F.lit(1)}),
     )
     per_row = tagged.groupBy(*columns).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
     surplus = F.col("l") - F.col("r")
@@ -146,6 +149,7 @@ class ReleaseStore:
     """Releases below one root folder that all executors can reach."""
 
     def __init__(self, spark: SparkSession, root: str):
+        sound_unions(spark)
         self.spark = spark
         self.root = root.rstrip("/")
         self._log = f"{self.root}/published"
@@ -190,14 +194,14 @@ class ReleaseStore:
         self._write(release, "areas", members.select("Area", M49_COLUMN).distinct())
         self._write(release, "items", members.where("primary").select("Item").distinct())
         items = self._table(release, "items")
+        if items.isEmpty():
+            raise ValueError("a release without rows is not published")
 
         write_rows(release_rows(observations, items), self.path(release, "observations"))
         rows = self._table(release, "observations")
         self._write(release, "availability", availability(rows.where("Domain = 'QCL'"), items))
         self._write(release, "domains", metadata)
         self._write(release, "manifest", manifest(rows))
-        if self._table(release, "manifest").isEmpty():
-            raise ValueError("a release without rows is not published")
         if not self.mismatches(release).isEmpty():
             raise ValueError(f"{release} does not match its own manifest")
         return release

@@ -31,6 +31,7 @@ from obsmill.schema import (
     WORLD,
     YIELD,
 )
+from obsmill.session import union_all
 
 COLUMNS = (
     "Domain",
@@ -277,11 +278,7 @@ def trade(
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three domains in one frame; a filter on Domain drops the other branches."""
-    return (
-        crops(spark, sf_dir)
-        .unionByName(prices(spark, sf_dir))
-        .unionByName(trade(spark, sf_dir))
-    )
+    return union_all(crops(spark, sf_dir), prices(spark, sf_dir), trade(spark, sf_dir))
 
 
 def area_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,4 +308,4 @@ def geography_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     codeless = known.where(F.col("UNcode") == 101).withColumns(
         {"UNcode": F.lit(None).cast("int"), "ISO3": F.lit("NIL")}
     )
-    return known.unionByName(twice).unionByName(codeless)
+    return union_all(known, twice, codeless)
