@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsmill.functions.values import exact_sum, value_ladder
+from obsmill.functions.values import EXACT, exact_sum, value_ladder
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -19,16 +19,33 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def with_rank(df: DataFrame, by: Sequence[str], value: str = "Value") -> DataFrame:
+# Groups up to this size are ranked in one task.
+SMALL_GROUP = 100_000
+
+
+def is_small(population: DataFrame) -> bool:
+    """Whether a frame has at most SMALL_GROUP rows; counts no further than that."""
+    return population.limit(SMALL_GROUP + 1).count() <= SMALL_GROUP
+
+
+def with_rank(
+    df: DataFrame, by: Sequence[str], value: str = "Value", small: bool = False
+) -> DataFrame:
     """Adds `rank`: ties share a position and the next one skips; nulls are dropped.
 
     Equal values are counted first, then the rank is the number of rows in
     higher buckets, added up over two nested order-keeping buckets of the value
     and the value itself.  Every window below therefore runs over a group of
     bounded size, however many rows one group of `by` has.
+
+    `small` promises that no group exceeds SMALL_GROUP rows; then one plain
+    window does it.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
+    if small:
+        order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col(value).desc())
+        return rows.withColumn("rank", F.rank().over(order).cast("bigint"))
     if not by:
         rows, by = rows.withColumn("_all", F.lit(1)), ["_all"]
     coarse, fine = value_ladder(F.col(value))
@@ -58,9 +75,15 @@ def with_rank(df: DataFrame, by: Sequence[str], value: str = "Value") -> DataFra
     return match_keys(rows, ranks, [*by, value]).drop("_all")
 
 
-def with_share(df: DataFrame, by: Sequence[str], value: str = "Value") -> DataFrame:
+def with_share(
+    df: DataFrame, by: Sequence[str], value: str = "Value", small: bool = False
+) -> DataFrame:
     """Adds `share_pct` of the group total; null when the total is missing or not positive."""
     by = list(by)
+    if small:
+        group = Window.partitionBy(*(by or [F.lit(1)]))
+        total = F.sum(F.col(value).cast(EXACT)).over(group).cast("double")
+        return df.withColumn("share_pct", F.when(total > 0, F.col(value) / total * 100))
     if not by:
         df, by = df.withColumn("_all", F.lit(1)), ["_all"]
     totals = df.groupBy(*by).agg(exact_sum(F.col(value)).alias("_total"))
@@ -68,10 +91,10 @@ def with_share(df: DataFrame, by: Sequence[str], value: str = "Value") -> DataFr
     return match_keys(df, totals, by).withColumn("share_pct", share).drop("_total", "_all")
 
 
-def shares_and_ranks(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def shares_and_ranks(df: DataFrame, by: Sequence[str], small: bool = False) -> DataFrame:
     """Rank and share of every row within its group, over the whole population."""
     present = df.where(F.col("Value").isNotNull())
-    return with_share(with_rank(present, by), by)
+    return with_share(with_rank(present, by, small=small), by, small=small)
 
 
 def top_rows(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
@@ -92,14 +115,19 @@ def top_rows(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return first.withColumn("rank", rank.cast("bigint")).drop("_position")
 
 
-def top_area(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Area with the greatest value per group; equal values go to the first Area."""
-    best = F.min(F.struct((-F.col("Value")).alias("v"), F.col("Area").alias("a")))
+def top_area(df: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Area with the greatest value per group, and the columns to keep of its row.
+
+    Equal values go to the first Area.
+    """
+    best = F.min(F.struct((-F.col("Value")).alias("v"), "Area", *keep))
     return (
         df.where(F.col("Value").isNotNull())
         .groupBy(*by)
         .agg(best.alias("_best"))
-        .select(*by, F.col("_best.a").alias("Area"), (-F.col("_best.v")).alias("Value"))
+        .select(
+            *by, "_best.Area", (-F.col("_best.v")).alias("Value"), *[f"_best.{c}" for c in keep]
+        )
     )
 
 

@@ -120,6 +120,11 @@ def available_items(index: DataFrame, areas: Sequence[str] | None = None) -> Dat
     return _among(index.where("harvested"), "Area", areas).select("Item").distinct()
 
 
+def items_with_rows(df: DataFrame) -> DataFrame:
+    """Items offered for a domain that has no harvested areas: those with any row."""
+    return df.where(F.col("Item").isNotNull()).select("Item").distinct()
+
+
 def available_years(
     index: DataFrame, areas: Sequence[str] | None = None, items: Sequence[str] | None = None
 ) -> DataFrame:

@@ -331,7 +331,7 @@ def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
 
     # Ingest, catalog, release
-    q["ingest_csv"] = q["typed_observations"] = _sql(f"SELECT {_ALL} FROM obs", "obs")
+    q["ingest_csv"] = q["domain_store"] = q["typed_observations"] = _sql(f"SELECT {_ALL} FROM obs", "obs")
     q["bad_value_report"] = """
         SELECT doc_id, 'Year' AS bad_column, CAST(n_chars AS VARCHAR) AS bad_cell FROM documents
         WHERE n_chars IS NOT NULL AND TRY_CAST(CAST(n_chars AS VARCHAR) AS INTEGER) IS NULL
@@ -388,6 +388,7 @@ def oracle() -> dict[str, str]:
     q["available_items"] = _sql(
         f"SELECT DISTINCT Item FROM avail WHERE harvested AND Area IN {_AREAS}", "avail"
     )
+    q["items_with_rows"] = _sql("SELECT DISTINCT Item FROM rel WHERE Domain = 'TCL'", "rel")
     q["available_years"] = _sql(
         f"""SELECT DISTINCT "Year" FROM qcl WHERE Area IN ('NATION_3','NATION_8') AND Item IN {_ITEMS}
             AND Item IN (SELECT Item FROM items)""", "items"

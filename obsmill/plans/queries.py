@@ -22,7 +22,7 @@ from obsmill.schema import (
     typed,
 )
 from obsmill.session import sound_unions, union_all
-from obsmill.sources import bulk, catalog, export, release, star
+from obsmill.sources import bulk, catalog, domains, export, release, star
 from obsmill.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,18 @@ def ingest_csv(spark, sf):
     return bulk.load_bulk(spark, folder)
 
 
+@query
+def domain_store(spark, sf):
+    """Each domain written as bulk CSV, loaded, typed, versioned and read back."""
+    store = domains.DomainStore(spark, new_folder(spark, "domains"))
+    loaders = {"QCL": star.crops, "PP": star.prices, "TCL": star.trade}
+    for code, rows in loaders.items():
+        folder = new_folder(spark, code)
+        bulk.write_bulk(rows(spark, sf).drop("Domain"), folder, code)
+        store.ensure({"code": code, "name": f"Domain {code}", "updated": "2001-12-31"}, folder)
+    return store.observations()
+
+
 @query
 def typed_observations(spark, sf):
     rows = star.observations(spark, sf)
@@ -247,6 +259,11 @@ def available_items(spark, sf):
     return selection.available_items(selection.availability(star.crops(spark, sf)), AREAS)
 
 
+@query
+def items_with_rows(spark, sf):
+    return selection.items_with_rows(release.release_rows(star.observations(spark, sf)).where("Domain = 'TCL'"))
+
+
 @query
 def available_years(spark, sf):
     return selection.available_years(
@@ -449,7 +466,8 @@ def rank_all_years(spark, sf):
 def scope_ranking(spark, sf):
     chosen = selection.apply_selection(_crops(spark, sf, PRODUCTION), _chosen(PRODUCTION))
     latest = measures.aggregate(chosen.where(F.col("Year") == YEAR), PRODUCTION, ["Area", "Year"])
-    return ranking.with_rank(latest, ["Year", "Unit"])
+    # One row per chosen area: as many as there are literals.
+    return ranking.with_rank(latest, ["Year", "Unit"], small=True)
 
 
 @query
@@ -544,7 +562,7 @@ def history_series_rollup(spark, sf):
 def kpi_summary(spark, sf):
     return reports.kpi_summary(
         star.crops(spark, sf),
-        selection.annual_only(star.prices(spark, sf)),
+        star.prices(spark, sf),
         _countries(spark, sf),
         [KPI_AREA],
         [KPI_ITEM],
@@ -556,7 +574,7 @@ def kpi_summary(spark, sf):
 def kpi_summary_scope(spark, sf):
     return reports.kpi_summary(
         star.crops(spark, sf),
-        selection.annual_only(star.prices(spark, sf)),
+        star.prices(spark, sf),
         _countries(spark, sf),
         AREAS,
         ITEMS,

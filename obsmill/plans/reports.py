@@ -14,14 +14,14 @@ from obsmill.operators.change import period_change
 from obsmill.operators.geography import in_scope
 from obsmill.operators.measures import aggregate, normalize_yields, sum_by, weighted_yield
 from obsmill.operators.ranking import (
+    is_small,
     match_keys,
     rank_of,
     shares_and_ranks,
     top_area,
     top_rows,
-    with_share,
 )
-from obsmill.operators.selection import Selection, apply_selection
+from obsmill.operators.selection import Selection, select_observations
 from obsmill.operators.trade import trade_by_item
 from obsmill.schema import (
     AGGREGATE_FLAG,
@@ -29,6 +29,7 @@ from obsmill.schema import (
     CROP_ELEMENTS,
     CROP_UNITS,
     MAX_SERIES,
+    PRICE_ELEMENT,
     PRODUCTION,
     TRADE_ELEMENTS,
     WORLD,
@@ -116,13 +117,18 @@ def price_series(prices: DataFrame) -> DataFrame:
 def world_ranking(
     crops: DataFrame, countries: DataFrame, indicator: str, years: tuple[int, int], scope: Sequence[str]
 ) -> DataFrame:
-    """All countries ranked per year in the indicator's unit, the selected ones marked."""
+    """All countries ranked per year in the indicator's unit, the selected ones marked.
+
+    A year and unit has at most one row per country, so the number of countries
+    tells whether the plain ranking is safe.
+    """
     population = in_scope(crops.where(F.col("Year").between(*years)), countries)
     ranked = shares_and_ranks(
         aggregate(population, indicator, ["Area", "Year"]).where(
             F.col("Unit") == CROP_UNITS[indicator]
         ),
         ["Year", "Unit"],
+        small=is_small(countries),
     )
     return ranked.withColumn("in_selection", F.coalesce(F.col("Area").isin(list(scope)), F.lit(False)))
 
@@ -279,7 +285,8 @@ def kpi_summary(
 
     one_area = len(areas) == 1
     if one_area and len(items) == 1:
-        paid = kpi_price(apply_selection(prices, Selection(areas, items, None, (last, last))))
+        annual = Selection(areas, items, [PRICE_ELEMENT], (last, last))
+        paid = kpi_price(select_observations(prices, "PP", annual))
     else:
         paid = sums.select(F.lit(None).cast("double").alias("price"))
     out = union_all(out, rows(paid, figure("producer_price", col("price"), "USD/t")))
@@ -326,45 +333,54 @@ def question_intents(questions: DataFrame, text: str, indicator: str) -> DataFra
     )
 
 
-ANSWER_COLUMNS = (
-    "intent", "element", "answer_area", "answer_value", "answer_unit", "from_year", "to_year", "change_pct", "n_rows",
-)
+ANSWERS = {
+    "answer_area": "string",
+    "answer_value": "double",
+    "answer_unit": "string",
+    "from_year": "int",
+    "to_year": "int",
+    "change_pct": "double",
+    "n_rows": "bigint",
+}
 
 
 def rule_answers(crops: DataFrame, indicator: str, year: int) -> DataFrame:
     """One row per (intent, element): the answers questions can have over a selection."""
+    elements = list(dict.fromkeys([PRODUCTION, YIELD, indicator]))
+    summed = [e for e in elements if e != YIELD]
 
-    def answer(df: DataFrame, intent: str, element: str, **given: Column | str) -> DataFrame:
-        kinds = {
-            "answer_area": "string", "answer_value": "double", "answer_unit": "string",
-            "from_year": "int", "to_year": "int", "change_pct": "double", "n_rows": "bigint",
-        }
-        values = [
+    def values(df: DataFrame, groups: list[str]) -> DataFrame:
+        sums = (
+            df.where(F.col("Element").isin(summed))
+            .groupBy("Element", *groups, "Unit")
+            .agg(exact_sum(F.col("Value")).alias("Value"))
+        )
+        return union_all(sums, weighted_yield(df, groups).withColumn("Element", F.lit(YIELD)))
+
+    def answers(df: DataFrame, intent: str, **given: Column) -> DataFrame:
+        columns = [
             (given[name] if name in given else F.lit(None)).cast(kind).alias(name)
-            for name, kind in kinds.items()
+            for name, kind in ANSWERS.items()
         ]
-        return df.select(F.lit(intent).alias("intent"), F.lit(element).alias("element"), *values)
+        return df.select(F.lit(intent).alias("intent"), "Element", *columns)
 
-    elements = list(dict.fromkeys([PRODUCTION, YIELD, indicator]))
     col = F.col
-    out = []
-    for e in elements:
-        changes = period_change(aggregate(crops, e, ["Year"]), [])
-        out.append(
-            answer(
-                changes.where(col("change_pct").isNotNull()), "growth", e,
-                from_year=col("first_year"), to_year=col("last_year"), change_pct=col("change_pct"),
-            )
-        )
-        latest = aggregate(crops.where(col("Year") == year), e, ["Area", "Year"])
-        out.append(
-            answer(
-                top_rows(latest, ["Year"], 1), "top", e,
-                answer_area=col("Area"), answer_value=col("Value"), answer_unit=col("Unit"), to_year=col("Year"),
-            )
-        )
-        out.append(answer(crops.agg(F.count("*").alias("n")), "count", e, n_rows=col("n")))
-    return union_all(*out)
+    changes = period_change(values(crops, ["Year"]), ["Element"])
+    growth = answers(
+        changes.where(col("change_pct").isNotNull()), "growth",
+        from_year=col("first_year"), to_year=col("last_year"), change_pct=col("change_pct"),
+    )
+    latest = values(crops.where(col("Year") == year), ["Area", "Year"])
+    top = answers(
+        top_area(latest, ["Element", "Year"], keep=["Unit"]), "top",
+        answer_area=col("Area"), answer_value=col("Value"), answer_unit=col("Unit"), to_year=col("Year"),
+    )
+    size = crops.agg(F.count("*").alias("n")).withColumn(
+        "Element", F.explode(F.array(*[F.lit(e) for e in elements]))
+    )
+    return union_all(growth, top, answers(size, "count", n_rows=col("n"))).withColumnRenamed(
+        "Element", "element"
+    )
 
 
 def answered_questions(

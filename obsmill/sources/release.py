@@ -30,6 +30,7 @@ from obsmill.schema import (
 )
 from obsmill.session import sound_unions, union_all
 from obsmill.sources.catalog import stale_domains
+from obsmill.sources.log import PublishLog
 
 LOG_SCHEMA = "sequence long, release string, schema_version int, published_at double"
 
@@ -152,24 +153,14 @@ class ReleaseStore:
         sound_unions(spark)
         self.spark = spark
         self.root = root.rstrip("/")
-        self._log = f"{self.root}/published"
+        self._log = PublishLog(spark, f"{self.root}/published", LOG_SCHEMA)
 
     def path(self, release: str, table: str) -> str:
         return f"{self.root}/releases/{release}/{table}"
 
-    def _entry(self):
-        try:
-            log = self.spark.read.schema(LOG_SCHEMA).json(self._log)
-            newest = [F.desc(c) for c in ("sequence", "published_at", "release")]
-            return log.orderBy(*newest).limit(1).first()
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return None
-            raise
-
     def current(self) -> str | None:
         """The published release, or None; an unknown layout version is an error."""
-        entry = self._entry()
+        entry = self._log.newest()
         if entry is None:
             return None
         if entry.schema_version != SCHEMA_VERSION:
@@ -208,11 +199,8 @@ class ReleaseStore:
 
     def publish(self, observations: DataFrame, metadata: DataFrame) -> str:
         release = self.stage(observations, metadata)
-        entry = self._entry()
-        row = (0 if entry is None else entry.sequence + 1, release, SCHEMA_VERSION, time.time())
-        # One small file: it is either there or not, so the switch is atomic.
-        self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").json(
-            self._log
+        self._log.append(
+            release=release, schema_version=SCHEMA_VERSION, published_at=time.time()
         )
         return release
 

@@ -10,7 +10,8 @@ def countries(spark, *names):
 
 
 def prices(observe, n=1):
-    return observe([("A", "Crop", 2024, "Producer Price (USD/tonne)", "USD", 5601.5)] * n)
+    rows = [("A", "Crop", 2024, "Producer Price (USD/tonne)", "USD", 5601.5)] * n
+    return observe(rows).withColumn("Months", F.lit("Annual value"))
 
 
 def history(observe):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsmill.schema import M49_COLUMN
-from obsmill.sources import bulk, catalog, export, release
+from obsmill.sources import bulk, catalog, domains, export, release
 from obsmill.sources.workspace import new_folder, shared_folder
 
 HEADER = "Area,Item,Element,Year,Unit,Value,Note\n"
@@ -66,6 +66,68 @@ def test_domains_load_into_one_frame(spark, tmp_path):
         bulk.load_domains(spark, {"XX": str(tmp_path)})
 
 
+# ---- Domain store --------------------------------------------------------------------
+
+META = {"code": "QCL", "name": "n", "updated": "2024", "url": "u", "source": "s"}
+LINE = "Test,Test,Production,2024,t,{},\n"
+
+
+@pytest.fixture
+def domain_store(spark):
+    return domains.DomainStore(spark, new_folder(spark, "domains"))
+
+
+def csv(tmp_path, value, name="a"):
+    put(tmp_path / name / "test_Normalized.csv", HEADER + LINE.format(value))
+    return str(tmp_path / name)
+
+
+def test_versions_of_a_domain(domain_store, tmp_path):
+    first = domain_store.ensure(META, csv(tmp_path, 12))
+    assert domain_store.open("QCL").first().Value == 12.0
+    assert domain_store.ensure(META, csv(tmp_path, 13, "unused")) == first
+    newer = {**META, "updated": "2025"}
+    assert domain_store.ensure(newer, csv(tmp_path, 25, "b")) != first
+    assert domain_store.open("QCL").first().Value == 25.0
+    assert [(r.updated, r.rows) for r in domain_store.metadata().collect()] == [("2025", 1)]
+    assert [r.Domain for r in domain_store.observations().collect()] == ["QCL"]
+
+
+def test_a_failed_load_keeps_the_old_version(domain_store, tmp_path):
+    for value in ("INVALID", None):
+        folder = csv(tmp_path, value) if value else str(tmp_path)
+        with pytest.raises(ValueError, match="cannot be loaded"):
+            domain_store.ensure(META, folder)
+    assert domain_store.record("QCL") is None
+    first = domain_store.ensure(META, csv(tmp_path, 12, "good"))
+    with pytest.warns(UserWarning, match="stays in use"):
+        assert domain_store.ensure({**META, "updated": "2025"}, csv(tmp_path, "INVALID", "bad")) == first
+    assert domain_store.record("QCL").updated == "2024"
+
+
+def test_an_empty_bulk_file_is_an_error(domain_store, tmp_path):
+    put(tmp_path / "e" / "normalized.csv", HEADER)
+    with pytest.raises(ValueError, match="empty"):
+        domain_store.load(META, str(tmp_path / "e"))
+
+
+def test_a_damaged_version_is_loaded_again(spark, domain_store, tmp_path, sample):
+    first = domain_store.ensure(META, csv(tmp_path, 12))
+    sample.drop("Value").write.mode("overwrite").parquet(f"{domain_store.root}/QCL/{first}")
+    with pytest.warns(UserWarning, match="damaged"):
+        assert domain_store.ensure(META, csv(tmp_path, 20, "b")) != first
+    assert domain_store.open("QCL").first().Value == 20.0
+
+
+def test_unknown_and_unloaded_domains(domain_store):
+    with pytest.raises(ValueError, match="unknown"):
+        domain_store.open("XX")
+    with pytest.raises(ValueError, match="never"):
+        domain_store.open("PP")
+    with pytest.raises(ValueError, match="nothing"):
+        domain_store.observations()
+
+
 # ---- Catalog -------------------------------------------------------------------------
 
 HOST = "data.example.org"
