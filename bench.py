@@ -3,7 +3,7 @@
 Each query runs once to warm up and then BENCH_RUNS times; its time is the
 median, from building the plan to the last row written to a sink that drops
 them.  `star_*` queries start from the raw star tables, `release_*` queries
-from a prepared release, which is how the reference figures were taken.
+from a prepared release, which is how the published figures were taken.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def timed(work, runs: int) -> float:
 
 
 def release_work(spark: SparkSession, folder: str):
-    """The reference's own measured views, over a prepared release."""
+    """The views with published figures, over a prepared release."""
     store = ReleaseStore(spark, new_folder(spark, "bench"))
     observations = star.observations(spark, folder)
     store.publish(observations, queries._metadata(spark, folder, observations))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from obsmill.schema import YIELD, YIELD_FACTORS
@@ -13,9 +13,20 @@ from obsmill.schema import YIELD, YIELD_FACTORS
 EXACT = "decimal(38,12)"
 
 
-def exact_sum(value: Column) -> Column:
-    """Order-independent sum of doubles; null when there is no value at all."""
-    return F.sum(value.cast(EXACT)).cast("double")
+def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
+    """Order-independent sum of doubles; null when there is no value at all.
+
+    Where a value or the sum is too large for the decimal, the doubles are
+    added as they are, so nothing is left out.
+    """
+
+    def per_group(aggregate: Column) -> Column:
+        return aggregate if over is None else aggregate.over(over)
+
+    cell = value.try_cast(EXACT)
+    exact = per_group(F.try_sum(cell)).cast("double")
+    complete = per_group(F.count(value)) == per_group(F.count(cell))
+    return F.when(complete & exact.isNotNull(), exact).otherwise(per_group(F.sum(value)))
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsmill.functions.values import EXACT, exact_sum, value_ladder
+from obsmill.functions.values import exact_sum, value_ladder
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -82,7 +82,7 @@ def with_share(
     by = list(by)
     if small:
         group = Window.partitionBy(*(by or [F.lit(1)]))
-        total = F.sum(F.col(value).cast(EXACT)).over(group).cast("double")
+        total = exact_sum(F.col(value), group)
         return df.withColumn("share_pct", F.when(total > 0, F.col(value) / total * 100))
     if not by:
         df, by = df.withColumn("_all", F.lit(1)), ["_all"]

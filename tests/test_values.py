@@ -58,6 +58,20 @@ def test_exact_sum_ignores_order_and_keeps_missing(spark):
     assert empty.agg(values.exact_sum(F.col("v")).alias("s")).first().s is None
 
 
+@pytest.mark.parametrize(
+    "numbers, total", [([1e30, 1.0], 1e30), ([9e25, 9e25], 1.8e26), ([float("inf"), 1.0], float("inf")), ([None, 2.5], 2.5)]
+)
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sums_beyond_the_decimal_leave_nothing_out(spark, numbers, total, ansi):
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert df.agg(values.exact_sum(F.col("v")).alias("s")).first().s == total
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_yield_units(spark, observe):
     rows = observe(
         [("A", "C", 1, "Yield", u, 5000.0) for u in ("kg/ha", "hg/ha", "100 mg/ha", "t/ha", "lb/acre")]
