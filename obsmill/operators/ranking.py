@@ -76,17 +76,26 @@ def with_rank(
 
 
 def with_share(
-    df: DataFrame, by: Sequence[str], value: str = "Value", small: bool = False
+    df: DataFrame,
+    by: Sequence[str],
+    value: str = "Value",
+    small: bool = False,
+    population: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds `share_pct` of the group total; null when the total is missing or not positive."""
+    """Adds `share_pct` of the group total; null when the total is missing or not positive.
+
+    The total is that of `population`, by default the rows themselves.
+    """
     by = list(by)
     if small:
         group = Window.partitionBy(*(by or [F.lit(1)]))
         total = exact_sum(F.col(value), group)
         return df.withColumn("share_pct", F.when(total > 0, F.col(value) / total * 100))
+    population = df if population is None else population
     if not by:
-        df, by = df.withColumn("_all", F.lit(1)), ["_all"]
-    totals = df.groupBy(*by).agg(exact_sum(F.col(value)).alias("_total"))
+        by = ["_all"]
+        df, population = (frame.withColumn("_all", F.lit(1)) for frame in (df, population))
+    totals = population.groupBy(*by).agg(exact_sum(F.col(value)).alias("_total"))
     share = F.when(F.col("_total") > 0, F.col(value) / F.col("_total") * 100)
     return match_keys(df, totals, by).withColumn("share_pct", share).drop("_total", "_all")
 
@@ -94,7 +103,9 @@ def with_share(
 def shares_and_ranks(df: DataFrame, by: Sequence[str], small: bool = False) -> DataFrame:
     """Rank and share of every row within its group, over the whole population."""
     present = df.where(F.col("Value").isNotNull())
-    return with_share(with_rank(present, by, small=small), by, small=small)
+    # The totals come from the rows before ranking, so the ranking is planned once.
+    ranked = with_rank(present, by, small=small)
+    return with_share(ranked, by, small=small, population=present)
 
 
 def top_rows(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:

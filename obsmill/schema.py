@@ -63,14 +63,18 @@ def nan_to_null(col: Column) -> Column:
 def typed(df: DataFrame) -> DataFrame:
     """Strict typing: Year to int, Value to double, every other column kept.
 
-    The casts are ANSI casts: one malformed cell fails the job, it is not dropped.
+    One malformed cell fails the job, whether or not the session is in ANSI mode.
     """
     require_columns(df)
+
+    def strict(name: str, kind: str) -> Column:
+        cell, value = F.col(name), F.col(name).try_cast(kind)
+        message = F.concat(F.lit(f"{name} is not of type {kind}: "), cell.cast("string"))
+        malformed = cell.isNotNull() & value.isNull()
+        return F.when(malformed, F.raise_error(message).cast(kind)).otherwise(value)
+
     return df.withColumns(
-        {
-            "Year": F.col("Year").cast("int"),
-            "Value": nan_to_null(F.col("Value").cast("double")),
-        }
+        {"Year": strict("Year", "int"), "Value": nan_to_null(strict("Value", "double"))}
     )
 
 

@@ -23,9 +23,18 @@ def test_typed_keeps_other_columns_and_turns_nan_into_null(spark):
     assert rows.columns[-1] == "Note"
 
 
-def test_malformed_cell_fails_the_load(spark):
-    with pytest.raises(Exception, match="INVALID"):
-        typed(raw(spark, "12", "INVALID")).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_cell_fails_the_load(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="INVALID"):
+            typed(raw(spark, "12", "INVALID")).collect()
+        with pytest.raises(Exception, match="20x4"):
+            typed(raw(spark, "12", year="20x4")).collect()
+        assert typed(raw(spark, "12")).first().Value == 12.0
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_bad_cells_names_column_and_content(spark):
