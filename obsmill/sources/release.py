@@ -237,18 +237,21 @@ class ReleaseStore:
     def _table(self, release: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(release, table))
 
-    def table(self, table: str) -> DataFrame:
+    def published(self) -> str:
         release = self.current()
         if release is None:
             raise ValueError(f"nothing is published in {self.root}")
-        return self._table(release, table)
+        return release
+
+    def table(self, table: str, release: str | None = None) -> DataFrame:
+        """A table of the given or else the current release."""
+        return self._table(release or self.published(), table)
 
     def open(self, release: str | None = None, domain: str | None = None) -> DataFrame:
         """The observations of a release or of one domain, checked for their columns."""
         if domain is not None and domain not in DOMAINS:
             raise ValueError(f"unknown domain {domain}")
-        rows = self.table("observations") if release is None else self._table(release, "observations")
-        require_columns(rows)
+        rows = require_columns(self.table("observations", release))
         return rows if domain is None else rows.where(F.col("Domain") == domain)
 
     def mismatches(self, release: str) -> DataFrame:
@@ -260,8 +263,9 @@ class ReleaseStore:
 class DomainFrames(Mapping):
     """Domain code to frame; a secondary domain that fails is empty, not fatal.
 
-    Each frame is resolved on first use: its schema and file list are forced
-    there, because Spark would otherwise report a broken source only at the action.
+    Each frame is resolved on first use.  Opening a source lists its files and
+    reads its schema, so a missing or unreadable one is noticed there and not
+    only at the action.
     """
 
     def __init__(self, base: DataFrame, openers: Mapping[str, Callable[[], DataFrame]]):
@@ -280,9 +284,7 @@ class DomainFrames(Mapping):
             raise KeyError(code)
         if code not in self._frames:
             try:
-                frame = self._openers[code]()
-                frame.inputFiles()
-                self._frames[code] = require_columns(frame)
+                self._frames[code] = require_columns(self._openers[code]())
             except Exception as problem:
                 self.errors[code] = str(problem)
                 self._frames[code] = empty_like(self._frames["QCL"])

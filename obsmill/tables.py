@@ -73,29 +73,36 @@ class BulkTables:
 
 
 class PreparedTables(BulkTables):
-    """Answers from a prepared release: options come from its index, not from the facts."""
+    """Answers from a prepared release: options come from its index, not from the facts.
+
+    All answers come from the one release that is current when this is made.
+    """
 
     def __init__(self, store: ReleaseStore):
         self.store = store
+        self.release = store.published()
+
+    def _table(self, name: str) -> DataFrame:
+        return self.store.table(name, self.release)
 
     def rows(self, code: str) -> DataFrame:
-        return self.store.open(domain=code)
+        return self.store.open(self.release, code)
 
     def metadata(self) -> DataFrame:
-        return self.store.table("domains")
+        return self._table("domains")
 
     def area_table(self, code: str = "QCL") -> DataFrame:
-        return self.store.table("areas")
+        return self._table("areas")
 
     def available_items(self, code: str = "QCL", areas: Names = None) -> DataFrame:
         if code == "QCL":
-            return selection.available_items(self.store.table("availability"), areas)
+            return selection.available_items(self._table("availability"), areas)
         # The manifest lists the items each domain has rows of.
-        return self.store.table("manifest").where(F.col("Domain") == code).select("Item")
+        return self._table("manifest").where(F.col("Domain") == code).select("Item")
 
     def available_years(
         self, code: str = "QCL", areas: Names = None, items: Names = None, elements: Names = None
     ) -> DataFrame:
         if code == "QCL":
-            return selection.available_years(self.store.table("availability"), areas, items)
+            return selection.available_years(self._table("availability"), areas, items)
         return super().available_years(code, areas, items, elements)

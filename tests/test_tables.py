@@ -67,6 +67,15 @@ def test_metadata_counts_the_whole_domain(tables):
     assert prepared.stale(whole.metadata()).where("stale").isEmpty()
 
 
+def test_answers_stay_with_one_release(tables):
+    _, prepared = tables
+    before = prepared.release
+    prepared.store.publish(star.observations(prepared.store.spark, FOLDER).where("Item = 'SMALL'"), prepared.metadata())
+    assert prepared.store.current() != before
+    assert values(prepared.available_items(), "Item") == ["ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD"]
+    assert values(PreparedTables(prepared.store).available_items(), "Item") == ["SMALL"]
+
+
 def test_unknown_domain(tables):
     for t in tables:
         with pytest.raises(ValueError, match="unknown"):
