@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsmill.functions.values import exact_sum, value_ladder
+from obsmill.session import union_all
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,6 +22,8 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 # Groups up to this size are ranked in one task.
 SMALL_GROUP = 100_000
+# Value buckets up to this size are sorted in one task.
+CROWDED = 1_000_000
 
 
 def is_small(population: DataFrame) -> bool:
@@ -28,51 +31,76 @@ def is_small(population: DataFrame) -> bool:
     return population.limit(SMALL_GROUP + 1).count() <= SMALL_GROUP
 
 
+def _rows_above(within: Sequence[str], bucket: str) -> Column:
+    """Running number of rows in higher buckets, for a frame with a row count `_n` per bucket."""
+    above = (
+        Window.partitionBy(*within)
+        .orderBy(F.col(bucket).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return F.coalesce(F.sum("_n").over(above), F.lit(0))
+
+
 def with_rank(
     df: DataFrame, by: Sequence[str], value: str = "Value", small: bool = False
 ) -> DataFrame:
     """Adds `rank`: ties share a position and the next one skips; nulls are dropped.
 
-    Equal values are counted first, then the rank is the number of rows in
-    higher buckets, added up over two nested order-keeping buckets of the value
-    and the value itself.  Every window below therefore runs over a group of
-    bounded size, however many rows one group of `by` has.
-
     `small` promises that no group exceeds SMALL_GROUP rows; then one plain
-    window does it.
+    window does it.  Otherwise no group is gathered: its values fall into
+    order-keeping buckets, and a rank is the rows in higher buckets plus the
+    rank inside the own one.  A bucket with more than CROWDED rows (many equal
+    or close values) is counted per value instead of sorted, by finer buckets,
+    so every window runs over at most a few million rows whatever the data.
     """
-    by = list(by)
     rows = df.where(F.col(value).isNotNull())
+    highest_first = F.col(value).desc()
     if small:
-        order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col(value).desc())
-        return rows.withColumn("rank", F.rank().over(order).cast("bigint"))
-    if not by:
-        rows, by = rows.withColumn("_all", F.lit(1)), ["_all"]
+        group = Window.partitionBy(*(list(by) or [F.lit(1)]))
+        return rows.withColumn("rank", F.rank().over(group.orderBy(highest_first)).cast("bigint"))
+
+    # In a struct null keys are equal, as they are in groupBy.
+    group_key = F.struct(*[F.col(f"`{c}`") for c in by], F.lit(1).alias("_"))
     coarse, fine = value_ladder(F.col(value))
-    counts = (
-        rows.groupBy(*by, value)
+    rows = rows.withColumns({"_group": group_key, "_coarse": coarse})
+    bucket = ["_group", "_coarse"]
+    buckets = (
+        rows.groupBy(*bucket)
         .agg(F.count("*").alias("_n"))
-        .withColumns({"_coarse": coarse, "_fine": fine})
+        .withColumn("_above", _rows_above(["_group"], "_coarse"))
     )
-    by_fine = counts.groupBy(*by, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
-    by_coarse = by_fine.groupBy(*by, "_coarse").agg(F.sum("_n").alias("_n"))
-
-    def higher(frame: DataFrame, within: list[str], bucket: str, name: str) -> DataFrame:
-        above = (
-            Window.partitionBy(*within)
-            .orderBy(F.col(bucket).desc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return frame.withColumn(name, F.coalesce(F.sum("_n").over(above), F.lit(0)))
-
-    ranks = higher(counts, [*by, "_coarse", "_fine"], value, "_above").drop("_n")
-    fine_above = higher(by_fine, [*by, "_coarse"], "_fine", "_above_fine").drop("_n")
-    coarse_above = higher(by_coarse, by, "_coarse", "_above_coarse").drop("_n")
-    ranks = match_keys(ranks, fine_above, [*by, "_coarse", "_fine"])
-    ranks = match_keys(ranks, coarse_above, [*by, "_coarse"])
-    position = F.col("_above") + F.col("_above_fine") + F.col("_above_coarse") + 1
-    ranks = ranks.select(*by, value, position.alias("rank"))
-    return match_keys(rows, ranks, [*by, value]).drop("_all")
+    # At most one entry per CROWDED rows of the frame, so small enough to broadcast.
+    crowded = F.broadcast(buckets.where(F.col("_n") > CROWDED).drop("_n"))
+
+    inside = F.rank().over(Window.partitionBy(*bucket).orderBy(highest_first))
+    sorted_rows = (
+        rows.join(crowded, bucket, "left_anti")
+        .join(buckets.drop("_n"), bucket)
+        .withColumn("rank", F.col("_above") + inside)
+    )
+
+    counted = rows.join(crowded, bucket)
+    values = (
+        counted.groupBy(*bucket, value)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_fine", fine)
+    )
+    finer = (
+        values.groupBy(*bucket, "_fine")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_above_fine", _rows_above(bucket, "_fine"))
+        .drop("_n")
+    )
+    values = (
+        values.withColumn("_above_value", _rows_above([*bucket, "_fine"], value))
+        .join(finer, [*bucket, "_fine"])
+        .drop("_fine", "_n")
+    )
+    above = F.col("_above") + F.col("_above_fine") + F.col("_above_value")
+    counted_rows = counted.join(values, [*bucket, value]).withColumn("rank", above + 1)
+
+    columns = [*[F.col(f"`{c}`") for c in df.columns], F.col("rank").cast("bigint").alias("rank")]
+    return union_all(sorted_rows.select(*columns), counted_rows.select(*columns))
 
 
 def with_share(

@@ -9,11 +9,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from obsmill.operators.measures import normalize_yields, weighted_yield
+from obsmill.operators import ranking
 from obsmill.operators.ranking import shares_and_ranks, top_rows
 from obsmill.operators.trade import trade_balance
 from obsmill.plans import queries
 
 FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def restore_limits(monkeypatch):
+    monkeypatch.setattr(ranking, "CROWDED", ranking.CROWDED)
+
+
 quick = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
 key = st.tuples(st.sampled_from(["A", "B", "C", None]), st.sampled_from(["I", "J"]), st.integers(2000, 2002))
@@ -54,8 +62,9 @@ def test_weighted_yield_against_brute_force(observe, cells, groups):
 
 
 @quick
-@given(st.lists(st.tuples(st.integers(2000, 2002), st.one_of(st.none(), st.sampled_from([0.0, 1.0, 5.0, 5.5]), st.floats(-1e6, 1e6))), min_size=1, max_size=40), st.booleans())
-def test_ranks_and_shares_against_brute_force(spark, population, small):
+@given(st.lists(st.tuples(st.integers(2000, 2002), st.one_of(st.none(), st.sampled_from([0.0, 1.0, 5.0, 5.5]), st.floats(-1e6, 1e6))), min_size=1, max_size=40), st.booleans(), st.sampled_from([0, 3, 1000]))
+def test_ranks_and_shares_against_brute_force(spark, population, small, crowded):
+    ranking.CROWDED = crowded
     rows = [(f"a{i}", year, value) for i, (year, value) in enumerate(population)]
     df = spark.createDataFrame(rows, "Area string, Year int, Value double")
     got = {r.Area: (r["rank"], r.share_pct) for r in shares_and_ranks(df, ["Year"], small=small).collect()}

@@ -64,8 +64,11 @@ def test_sums_combine_before_the_shuffle(spark, sample):
 
 
 def test_no_window_runs_over_a_whole_group(spark, sample):
-    """Rank windows are over value buckets; only the counted buckets meet per group."""
+    """Rows meet per value bucket; only the counted buckets meet per group."""
     plan = shares_and_ranks(sample, ["Year"])._jdf.queryExecution().optimizedPlan().toString()
-    windows = re.findall(r"windowspecdefinition\((.*?)\) AS", plan)
-    over_year_only = [w for w in windows if w.startswith("Year") and not re.match(r"Year#\d+, _coarse", w)]
-    assert all("_coarse" in w for w in over_year_only) and len(windows) == 3
+    windows = re.findall(r"Window \[([a-z]+)\(.*?\], \[([^\]]*)\], \[", plan)
+    partitions = {re.sub(r"#\d+L?", "", keys) for kind, keys in windows if kind == "rank"}
+    assert partitions == {"_group, _coarse"}
+    assert {re.sub(r"#\d+L?", "", keys) for kind, keys in windows if kind == "sum"} == {
+        "_group", "_group, _coarse", "_group, _coarse, _fine",
+    }

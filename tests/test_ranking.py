@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from obsmill.operators import ranking
 from obsmill.operators.ranking import rank_of, shares_and_ranks, top_area, top_rows, with_rank
 
 
@@ -22,7 +23,13 @@ def test_share_of_a_zero_total_is_missing(spark):
     assert shares_and_ranks(population(spark, [("A", 0.0)]), ["Year"]).first().share_pct is None
 
 
-def test_rank_against_counting_greater_values(spark):
+@pytest.fixture(params=[ranking.CROWDED, 5, 0])
+def crowded(request, monkeypatch):
+    """Ranks by sorted buckets, by both ways, and by counted values only."""
+    monkeypatch.setattr(ranking, "CROWDED", request.param)
+
+
+def test_rank_against_counting_greater_values(spark, crowded):
     random.seed(5)
     pool = [0.0, -0.0, 1.0, -1.0, 1e300, -1e300, 5e-324, 0.1, 0.30000000000000004, 0.3, 7.0, float("inf")]
     rows = [(f"a{i}", random.choice(pool + [random.gauss(0, 100) for _ in range(10)])) for i in range(400)]
@@ -30,7 +37,7 @@ def test_rank_against_counting_greater_values(spark):
     assert got == {a: 1 + sum(w > v for _, w in rows) for a, v in rows}
 
 
-def test_null_groups_are_ranked(spark):
+def test_null_groups_are_ranked(spark, crowded):
     rows = spark.createDataFrame([("A", None, 1.0), ("B", None, 2.0), ("C", "t", 1.0)], "Area string, Unit string, Value double")
     got = {r.Area: (r["rank"], r.share_pct) for r in shares_and_ranks(rows, ["Unit"]).collect()}
     assert got["B"][0] == 1 and got["A"][0] == 2 and got["C"] == (1, 100.0)
