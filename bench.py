@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from obsmill.operators import selection  # noqa: E402
-from obsmill.operators.selection import Selection  # noqa: E402
 from obsmill.operators.trade import trade_balance  # noqa: E402
 from obsmill.plans import queries, reports  # noqa: E402
 from obsmill.schema import PRODUCTION  # noqa: E402
@@ -28,6 +26,7 @@ from obsmill.session import sound_unions  # noqa: E402
 from obsmill.sources import star  # noqa: E402
 from obsmill.sources.release import ReleaseStore  # noqa: E402
 from obsmill.sources.workspace import new_folder  # noqa: E402
+from obsmill.tables import PreparedTables  # noqa: E402
 
 STAR = (
     "select_observations",
@@ -95,29 +94,28 @@ def release_work(spark: SparkSession, folder: str):
     store = ReleaseStore(spark, new_folder(spark, "bench"))
     observations = star.observations(spark, folder)
     store.publish(observations, queries._metadata(spark, folder, observations))
-    frames = {code: store.open(domain=code) for code in ("QCL", "PP", "TCL")}
-    # A selection inside all six items of the release, three areas and the whole period.
-    chosen = Selection(queries.AREAS[:3], queries.ITEMS[:2], None, (1995, 2001))
-    one = Selection(queries.AREAS[:1], queries.ITEMS[:1], None, (1995, 2001))
+    tables = PreparedTables(store)
+    years = (1995, 2001)
+    areas, items = queries.AREAS[:1], queries.ITEMS[:1]
     countries = queries._countries(spark, folder)
 
     def select(code):
-        return lambda: drain(selection.select_observations(frames[code], code, chosen))
+        # Three areas and two items over the whole period, as in the published figures.
+        return lambda: drain(tables.query(code, queries.AREAS[:3], queries.ITEMS[:2], years=years))
 
     def country_crop_view():
-        crops = frames["QCL"]
         drain(
             reports.kpi_summary(
-                crops, frames["PP"], countries, one.areas, one.items, one.years
+                tables.rows("QCL"), tables.rows("PP"), countries, areas, items, years
             )
         )
-        drain(reports.history_series(selection.apply_selection(crops, one), PRODUCTION))
+        drain(reports.history_series(tables.query("QCL", areas, items, years=years), PRODUCTION))
 
     def trade_price_tab():
-        rows = selection.select_observations(frames["TCL"], "TCL", one)
+        rows = tables.query("TCL", areas, items, years=years)
         drain(reports.trade_series(rows))
         drain(trade_balance(rows))
-        drain(reports.price_series(selection.select_observations(frames["PP"], "PP", one)))
+        drain(reports.price_series(tables.query("PP", areas, items, years=years)))
 
     return {
         "release_select_qcl": select("QCL"),

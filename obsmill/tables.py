@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from obsmill.operators import selection
 from obsmill.operators.selection import Selection
-from obsmill.schema import CROP_ELEMENTS, DOMAINS, M49_COLUMN, PRICE_ELEMENT, TRADE_ELEMENTS
+from obsmill.schema import (
+    CROP_ELEMENTS,
+    DOMAINS,
+    M49_COLUMN,
+    PRICE_ELEMENT,
+    TRADE_ELEMENTS,
+    require_columns,
+)
 from obsmill.sources.catalog import stale_domains
 from obsmill.sources.domains import DomainStore
 from obsmill.sources.release import DomainFrames, ReleaseStore
@@ -81,12 +88,18 @@ class PreparedTables(BulkTables):
     def __init__(self, store: ReleaseStore):
         self.store = store
         self.release = store.published()
+        self._opened: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
-        return self.store.table(name, self.release)
+        # A release never changes, so its files are listed and its schema read once.
+        if name not in self._opened:
+            self._opened[name] = self.store.table(name, self.release)
+        return self._opened[name]
 
     def rows(self, code: str) -> DataFrame:
-        return self.store.open(self.release, code)
+        if code not in DOMAINS:
+            raise ValueError(f"unknown domain {code}")
+        return require_columns(self._table("observations")).where(F.col("Domain") == code)
 
     def metadata(self) -> DataFrame:
         return self._table("domains")
