@@ -22,8 +22,10 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 # Groups up to this size are ranked in one task.
 SMALL_GROUP = 100_000
-# Value buckets up to this size are sorted in one task.
+# A value bucket is sorted in one task unless it has more rows than this and
+# also more than one in CROWDED_SHARE of all rows.
 CROWDED = 1_000_000
+CROWDED_SHARE = 100_000
 
 
 def is_small(population: DataFrame) -> bool:
@@ -49,9 +51,9 @@ def with_rank(
     `small` promises that no group exceeds SMALL_GROUP rows; then one plain
     window does it.  Otherwise no group is gathered: its values fall into
     order-keeping buckets, and a rank is the rows in higher buckets plus the
-    rank inside the own one.  A bucket with more than CROWDED rows (many equal
-    or close values) is counted per value instead of sorted, by finer buckets,
-    so every window runs over at most a few million rows whatever the data.
+    rank inside the own one.  A crowded bucket (many equal or close values) is
+    counted per value instead of sorted, by finer buckets.  So a window runs
+    over a few million entries, or over a share of the rows that any task has.
     """
     rows = df.where(F.col(value).isNotNull())
     highest_first = F.col(value).desc()
@@ -64,13 +66,11 @@ def with_rank(
     coarse, fine = value_ladder(F.col(value))
     rows = rows.withColumns({"_group": group_key, "_coarse": coarse})
     bucket = ["_group", "_coarse"]
-    buckets = (
-        rows.groupBy(*bucket)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_above", _rows_above(["_group"], "_coarse"))
-    )
-    # At most one entry per CROWDED rows of the frame, so small enough to broadcast.
-    crowded = F.broadcast(buckets.where(F.col("_n") > CROWDED).drop("_n"))
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    buckets = sizes.withColumn("_above", _rows_above(["_group"], "_coarse"))
+    limit = F.greatest(F.lit(CROWDED), sizes.agg(F.sum("_n")).scalar() / CROWDED_SHARE)
+    # Fewer than CROWDED_SHARE buckets can be above the limit: safe to broadcast.
+    crowded = F.broadcast(buckets.where(F.col("_n") > limit).drop("_n"))
 
     inside = F.rank().over(Window.partitionBy(*bucket).orderBy(highest_first))
     sorted_rows = (
