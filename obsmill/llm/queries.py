@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import token_files
+from obsmill.llm import packing, token_files, word_bpe
 from obsmill.sources.workspace import new_folder
 
-BYTE_BPE = "byte_bpe_50k.json"
-TOKEN_FILE_END, PACKING_END = 2, 0
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+TOKEN_FILE_END, PACKING_END, CAPACITY = 2, 0, 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("part").alias("file_part"))
 
 
+def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what the ids decode to."""
+    return word_bpe.digests(word_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    path = public_tokenizers.path(BYTE_BPE)
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), path, PACKING_END, CAPACITY, keep_ids=False)
+    return pieces.drop("ids")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files}
+    found = (op2_token_files, op4_word_bpe, op5_packing)
+    return {query.__name__: query for query in found}
