@@ -3,5 +3,19 @@
 from __future__ import annotations
 
 
+WARC = """
+WITH payload AS (
+  SELECT page_id, translate(url, chr(13) || chr(10), '') AS url, coalesce(html, '') AS html FROM pages
+),
+hashed AS (SELECT page_id, url, strlen(html) AS n, sha256(html) AS d FROM payload),
+firsts AS (SELECT d, min(page_id) AS first_id FROM hashed GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to,
+  url AS target_uri
+FROM hashed JOIN firsts USING (d)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op7_warc": WARC}

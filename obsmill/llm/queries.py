@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import packing, token_files, word_bpe
+from obsmill.llm import packing, token_files, warc, word_bpe
+from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -41,6 +42,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back and assembled."""
+    folder = new_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    records = stored(warc.read_records(spark, folder, keep_payload=False), "warc-records")
+    return warc.page_ids(warc.assemble(records))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op4_word_bpe, op5_packing)
+    found = (op2_token_files, op4_word_bpe, op5_packing, op7_warc)
     return {query.__name__: query for query in found}
