@@ -272,8 +272,11 @@ def page_ids(captures: DataFrame) -> DataFrame:
     """The page of each capture and, for revisits, the page of the capture they refer to."""
     number = F.try_element_at("metadata", F.lit(1))["fields"]["page-id"].cast("long")
     named = captures.withColumn("page_id", number)
-    stored = named.where(F.col("record_type") == "response")
-    stored = stored.select(F.col("record_id").alias("_stored"), F.col("page_id").alias("_of"))
-    return named.join(stored, F.col("refers_to") == F.col("_stored"), "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_of").alias("refers_to"), "target_uri"
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    response = named.where(F.col("record_type") == "response")
+    stores = response.select(F.col("record_id").alias("_stored"), F.col("page_id").alias("_of"))
+    # Only revisits take part in the join: the others' nulls would meet in one task.
+    revisits = named.where(F.col("record_type") == "revisit").join(stores, F.col("refers_to") == F.col("_stored"), "left")
+    return response.select(*columns, F.lit(None).cast("long").alias("refers_to"), "target_uri").unionAll(
+        revisits.select(*columns, F.col("_of").alias("refers_to"), "target_uri")
     )
