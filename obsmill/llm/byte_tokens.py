@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -13,45 +13,84 @@ from tokenizers import Tokenizer
 _CUT = re.compile(r" (?=\S)")
 
 
+# Letters at the start of a piece and what else is in it; the pattern always cuts
+# between a letter and an ASCII character that is none.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~\n].*)", re.DOTALL)
+
+
+class _Known:
+    """The ids of pieces, in two generations: what the last one did not use is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        found = []
+        for piece in pieces.difference(self.young):
+            ids = self.old.get(piece)
+            if ids is None:
+                found.append(piece)
+            else:
+                self.young[piece] = ids
+        return found
+
+
 class PieceEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
     Texts are cut at spaces; the library sees each distinct piece once and its
-    ids are kept.  When `max_pieces` are kept, the store starts anew, so memory
-    is bounded.  Texts that hold an added token are encoded in one go, as such
-    tokens may swallow white space.
+    ids are kept, up to twice `most_pieces`, so memory is bounded.  Texts that
+    hold an added token are encoded in one go, as such tokens may swallow white
+    space.
     """
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_pieces = max_pieces
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first, self.rest = _Known(most_pieces // 4), _Known(most_pieces)
+
+    def _library(self, pieces: list[str], at_once: int = 2_000) -> Iterator[bytes]:
+        """The ids of each piece; many pieces share a call, as its overhead exceeds their work."""
+        groups = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
+        encoded = self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+        for group, found in zip(groups, encoded, strict=True):
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            owners = np.array(found.word_ids, dtype=np.int64)
+            ends = (4 * np.searchsorted(owners, np.arange(len(group)), side="right")).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
-    def _library(self, texts: list[str]) -> Iterable[bytes]:
-        for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(encoded.ids, dtype="<u4").tobytes()
+    def _learn(self, known: _Known, pieces: set[str], lead: str) -> None:
+        known.age()
+        new = known.unknown(pieces)
+        split = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
+        self._call(known, {p for p in new if p not in split}, lead)
+        self._call(known, {word for word, _ in split.values()}, lead)
+        self._call(self.first, {tail for _, tail in split.values()}, "")
+        for piece, (word, tail) in split.items():
+            known.young[piece] = known.young[word] + self.first.young[tail]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._library([lead + p for p in new]), strict=True))
+    def _call(self, known: _Known, pieces: set[str], lead: str) -> None:
+        new = known.unknown(pieces)
+        known.young.update(zip(new, self._library([lead + p for p in new]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One string of ids for each text; null counts as empty."""
-        if len(self.first) + len(self.rest) > self.max_pieces:
-            self.first, self.rest = {}, {}
         texts = [t or "" for t in texts]
         whole = [any(a in t for a in self.added) for t in texts]
         cut = [[""] if w else _CUT.split(t) for t, w in zip(texts, whole, strict=True)]
-        self._learn(self.first, {p[0] for p in cut}, "")
         self._learn(self.rest, set().union(*(p[1:] for p in cut)) if cut else set(), " ")
-        rest = self.rest.__getitem__
-        out = [self.first[p[0]] + b"".join(map(rest, p[1:])) for p in cut]
+        self._learn(self.first, {p[0] for p in cut}, "")
+        first, rest = self.first.young, self.rest.young.__getitem__
+        out = [first[p[0]] + b"".join(map(rest, p[1:])) for p in cut]
         for i in (i for i, w in enumerate(whole) if w):
-            out[i] = next(iter(self._library([texts[i]])))
+            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
 

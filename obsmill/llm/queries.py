@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import packing, token_files, warc, word_bpe
+from obsmill.llm import packing, simhash, token_files, warc, word_bpe
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
@@ -42,6 +42,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the smallest id that links of four bits reach."""
+    found = simhash.groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled."""
     folder = new_folder(spark, "warc")
@@ -51,5 +57,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op4_word_bpe, op5_packing, op7_warc)
+    found = (op2_token_files, op4_word_bpe, op5_packing, op6_simhash, op7_warc)
     return {query.__name__: query for query in found}
