@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import packing, simhash, token_files, warc, word_bpe
+from obsmill.llm import packing, shards, simhash, token_files, warc, word_bpe
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-TOKEN_FILE_END, PACKING_END, CAPACITY = 2, 0, 1024
+TOKEN_FILE_END, PACKING_END, CAPACITY, SHARDS = 2, 0, 1024, 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("part").alias("file_part"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in eight shards of nearly equal bytes."""
+    placed = shards.shard_table(_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of what the ids decode to."""
     return word_bpe.digests(word_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
@@ -57,5 +63,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op4_word_bpe, op5_packing, op6_simhash, op7_warc)
+    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc)
     return {query.__name__: query for query in found}
