@@ -17,5 +17,21 @@ FROM hashed JOIN firsts USING (d)
 """
 
 
+TOPK = """
+WITH usable AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::DOUBLE for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op7_warc": WARC}
+    return {"op7_warc": WARC, "op9_topk": TOPK}

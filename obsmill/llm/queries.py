@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import minhash, packing, shards, simhash, token_files, warc, word_bpe
+from obsmill.llm import minhash, packing, shards, simhash, token_files, topk, warc, word_bpe
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
@@ -62,11 +62,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_ids(warc.assemble(records))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products for every hundredth vector, against all others."""
+    found = topk.search(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+    return found.drop("query_row")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, against an edited copy and the next document."""
     return minhash.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op10_minhash)
+    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op9_topk, op10_minhash)
     return {query.__name__: query for query in found}
