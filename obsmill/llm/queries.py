@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import minhash, packing, shards, simhash, token_files, topk, warc, word_bpe
+from obsmill.llm import langid, minhash, packing, shards, simhash, token_files, topk, warc, word_bpe
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
@@ -62,6 +62,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_ids(warc.assemble(records))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language_id.language").alias("lang_pred"),
+        F.col("language_id.score").alias("score"),
+        F.col("language_id.accepted").alias("accepted"),
+    )
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products for every hundredth vector, against all others."""
     found = topk.search(_table(spark, sf_dir, "embeddings"), k=10, every=100)
@@ -74,5 +87,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op9_topk, op10_minhash)
+    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id, op9_topk, op10_minhash)
     return {query.__name__: query for query in found}
