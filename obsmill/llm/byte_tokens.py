@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -29,14 +30,10 @@ class _Known:
             self.young, self.old = {}, self.young
 
     def unknown(self, pieces: set[str]) -> list[str]:
-        found = []
-        for piece in pieces.difference(self.young):
-            ids = self.old.get(piece)
-            if ids is None:
-                found.append(piece)
-            else:
-                self.young[piece] = ids
-        return found
+        """Which of the pieces, none of them young, are not old either; those that are become young."""
+        kept = pieces & self.old.keys()
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        return list(pieces - kept)
 
 
 class PieceEncoder:
@@ -65,29 +62,40 @@ class PieceEncoder:
             ends = (4 * np.searchsorted(owners, np.arange(len(group)), side="right")).tolist()
             yield from (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
+    def _call(self, known: _Known, pieces: set[str], lead: str) -> None:
+        new = known.unknown(pieces.difference(known.young))
+        known.young.update(zip(new, self._library([lead + p for p in new]), strict=True))
+
     def _learn(self, known: _Known, pieces: set[str], lead: str) -> None:
-        known.age()
+        """Learns pieces that are not young; words of Latin letters apart from what follows them."""
         new = known.unknown(pieces)
         split = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
         self._call(known, {p for p in new if p not in split}, lead)
         self._call(known, {word for word, _ in split.values()}, lead)
         self._call(self.first, {tail for _, tail in split.values()}, "")
-        for piece, (word, tail) in split.items():
-            known.young[piece] = known.young[word] + self.first.young[tail]
-
-    def _call(self, known: _Known, pieces: set[str], lead: str) -> None:
-        new = known.unknown(pieces)
-        known.young.update(zip(new, self._library([lead + p for p in new]), strict=True))
+        words, tails = known.young, self.first.young
+        words.update([(piece, words[word] + tails[tail]) for piece, (word, tail) in split.items()])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One string of ids for each text; null counts as empty."""
+        gc.disable()  # the lists of pieces hold no cycles, and walking them takes an eighth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        self.first.age()
+        self.rest.age()
         texts = [t or "" for t in texts]
         whole = [any(a in t for a in self.added) for t in texts]
         cut = [[""] if w else _CUT.split(t) for t, w in zip(texts, whole, strict=True)]
-        self._learn(self.rest, set().union(*(p[1:] for p in cut)) if cut else set(), " ")
-        self._learn(self.first, {p[0] for p in cut}, "")
-        first, rest = self.first.young, self.rest.young.__getitem__
-        out = [first[p[0]] + b"".join(map(rest, p[1:])) for p in cut]
+        begins = [pieces.pop(0) for pieces in cut]
+        first, rest = self.first.young, self.rest.young
+        self._learn(self.rest, set().union(*cut).difference(rest), " ")
+        self._learn(self.first, set(begins).difference(first), "")
+        ids_of = rest.__getitem__
+        out = [first[start] + b"".join(map(ids_of, pieces)) for start, pieces in zip(begins, cut, strict=True)]
         for i in (i for i, w in enumerate(whole) if w):
             ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
             out[i] = np.array(ids, dtype="<u4").tobytes()
