@@ -277,20 +277,37 @@ def _shared(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
 
 
+def _packed(letters: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """From each place as many letters as one word holds, the first lowest; how many, and their bits."""
+    bits = max(1, int(letters.max()).bit_length())
+    count = 64 // bits
+    padded = np.concatenate([letters, np.zeros(count, dtype=letters.dtype)]).astype(np.uint64)
+    words = np.zeros(len(letters), dtype=np.uint64)
+    for i in range(count):
+        words |= padded[i : len(letters) + i] << np.uint64(bits * i)
+    return words, count, bits
+
+
 def _seed_common(text: _Text, ordered: np.ndarray) -> np.ndarray:
-    """The common prefix of neighbouring seeds, up to the depth."""
+    """The common prefix of neighbouring seeds, up to the depth.
+
+    Words are compared up to the end of the string, whose last letter is
+    unique, so two suffixes differ there at the latest.
+    """
     common = np.zeros(len(ordered), dtype=np.uint16)
-    letters, size = text.letters, len(text.letters)
+    words, count, bits = _packed(text.letters)
+    size = len(words)
     pair = np.arange(1, len(ordered))
     a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
-    for step in range(text.depth):
-        inside = np.maximum(a, b) + step < size
-        equal = np.zeros(len(pair), dtype=bool)
-        equal[inside] = letters[a[inside] + step] == letters[b[inside] + step]
+    for step in range(0, text.depth, count):
+        differ = words[np.minimum(a + step, size - 1)] ^ words[np.minimum(b + step, size - 1)]
+        lowest = differ & (~differ + np.uint64(1))
+        same = np.where(differ != 0, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // bits, count)
+        common[pair] = np.minimum(step + same, text.depth)
+        equal = differ == 0
         pair, a, b = pair[equal], a[equal], b[equal]
         if not len(pair):
             break
-        common[pair] = step + 1
     return common
 
 

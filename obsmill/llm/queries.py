@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import langid, minhash, packing, shards, simhash, token_files, topk, warc, word_bpe
+from obsmill.llm import langid, minhash, packing, shards, simhash, suffix_dedup, token_files, topk, warc, word_bpe
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 400 bytes that occur again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.without_repeats(docs, length=400)
+    counts = [F.col(f"left.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]
+    return left.select("doc_id", *counts, F.sha2(F.col("left.kept"), 256).alias("kept_sha256"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back with their starts and checksums."""
     folder = new_folder(spark, "tokens")
@@ -87,5 +95,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id, op9_topk, op10_minhash)
+    found = (op1_suffix_dedup, op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id, op9_topk, op10_minhash)
     return {query.__name__: query for query in found}
