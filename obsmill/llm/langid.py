@@ -37,8 +37,9 @@ class Settings(NamedTuple):
     The sample holds about `docs_per_language` rows of each of the
     `most_languages` most frequent ones, chosen by a hash of their ids; up to
     `pieces_per_doc` pieces of `piece_bytes` of each are learned from, one doc
-    in `calibrate_every` is kept for the calibration instead.  `rejected` is
-    the share of rightly answered pieces of those that the threshold gives up.
+    in `calibrate_every` is kept for the calibration instead.  The threshold is
+    the lowest score from which on a share `precision` of the answers for those
+    is right, and at least `least_score`.
     """
 
     docs_per_language: int = 900
@@ -51,7 +52,8 @@ class Settings(NamedTuple):
     epochs: int = 6
     batch: int = 64
     rate: float = 0.5
-    rejected: float = 0.001
+    precision: float = 0.99
+    least_score: float = 0.5
 
 
 def _prepared(text: str) -> bytes:
@@ -168,12 +170,17 @@ def _calibrated(languages: list[str], weights: np.ndarray, bias: np.ndarray, kep
     wanted = np.array([answer for _, answer in kept])
     at = np.arange(len(kept))
     losses = {
-        t: -np.log(np.maximum(_softmax(scores / t)[at, wanted], 1e-12)).mean() for t in np.geomspace(0.1, 10, 41).tolist()
+        t: -np.log(np.maximum(_softmax(scores / t)[at, wanted], 1e-12)).mean() for t in np.geomspace(0.05, 10, 54).tolist()
     }
-    temperature = min(losses, key=losses.get)
+    # Of temperatures that are as good, the one of the least certain scores.
+    temperature = max(t for t, loss in losses.items() if loss <= min(losses.values()) + 1e-3)
     answers = _softmax(scores / temperature)
-    right = answers.max(axis=1)[answers.argmax(axis=1) == wanted]
-    threshold = float(np.quantile(right, settings.rejected)) if len(right) else 1.0
+    order = np.argsort(-answers.max(axis=1), kind="stable")
+    right = (answers.argmax(axis=1) == wanted)[order]
+    precise = np.flatnonzero(np.cumsum(right) >= settings.precision * np.arange(1, len(right) + 1))
+    lowest = float(answers.max(axis=1)[order[precise[-1]]]) if len(precise) else 1.0
+    all_precise = len(precise) and precise[-1] == len(right) - 1
+    threshold = settings.least_score if all_precise else max(settings.least_score, lowest)
     return Model(languages, weights, bias, temperature, threshold)
 
 
