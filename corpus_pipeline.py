@@ -1,13 +1,62 @@
-"""The corpus pipeline: language, near copies, repeated passages, packing."""
+"""The corpus pipeline: known languages, one of near copies, no repeated passages, packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept.  All but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from obsmill.llm import langid, packing, simhash, suffix_dedup
+from obsmill.llm.frames import stored
 
-STAGES: list = []
+SHINGLE, DISTANCE, PASSAGE_BYTES = 4, 4, 400
+TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
+
+#: Not every stage can be told in SQL; tests/llm compares each with a brute-force version.
 ORACLE_SQL = None
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; rejected are those without a letter or below the threshold."""
+    named = langid.identify(docs, langid.fit(docs))
+    return named.where("language_id.accepted").select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    kept = simhash.groups(docs, SHINGLE, DISTANCE).where("keep").select(F.col("row").alias("_kept"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that occur again; characters are never cut."""
+    left = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, whole_characters=True)
+    text = F.when(F.col("text").isNotNull(), F.decode("left.kept", "UTF-8"))
+    changed = left.withColumns({"text": text, "n_chars": F.char_length(text).cast("long")})
+    return changed.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of one length, with their ids."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY)
+
+
+STAGES = [
+    ("language_id", known_languages),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("suffix_dedup", without_passages),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again before the next."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
