@@ -172,8 +172,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+    return common / (len(a) + len(b) - common)
 
 
 def _verified(threshold: float):
