@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsmill.functions.values import EXACT
-
 # The characters a spreadsheet takes as the start of a formula.
 FORMULA_STARTS = "=+-@"
 
@@ -23,13 +21,21 @@ def formula_safe(text: Column) -> Column:
 
 
 def as_text(df: DataFrame, name: str) -> Column:
-    """A column as a reader sees it: plain digits for doubles, never exponents."""
+    """A column as a reader sees it: all digits of doubles, plainly.
+
+    Doubles that Spark would print with an exponent go through a decimal that
+    holds all their digits; only below 1e-20 and from 1e26 on, where no decimal
+    does, the exponent stays.
+    """
     col = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        plain = col.try_cast(EXACT).cast("string")
-        trimmed = F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
-        return F.coalesce(trimmed, col.cast("string"))
-    return col.cast("string")
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return col.cast("string")
+    shortest = col.cast("double").cast("string")
+    small = col.cast("double").try_cast("decimal(38,37)")
+    large = col.cast("double").try_cast("decimal(38,12)")
+    wide = F.when(F.abs(col) < 1e-20, F.lit(None)).when(F.abs(col) < 1e-3, small.cast("string"))
+    plain = F.regexp_replace(wide.otherwise(large.cast("string")), r"(\.\d+?)0+$", "$1")
+    return F.when(F.contains(shortest, F.lit("E")), F.coalesce(plain, shortest)).otherwise(shortest)
 
 
 def any_column_contains(df: DataFrame, text: str) -> Column:

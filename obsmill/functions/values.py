@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from obsmill.schema import YIELD, YIELD_FACTORS
 
-# Twelve fraction digits and twenty-six before the point: wide enough for any
-# published figure, and a decimal sum does not depend on the order in which
-# partitions arrive, so a rerun after a lost executor gives the same double.
-EXACT = "decimal(38,12)"
+# Twelve fraction digits; a sum of such cells has ten more digits before the
+# point, and does not depend on the order in which partitions arrive.
+CELL = "decimal(28,12)"
 
 
 def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
-    """Order-independent sum of doubles; null when there is no value at all.
+    """Sum of doubles without loss; null when there is no value at all.
 
-    Where a value or the sum is too large for the decimal, the doubles are
-    added as they are, so nothing is left out.
+    Each value is a decimal cell and what the cell does not hold: digits beyond
+    the twelfth, or the whole value where it is too large.  Cells add up exactly
+    in any order; the rests are added as doubles.  So a single value comes back
+    bit for bit, and published figures, which fit their cells, have no rest.
     """
 
     def per_group(aggregate: Column) -> Column:
         return aggregate if over is None else aggregate.over(over)
 
-    cell = value.try_cast(EXACT)
-    exact = per_group(F.try_sum(cell)).cast("double")
-    complete = per_group(F.count(value)) == per_group(F.count(cell))
-    return F.when(complete & exact.isNotNull(), exact).otherwise(per_group(F.sum(value)))
+    cell = value.try_cast(CELL)
+    rest = value - F.coalesce(cell.cast("double"), F.lit(0.0))
+    cells = F.coalesce(per_group(F.sum(cell)).cast("double"), F.lit(0.0))
+    return cells + per_group(F.sum(rest))
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:

@@ -38,6 +38,14 @@ def geography_lookup(source: DataFrame, continents: dict[str, str] | None = None
     )
 
 
+def _one_per_code(lookup: DataFrame) -> DataFrame:
+    """Refuses a lookup in which a code comes twice: a join would double observations."""
+    twice = F.raise_error(F.concat(F.lit("the geography has more than one row for code "), F.col("M49").cast("string")))
+    rows = F.when(F.count("*") == 1, F.first(F.struct("ISO3", "Continent", "Region"))).otherwise(twice)
+    known = lookup.where(F.col("M49").isNotNull())
+    return known.groupBy("M49").agg(rows.alias("_g")).select("M49", "_g.ISO3", "_g.Continent", "_g.Region")
+
+
 def enrich_geography(df: DataFrame, lookup: DataFrame) -> DataFrame:
     """ISO3, continent and region by code; rows without a match stay, unclassified."""
     df = df.drop(*GEOGRAPHY_COLUMNS)
@@ -50,7 +58,7 @@ def enrich_geography(df: DataFrame, lookup: DataFrame) -> DataFrame:
             }
         )
     coded = df.withColumn("M49", m49_number(F.col(M49_COLUMN)))
-    return coded.join(lookup, "M49", "left").withColumns(
+    return coded.join(_one_per_code(lookup), "M49", "left").withColumns(
         {
             "Continent": F.coalesce("Continent", F.lit(UNCLASSIFIED)),
             "Region": F.coalesce("Region", F.lit(UNCLASSIFIED)),

@@ -20,19 +20,12 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-# Groups up to this size are ranked in one task.
-SMALL_GROUP = 100_000
 # A value bucket is sorted in one task unless it has more rows than this and
 # also more than one in CROWDED_SHARE of all rows.
 CROWDED = 1_000_000
 CROWDED_SHARE = 100_000
 
 
-def is_small(population: DataFrame) -> bool:
-    """Whether a frame has at most SMALL_GROUP rows; counts no further than that."""
-    return population.limit(SMALL_GROUP + 1).count() <= SMALL_GROUP
-
-
 def _rows_above(within: Sequence[str], bucket: str) -> Column:
     """Running number of rows in higher buckets, for a frame with a row count `_n` per bucket."""
     above = (
@@ -48,8 +41,8 @@ def with_rank(
 ) -> DataFrame:
     """Adds `rank`: ties share a position and the next one skips; nulls are dropped.
 
-    `small` promises that no group exceeds SMALL_GROUP rows; then one plain
-    window does it.  Otherwise no group is gathered: its values fall into
+    `small` is the caller's promise that a group is bounded whatever the data,
+    such as one row per country; then one plain window does it.  Otherwise no group is gathered: its values fall into
     order-keeping buckets, and a rank is the rows in higher buckets plus the
     rank inside the own one.  A crowded bucket (many equal or close values) is
     counted per value instead of sorted, by finer buckets.  So a window runs

@@ -6,11 +6,11 @@ operators aggregate, plain windows where they count.
 
 from __future__ import annotations
 
-# Sums of doubles go through their shortest decimal text, so no order matters.
+# Sums of doubles go through all digits of their shortest decimal text, so no order matters.
 
 
 def _exact(value: str) -> str:
-    return f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,12))"
+    return f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18))"
 
 
 def _sum(value: str) -> str:
@@ -310,7 +310,7 @@ def _questions() -> str:
                   CASE conv_id % 5 WHEN 0 THEN '¿Cuál fue el mayor productor? '
                        WHEN 1 THEN '¿Cuánto creció el rendimiento? ' WHEN 2 THEN 'Ranking por favor. '
                        WHEN 3 THEN '¿Ha aumentado? ' ELSE '' END || text) AS t
-                FROM conversations WHERE role = 'user') WHERE trim(t) <> ''
+                FROM conversations WHERE role = 'user') WHERE regexp_matches(t, '[^\\s]')
         ) q LEFT JOIN (
           SELECT 'count' AS intent, e.element, CAST(NULL AS VARCHAR) AS answer_area, CAST(NULL AS DOUBLE) AS answer_value,
                  CAST(NULL AS VARCHAR) AS answer_unit, CAST(NULL AS INTEGER) AS from_year,
@@ -323,7 +323,7 @@ def _questions() -> str:
 
 _SAFE = "CASE WHEN regexp_matches({0}, '^[\\s]*[=+@-]') THEN '''' || {0} ELSE {0} END"
 _PRICE_ROWS = """SELECT * FROM pp WHERE Months = 'Annual value'"""
-_TRADE_ROWS = f"""SELECT * FROM tcl WHERE NOT starts_with(Element, 'Export') OR Area IN {_AREAS}"""
+_TRADE_ROWS = "SELECT * FROM tcl"
 _CONTAINS = "contains(upper(coalesce(CAST({} AS VARCHAR), '')), '{}')"
 
 
@@ -338,7 +338,9 @@ def oracle() -> dict[str, str]:
         UNION ALL SELECT doc_id, 'Value', text FROM documents
         WHERE text IS NOT NULL AND TRY_CAST(text AS DOUBLE) IS NULL"""
     q["catalog_rows"] = _sql(
-        "SELECT code, CASE WHEN code = 'PP' THEN 'Producer prices' ELSE name END AS name, updated, url FROM meta", "meta"
+        """SELECT code, CASE WHEN code = 'PP' THEN 'Producer prices' ELSE name END AS name, updated, url FROM meta
+           UNION ALL SELECT 'FBS', 'Food balances', '2030-01-01', 'https://data.example.org/FBS.zip'
+           UNION ALL SELECT 'RL', 'Land use', 'Not stated', ''""", "meta"
     )
     q["stale_domains"] = _sql(
         """SELECT m.code, m.updated AS catalog_updated, h.updated AS release_updated,
@@ -361,13 +363,23 @@ def oracle() -> dict[str, str]:
     )
     q["partition_manifest"] = _sql("SELECT Domain, Item, count(*) AS n_rows FROM rel GROUP BY 1, 2", "rel")
     q["manifest_mismatches"] = _sql(
-        """SELECT coalesce(s.Domain, a.Domain) AS Domain, coalesce(s.Item, a.Item) AS Item,
-                  s.n AS stored_rows, a.n AS actual_rows,
-                  CASE WHEN a.n IS NULL THEN 'missing' WHEN s.n IS NULL THEN 'extra' ELSE 'rows' END AS problem
-           FROM (SELECT Domain, Item, count(*) AS n FROM rel GROUP BY 1, 2) s
-           FULL JOIN (SELECT Domain, Item, count(*) AS n FROM obs GROUP BY 1, 2) a
-             ON s.Domain = a.Domain AND s.Item = a.Item
-           WHERE s.n IS DISTINCT FROM a.n""", "rel"
+        f"""SELECT * FROM (WITH act AS (
+             SELECT {_ALL.replace(' Value', '')} CASE WHEN Domain = 'TCL' AND Item = 'SMALL' AND Area = 'NATION_3'
+                    AND Element = 'Export value' THEN Value + 1 ELSE Value END AS Value
+             FROM rel WHERE NOT (Domain = 'PP' AND Item = 'ECONOMY')
+             UNION ALL SELECT {_ALL} FROM rel WHERE Domain = 'QCL' AND Item = 'LARGE'
+             UNION ALL SELECT {_ALL} FROM obs WHERE Domain = 'TCL' AND Item = 'PROMO'),
+           s AS (SELECT Domain, Item, count(*) AS n FROM rel GROUP BY 1, 2),
+           a AS (SELECT Domain, Item, count(*) AS n FROM act GROUP BY 1, 2),
+           d AS (SELECT DISTINCT Domain, Item FROM (SELECT {_ALL} FROM rel EXCEPT ALL SELECT {_ALL} FROM act)),
+           labelled AS (
+             SELECT coalesce(s.Domain, a.Domain) AS Domain, coalesce(s.Item, a.Item) AS Item,
+                    s.n AS stored_rows, a.n AS actual_rows,
+                    CASE WHEN a.n IS NULL THEN 'missing' WHEN s.n IS NULL THEN 'extra' WHEN s.n <> a.n THEN 'rows'
+                         WHEN d.Item IS NOT NULL THEN 'content' END AS problem
+             FROM s FULL JOIN a ON s.Domain = a.Domain AND s.Item = a.Item
+             LEFT JOIN d ON s.Domain = d.Domain AND s.Item = d.Item)
+           SELECT * FROM labelled WHERE problem IS NOT NULL)""", "rel"
     )
     q["release_parity"] = _sql(
         """SELECT Domain, count(*) AS left_rows, count(*) AS right_rows,
@@ -419,9 +431,18 @@ def oracle() -> dict[str, str]:
         _CONTAINS.format(c, "TION OF") for c in ("doc_id", "text", "lang", "source", "n_chars")
     )
     q["literal_search_observations"] = _sql(
-        f"SELECT {_ALL} FROM pp WHERE "
-        + " OR ".join(_CONTAINS.format(c.strip(), "33.3") for c in _ALL.split(",")), "pp"
+        f"SELECT {_ALL} FROM obs WHERE "
+        + " OR ".join(_CONTAINS.format(c.strip(), "33.3") for c in _ALL.split(",")), "obs"
     )
+    q["literal_search_digits"] = """
+        SELECT l_orderkey, l_linenumber, l_quantity / 7 AS part FROM lineitem
+        WHERE contains(CAST(l_quantity / 7 AS VARCHAR), '285714285714286')
+           OR contains(CAST(l_orderkey AS VARCHAR), '285714285714286')"""
+    digits = ", ".join(
+        f"printf('%.12e', CAST(CAST(sum(CAST(CAST(l_quantity AS DECIMAL(9,2)) AS DECIMAL(38,2))) AS VARCHAR) AS DOUBLE) {how}) AS {name}"
+        for name, how in (("tiny", "* 1e-13"), ("third", "/ 3"), ("huge", "/ 3 * 1e16"))
+    )
+    q["total_of_small_values"] = f"SELECT l_returnflag, {digits} FROM lineitem GROUP BY 1"
 
     # Measures
     q["paired_yield_area"] = _sql("SELECT * FROM paired", "paired")
@@ -539,16 +560,13 @@ def oracle() -> dict[str, str]:
     by_item = f"""SELECT Element, Item, "Year", Unit, {_sum('Value')} AS Value FROM tcl GROUP BY 1, 2, 3, 4"""
     q["trade_by_item"] = _sql(by_item, "tcl")
     rolled = by_item.replace("FROM tcl", f"FROM ({_TRADE_ROWS})").replace(" Item,", " Item AS series,")
-    q["trade_series"] = _sql(
-        f"""SELECT * FROM (WITH t AS ({_TRADE_ROWS}),
-              many AS (SELECT Element FROM t GROUP BY 1 HAVING count(DISTINCT Area || ' · ' || Item) > 30)
-            SELECT {_SERIES} FROM t WHERE Element NOT IN (SELECT Element FROM many)
-            UNION ALL SELECT Element, {_ROLLED} FROM ({rolled}) WHERE Element IN (SELECT Element FROM many))""", "tcl"
-    )
+    q["trade_series"] = _sql(f"SELECT {_SERIES} FROM ({_TRADE_ROWS})", "tcl")
+    q["trade_series_rollup"] = _sql(f"SELECT Element, {_ROLLED} FROM ({rolled})", "tcl")
     q["price_series"] = _sql(f"SELECT {_SERIES} FROM ({_PRICE_ROWS})", "pp")
 
     # Reports
     q["history_series"] = _sql(f"SELECT {_SERIES} FROM ny WHERE Element = 'Yield' AND {_CHOSEN}", "ny")
+    q["history_series_all"] = _sql(f"SELECT {_SERIES} FROM ny WHERE Element = 'Yield'", "ny")
     q["history_series_rollup"] = _sql(
         f"""SELECT 'Yield' AS Element, {_ROLLED}
             FROM (SELECT Item AS series, "Year", Unit, Value FROM ({_weighted('Item, "Year"')}))""", "paired"
@@ -592,7 +610,10 @@ def oracle() -> dict[str, str]:
     q["formula_safe_cells"] = (
         f"SELECT conv_id, turn, {_SAFE.format('role')} AS role, {_SAFE.format('text')} AS text FROM conversations"
     )
-    q["csv_export"] = "SELECT conv_id, turn, role FROM conversations"
+    q["csv_export"] = (
+        f"SELECT conv_id, turn, nullif({_SAFE.format('role')}, '') AS role, nullif({_SAFE.format('text')}, '') AS text "
+        "FROM conversations"
+    )
     q["export_parts"] = _sql(
         """SELECT Domain, part, Domain || '_' || CAST(part AS VARCHAR) AS sheet,
                   least(n - (part - 1) * 1000, 1000) AS n_rows

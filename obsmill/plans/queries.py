@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.functions import text
+from obsmill.functions.values import exact_sum
 from obsmill.operators import change, geography, measures, ranking, selection, trade
 from obsmill.operators.selection import Selection
 from obsmill.plans import reports
 from obsmill.schema import (
     AREA_HARVESTED,
     CROP_ELEMENTS,
+    EXPORT_VALUE,
     IMPORT_VALUE,
     PRODUCTION,
     WORLD,
@@ -33,6 +35,7 @@ ITEMS = ["ECONOMY", "LARGE", "PROMO", "SMALL"]
 PERIOD = (1996, 1999)
 KPI_AREA, KPI_ITEM = "NATION_20", "ECONOMY"
 YEAR = 1999
+FOREIGN = [("FBS", "Food balances", "2030-01-01", "https://data.example.org/FBS.zip"), ("RL", "Land use", None, None)]
 HOST = "blog.tionsh.example.net"
 SEARCH = "tion of"
 QUESTIONS = (
@@ -59,9 +62,9 @@ def registry() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _crops(spark: SparkSession, sf: str, *elements: str) -> DataFrame:
+def _crops(spark: SparkSession, sf: str, *elements: str, years: tuple[int, int] | None = None) -> DataFrame:
     """Crop observations of countries and other areas, without the World rows."""
-    return star.crops(spark, sf, elements or CROP_ELEMENTS).where(F.col("Area") != WORLD)
+    return star.crops(spark, sf, elements or CROP_ELEMENTS, years).where(F.col("Area") != WORLD)
 
 
 def _lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +153,10 @@ def _catalog(spark: SparkSession, sf: str) -> DataFrame:
         F.col("updated").alias("DateUpdate"),
         F.col("url").alias("FileLocation"),
     )
-    document = _metadata(spark, sf).agg(F.collect_list(entry).alias("Dataset"))
+    # A catalog lists other data sets too.
+    others = spark.createDataFrame(FOREIGN, "code string, name string, updated string, url string")
+    known = _metadata(spark, sf).select(*others.columns)
+    document = union_all(known, others).agg(F.collect_list(entry).alias("Dataset"))
     path = new_folder(spark, "catalog")
     document.select(F.struct("Dataset").alias("Datasets")).coalesce(1).write.json(path)
     return catalog.read_catalog(spark, path)
@@ -215,9 +221,18 @@ def partition_fingerprint(spark, sf):
 
 @query
 def manifest_mismatches(spark, sf):
+    """One item lost, one doubled, one changed in a single value, one that does not belong."""
     rows = star.observations(spark, sf)
-    stored = release.manifest(release.release_rows(rows))
-    return release.manifest_mismatches(stored, release.manifest(rows))
+    kept = release.release_rows(rows)
+    domain, item = F.col("Domain"), F.col("Item")
+    edited = (domain == "TCL") & (item == "SMALL") & (F.col("Area") == "NATION_3") & (F.col("Element") == EXPORT_VALUE)
+    changed = kept.where(~((domain == "PP") & (item == "ECONOMY"))).withColumn(
+        "Value", F.when(edited, F.col("Value") + 1).otherwise(F.col("Value"))
+    )
+    doubled = kept.where((domain == "QCL") & (item == "LARGE"))
+    foreign = rows.where((domain == "TCL") & (item == "PROMO"))
+    actual = release.manifest(union_all(changed, doubled, foreign))
+    return release.manifest_mismatches(release.manifest(kept), actual)
 
 
 @query
@@ -240,7 +255,8 @@ def release_differences(spark, sf):
 
 @query
 def select_observations(spark, sf):
-    rows = selection.select_observations(star.crops(spark, sf), "QCL", _chosen(PRODUCTION, YIELD))
+    crops = star.crops(spark, sf, [PRODUCTION, YIELD], PERIOD)
+    rows = selection.select_observations(crops, "QCL", _chosen(PRODUCTION, YIELD))
     return rows.orderBy(*selection.canonical_order())
 
 
@@ -251,7 +267,7 @@ def select_empty_items(spark, sf):
 
 @query
 def annual_prices(spark, sf):
-    return selection.select_observations(star.prices(spark, sf), "PP", _chosen())
+    return selection.select_observations(star.prices(spark, sf, PERIOD), "PP", _chosen())
 
 
 @query
@@ -306,7 +322,27 @@ def literal_search(spark, sf):
 
 @query
 def literal_search_observations(spark, sf):
-    return selection.literal_search(star.prices(spark, sf), "33.3")
+    return selection.literal_search(star.observations(spark, sf), "33.3")
+
+
+@query
+def literal_search_digits(spark, sf):
+    """All digits are searched: sevenths of quantities, down to the last one."""
+    lines = star.table(spark, sf, "lineitem")
+    parts = lines.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 7).alias("part"))
+    return selection.literal_search(parts, "285714285714286")
+
+
+@query
+def total_of_small_values(spark, sf):
+    """Sums of values beyond the twelfth digit and of very unequal size, to thirteen digits."""
+    lines = star.table(spark, sf, "lineitem")
+    tiny, third = F.col("l_quantity") * 1e-13, F.col("l_quantity") / 3
+    totals = lines.groupBy("l_returnflag").agg(
+        exact_sum(tiny).alias("tiny"), exact_sum(third).alias("third"), exact_sum(third * 1e16).alias("huge")
+    )
+    digits = {c: F.format_string("%.12e", c) for c in ("tiny", "third", "huge")}
+    return totals.withColumns(digits)
 
 
 # ---- Measures ------------------------------------------------------------------------
@@ -450,7 +486,7 @@ def map_values(spark, sf):
 @query
 def world_ranking(spark, sf):
     return reports.world_ranking(
-        star.crops(spark, sf), _countries(spark, sf), YIELD, (YEAR, YEAR), AREAS
+        star.crops(spark, sf, years=(YEAR, YEAR)), _countries(spark, sf), YIELD, (YEAR, YEAR), AREAS
     )
 
 
@@ -464,8 +500,8 @@ def rank_all_years(spark, sf):
 
 @query
 def scope_ranking(spark, sf):
-    chosen = selection.apply_selection(_crops(spark, sf, PRODUCTION), _chosen(PRODUCTION))
-    latest = measures.aggregate(chosen.where(F.col("Year") == YEAR), PRODUCTION, ["Area", "Year"])
+    chosen = selection.apply_selection(_crops(spark, sf, PRODUCTION, years=(YEAR, YEAR)), _chosen(PRODUCTION))
+    latest = measures.aggregate(chosen, PRODUCTION, ["Area", "Year"])
     # One row per chosen area: as many as there are literals.
     return ranking.with_rank(latest, ["Year", "Unit"], small=True)
 
@@ -531,10 +567,12 @@ def trade_by_item(spark, sf):
 
 @query
 def trade_series(spark, sf):
-    rows = star.trade(spark, sf).where(
-        ~F.col("Element").startswith("Export") | F.col("Area").isin(AREAS)
-    )
-    return reports.trade_series(rows, limit=30)
+    return reports.trade_series(star.trade(spark, sf))
+
+
+@query
+def trade_series_rollup(spark, sf):
+    return reports.trade_series(star.trade(spark, sf), level="item")
 
 
 @query
@@ -549,20 +587,25 @@ def price_series(spark, sf):
 
 @query
 def history_series(spark, sf):
-    rows = selection.apply_selection(_crops(spark, sf, YIELD), _chosen(YIELD))
+    rows = selection.apply_selection(_crops(spark, sf, YIELD, years=PERIOD), _chosen(YIELD))
     return reports.history_series(rows, YIELD)
 
 
+@query
+def history_series_all(spark, sf):
+    return reports.history_series(_crops(spark, sf, YIELD), YIELD)
+
+
 @query
 def history_series_rollup(spark, sf):
-    return reports.history_series(_crops(spark, sf), YIELD)
+    return reports.history_series(_crops(spark, sf), YIELD, level="item")
 
 
 @query
 def kpi_summary(spark, sf):
     return reports.kpi_summary(
-        star.crops(spark, sf),
-        star.prices(spark, sf),
+        star.crops(spark, sf, years=(PERIOD[1] - 1, PERIOD[1])),
+        star.prices(spark, sf, (PERIOD[1], PERIOD[1])),
         _countries(spark, sf),
         [KPI_AREA],
         [KPI_ITEM],
@@ -573,8 +616,8 @@ def kpi_summary(spark, sf):
 @query
 def kpi_summary_scope(spark, sf):
     return reports.kpi_summary(
-        star.crops(spark, sf),
-        star.prices(spark, sf),
+        star.crops(spark, sf, years=(YEAR, YEAR)),
+        star.prices(spark, sf, (YEAR, YEAR)),
         _countries(spark, sf),
         AREAS,
         ITEMS,
@@ -655,9 +698,10 @@ def formula_safe_cells(spark, sf):
 @query
 def csv_export(spark, sf):
     path = new_folder(spark, "export")
-    rows = star.table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    rows = star.table(spark, sf, "conversations")
     export.write_csv(rows, path, byte_order_mark=False)
-    return spark.read.schema("conv_id bigint, turn bigint, role string").csv(path, header=True)
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    return spark.read.schema(schema).options(**bulk.CSV_OPTIONS, multiLine=True).csv(path)
 
 
 @query

@@ -14,7 +14,6 @@ from obsmill.operators.change import period_change
 from obsmill.operators.geography import in_scope
 from obsmill.operators.measures import aggregate, normalize_yields, sum_by, weighted_yield
 from obsmill.operators.ranking import (
-    is_small,
     match_keys,
     rank_of,
     shares_and_ranks,
@@ -28,7 +27,6 @@ from obsmill.schema import (
     AREA_HARVESTED,
     CROP_ELEMENTS,
     CROP_UNITS,
-    MAX_SERIES,
     PRICE_ELEMENT,
     PRODUCTION,
     TRADE_ELEMENTS,
@@ -87,23 +85,26 @@ def series_guard(df: DataFrame, by: Sequence[str] = ("Element",)) -> DataFrame:
     )
 
 
-def history_series(df: DataFrame, element: str, limit: int = MAX_SERIES) -> DataFrame:
-    """Series of one element; more than `limit` of them become one line per item."""
-    rows = df.where(F.col("Element") == element)
-    guard = series_guard(rows, ()).first()
-    if not guard.n_values:
-        return series_rows(rows.where(F.lit(False)))
-    return rolled_up_series(df, element) if guard.n_series > limit else series_rows(rows)
+def _by_area(level: str) -> bool:
+    if level not in ("area", "item"):
+        raise ValueError(f"unknown level {level}")
+    return level == "area"
 
 
-def trade_series(trade: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
-    """The same for each trade flow on its own; an empty flow has no rows."""
+def history_series(df: DataFrame, element: str, level: str = "area") -> DataFrame:
+    """Series of one element: a line per area and item, or at level "item" one per item.
+
+    `series_guard` counts the lines, for callers that show only so many.
+    """
+    if _by_area(level):
+        return series_rows(df.where(F.col("Element") == element))
+    return rolled_up_series(df, element)
+
+
+def trade_series(trade: DataFrame, level: str = "area") -> DataFrame:
+    """The same for all trade flows; an empty flow has no rows."""
     flows = trade.where(F.col("Element").isin(*TRADE_ELEMENTS))
-    # At most one row per flow comes back.
-    crowded = [r.Element for r in series_guard(flows).collect() if r.n_series > limit]
-    many = F.col("Element").isin(crowded)
-    detail = series_rows(flows.where(~many))
-    return union_all(detail, _as_series(trade_by_item(flows.where(many))))
+    return series_rows(flows) if _by_area(level) else _as_series(trade_by_item(flows))
 
 
 def price_series(prices: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def world_ranking(
 ) -> DataFrame:
     """All countries ranked per year in the indicator's unit, the selected ones marked.
 
-    A year and unit has at most one row per country, so the number of countries
-    tells whether the plain ranking is safe.
+    A year and unit has one row per country, of which there are a few hundred
+    whatever the facts, so a plain window ranks them.
     """
     population = in_scope(crops.where(F.col("Year").between(*years)), countries)
     ranked = shares_and_ranks(
@@ -128,7 +129,7 @@ def world_ranking(
             F.col("Unit") == CROP_UNITS[indicator]
         ),
         ["Year", "Unit"],
-        small=is_small(countries),
+        small=True,
     )
     return ranked.withColumn("in_selection", F.coalesce(F.col("Area").isin(list(scope)), F.lit(False)))
 
@@ -328,7 +329,7 @@ def question_intents(questions: DataFrame, text: str, indicator: str) -> DataFra
         .otherwise(indicator)
     )
     intent = F.when(mentions(GROWTH_WORDS), "growth").when(mentions(TOP_WORDS), "top").otherwise("count")
-    return questions.where(F.trim(F.col(text)) != "").withColumns(
+    return questions.where(F.col(text).rlike(r"(?U)\S")).withColumns(
         {"element": element, "intent": intent}
     )
 

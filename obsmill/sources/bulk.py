@@ -38,20 +38,25 @@ def find_normalized(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{found[0].entry}"
 
 
-def read_bulk(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, in the order of the header; a malformed row fails the load."""
+def read_bulk(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every column as text, in the order of the header; a malformed row fails the load.
+
+    With `multi_line`, quoted cells may hold line breaks; a file is then read
+    by one task, as it cannot be split.
+    """
     rows = (
         spark.read.options(**CSV_OPTIONS)
         .option("inferSchema", False)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("multiLine", multi_line)
         .csv(path)
     )
     return require_columns(rows)
 
 
-def load_bulk(spark: SparkSession, folder: str) -> DataFrame:
-    return typed(read_bulk(spark, find_normalized(spark, folder)))
+def load_bulk(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+    return typed(read_bulk(spark, find_normalized(spark, folder), multi_line))
 
 
 def load_domains(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:

@@ -78,7 +78,11 @@ def domain_metadata(catalog: DataFrame, code: str, host: str) -> dict[str, str]:
 
 
 def stale_domains(catalog: DataFrame, releases: DataFrame) -> DataFrame:
-    """Domains whose catalog date differs from the date of the prepared release."""
+    """Known domains whose catalog date differs from the date of the prepared release.
+
+    A catalog lists many data sets besides; those are none of a release's concern.
+    """
+    catalog = catalog.where(F.col("code").isin(*DOMAINS))
     held = releases.select("code", F.col("updated").alias("release_updated"))
     return catalog.join(held, "code", "left").select(
         "code",

@@ -7,13 +7,14 @@ import uuid
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.schema import DOMAINS, require_columns
 from obsmill.session import sound_unions
 from obsmill.sources.bulk import domain_union, load_bulk
 from obsmill.sources.log import PublishLog
+from obsmill.sources.workspace import remove_folder
 
 LOG_SCHEMA = (
     "code string, sequence long, version string, name string, updated string, url string, "
@@ -53,15 +54,19 @@ class DomainStore:
             raise ValueError(f"domain {code} was never loaded")
         return require_columns(self.spark.read.parquet(self._path(code, record.version)))
 
-    def load(self, metadata: Mapping[str, str], folder: str) -> str:
-        """Types the bulk CSV in `folder` and publishes it as a new version."""
+    def load(self, metadata: Mapping[str, str], folder: str, multi_line: bool = False) -> str:
+        """Types the bulk CSV in `folder` and publishes it as a new version; a failed one leaves no files."""
         code = self._known(metadata["code"])
         version = uuid.uuid4().hex
         path = self._path(code, version)
-        load_bulk(self.spark, folder).write.option("compression", "zstd").parquet(path)
-        rows = self.spark.read.parquet(path).count()
-        if rows == 0:
-            raise ValueError(f"the bulk file of {code} is empty")
+        try:
+            load_bulk(self.spark, folder, multi_line).write.option("compression", "zstd").parquet(path)
+            rows = self.spark.read.parquet(path).count()
+            if rows == 0:
+                raise ValueError(f"the bulk file of {code} is empty")
+        except Exception:
+            remove_folder(self.spark, path)
+            raise
         self._log.append(
             F.col("code") == code,
             **{name: metadata.get(name) for name in METADATA},
@@ -71,29 +76,35 @@ class DomainStore:
         )
         return version
 
-    def ensure(self, metadata: Mapping[str, str], folder: str) -> str:
-        """The version held if it is readable and up to date, else a newly loaded one.
+    def _readable(self, code: str) -> Row | None:
+        """The newest entry whose files can be read with the required columns."""
+        entry = self.record(code)
+        if entry is None:
+            return None
+        try:
+            self.open(code)
+        except Exception as cause:
+            warnings.warn(f"files of {code} cannot be read, {cause}; loading them anew")
+            return None
+        return entry
+
+    def ensure(self, metadata: Mapping[str, str], folder: str, multi_line: bool = False) -> str:
+        """A version that is readable and of the catalog's date, loaded if none is held.
 
-        A damaged version is loaded again; when loading fails, an intact older
-        version stays in use.  Both come with a warning.
+        If that load fails, a readable version of another date is given, with a
+        warning.
         """
         code = self._known(metadata["code"])
-        held = self.record(code)
-        if held is not None:
-            try:
-                self.open(code)
-            except Exception as problem:
-                warnings.warn(f"{code} is damaged and will be loaded again: {problem}")
-                held = None
-        if held is not None and held.updated == metadata["updated"]:
-            return held.version
+        fallback = self._readable(code)
+        if fallback is not None and fallback.updated == metadata["updated"]:
+            return fallback.version
         try:
-            return self.load(metadata, folder)
-        except Exception as problem:
-            if held is None:
-                raise ValueError(f"{code} cannot be loaded: {problem}") from problem
-            warnings.warn(f"update of {code} failed, version {held.updated} stays in use: {problem}")
-            return held.version
+            return self.load(metadata, folder, multi_line)
+        except Exception as cause:
+            if fallback is None:
+                raise ValueError(f"{code} cannot be loaded: {cause}") from cause
+            warnings.warn(f"{code} stays at {fallback.updated}, as loading failed: {cause}")
+            return fallback.version
 
     def metadata(self) -> DataFrame:
         """One row per loaded domain: what the catalog said and the rows of the whole table."""

@@ -8,7 +8,6 @@ half-written release and a failed build leaves the old one in place.
 from __future__ import annotations
 
 import time
-import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
@@ -31,6 +30,7 @@ from obsmill.schema import (
 from obsmill.session import sound_unions, union_all
 from obsmill.sources.catalog import stale_domains
 from obsmill.sources.log import PublishLog
+from obsmill.sources.workspace import remove_folder
 
 LOG_SCHEMA = "sequence long, release string, schema_version int, published_at double"
 
@@ -168,12 +168,27 @@ class ReleaseStore:
         return entry.release
 
     def stage(self, observations: DataFrame, metadata: DataFrame) -> str:
-        """Writes a release that is not visible to readers yet and checks it.
+        """Writes a release that is not visible to readers yet and checks it against its source.
 
-        The source is read once for the dimensions and once for the rows; all
-        other tables come from what was written.
+        The source is read for the dimensions, for the rows, and for the
+        manifest that the written rows must match.  What a failed build has
+        written is removed.
         """
-        release = "release-" + uuid.uuid4().hex[:12]
+        release = self._next_name()
+        try:
+            self._build(release, observations, metadata)
+        except Exception:
+            remove_folder(self.spark, f"{self.root}/releases/{release}")
+            raise
+        return release
+
+    def _next_name(self) -> str:
+        """Named by its place in the log; a second builder of the same place gets a name of its own."""
+        newest = self._log.newest()
+        place = 0 if newest is None else newest.sequence + 1
+        return f"r{place:06d}-{time.time_ns():x}"
+
+    def _build(self, release: str, observations: DataFrame, metadata: DataFrame) -> None:
         members = (
             require_columns(observations)
             .where(F.col("Domain") == "QCL")
@@ -188,14 +203,19 @@ class ReleaseStore:
         if items.isEmpty():
             raise ValueError("a release without rows is not published")
 
-        write_rows(release_rows(observations, items), self.path(release, "observations"))
+        source = release_rows(observations, items)
+        write_rows(source, self.path(release, "observations"))
         rows = self._table(release, "observations")
         self._write(release, "availability", availability(rows.where("Domain = 'QCL'"), items))
         self._write(release, "domains", metadata)
-        self._write(release, "manifest", manifest(rows))
+        self._write(release, "manifest", manifest(source))
+        self._write(release, "files", self.spark.createDataFrame([(n,) for n in self._file_names(release)], "name string"))
         if not self.mismatches(release).isEmpty():
-            raise ValueError(f"{release} does not match its own manifest")
-        return release
+            raise ValueError(f"{release} does not hold the rows of its source")
+
+    def _file_names(self, release: str) -> list[str]:
+        """The files of the observations, below their folder; read from the listing alone."""
+        return sorted(f.rpartition("/observations/")[2] for f in self._table(release, "observations").inputFiles())
 
     def publish(self, observations: DataFrame, metadata: DataFrame) -> str:
         release = self.stage(observations, metadata)
@@ -248,10 +268,14 @@ class ReleaseStore:
         return self._table(release or self.published(), table)
 
     def open(self, release: str | None = None, domain: str | None = None) -> DataFrame:
-        """The observations of a release or of one domain, checked for their columns."""
+        """The observations of a release or of one domain, checked for their columns and files."""
         if domain is not None and domain not in DOMAINS:
             raise ValueError(f"unknown domain {domain}")
+        release = release or self.published()
         rows = require_columns(self.table("observations", release))
+        lost = {r.name for r in self._table(release, "files").collect()} - set(self._file_names(release))
+        if lost:
+            raise ValueError(f"{release} lacks {len(lost)} of its files, such as {min(lost)}")
         return rows if domain is None else rows.where(F.col("Domain") == domain)
 
     def mismatches(self, release: str) -> DataFrame:
@@ -260,33 +284,19 @@ class ReleaseStore:
         )
 
 
-class DomainFrames(Mapping):
-    """Domain code to frame; a secondary domain that fails is empty, not fatal.
+def opened(
+    spark: SparkSession, openers: Mapping[str, Callable[[], DataFrame]], like: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The frames that open, and a table of problems (domain, message) for the others.
 
-    Each frame is resolved on first use.  Opening a source lists its files and
-    reads its schema, so a missing or unreadable one is noticed there and not
-    only at the action.
+    A frame that cannot be opened, or lacks a required column, is given as an
+    empty one with the columns of `like`, so its failure stays its own.
     """
-
-    def __init__(self, base: DataFrame, openers: Mapping[str, Callable[[], DataFrame]]):
-        self._frames = {"QCL": base}
-        self._openers = dict(openers)
-        self.errors: dict[str, str] = {}
-
-    def __iter__(self):
-        return iter(DOMAINS)
-
-    def __len__(self) -> int:
-        return len(DOMAINS)
-
-    def __getitem__(self, code: str) -> DataFrame:
-        if code not in DOMAINS:
-            raise KeyError(code)
-        if code not in self._frames:
-            try:
-                self._frames[code] = require_columns(self._openers[code]())
-            except Exception as problem:
-                self.errors[code] = str(problem)
-                self._frames[code] = empty_like(self._frames["QCL"])
-        return self._frames[code]
-
+    frames, problems = {}, []
+    for code, opener in openers.items():
+        try:
+            frames[code] = require_columns(opener())
+        except Exception as problem:
+            problems.append((code, str(problem)))
+    empty = dict.fromkeys((code for code, _ in problems), empty_like(like))
+    return frames | empty, spark.createDataFrame(problems, "domain string, message string")

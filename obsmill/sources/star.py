@@ -88,9 +88,17 @@ def _amount(hundredths: Column) -> Column:
     return hundredths.cast("double") / 100
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shipped(lines: DataFrame, years: tuple[int, int] | None) -> DataFrame:
+    """Lines of some years, by bounds on the date itself, so that files are pruned by them."""
+    if years is None:
+        return lines
+    first, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (years[0], years[1] + 1))
+    return lines.where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
+
+
+def _lines(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("Item"))
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = _shipped(table(spark, sf_dir, "lineitem"), years).select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
@@ -159,15 +167,18 @@ def _finish(cells: DataFrame, domain: str, rows: Iterable[Column], months: Colum
 
 
 def crops(
-    spark: SparkSession, sf_dir: str, elements: Iterable[str] = CROP_ELEMENTS
+    spark: SparkSession,
+    sf_dir: str,
+    elements: Iterable[str] = CROP_ELEMENTS,
+    years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """QCL: production, area harvested and yield.
+    """QCL: production, area harvested and yield, of some years or all.
 
     The distinct count of orders is the costly part, so it is left out when
     the wanted elements do not need it.
     """
     wanted = set(elements)
-    lines = _with_supplier(_lines(spark, sf_dir), spark, sf_dir)
+    lines = _with_supplier(_lines(spark, sf_dir, years), spark, sf_dir)
     sums = [F.sum("q").alias("q")]
     if wanted & {AREA_HARVESTED, YIELD}:
         # One row per order and cell first: a third faster than a distinct
@@ -212,9 +223,9 @@ def crops(
     return _finish(cells, "QCL", rows, F.lit(None).cast("string"))
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """PP: one annual price and monthly prices, from one pass by month."""
-    lines = _with_supplier(_lines(spark, sf_dir), spark, sf_dir)
+    lines = _with_supplier(_lines(spark, sf_dir, years), spark, sf_dir)
     cells = (
         lines.groupBy("nk", "Item", "Year", "month")
         .agg(F.sum("q").alias("q"), F.sum("p").alias("p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from obsmill.schema import (
 )
 from obsmill.sources.catalog import stale_domains
 from obsmill.sources.domains import DomainStore
-from obsmill.sources.release import DomainFrames, ReleaseStore
+from obsmill.sources.release import ReleaseStore, opened
 
 ELEMENTS = {"QCL": CROP_ELEMENTS, "PP": (PRICE_ELEMENT,), "TCL": TRADE_ELEMENTS}
 Names = Sequence[str] | None
@@ -69,14 +70,12 @@ class BulkTables:
     def stale(self, catalog: DataFrame) -> DataFrame:
         return stale_domains(catalog, self.metadata())
 
-    def frames(self, areas: Names, items: Names, years: Years) -> DomainFrames:
-        """The three domains under one selection; PP and TCL are opened on first use."""
-
-        def opener(code: str):
-            return lambda: self.query(code, areas, items, ELEMENTS[code], years)
-
-        base = opener("QCL")()
-        return DomainFrames(base, {code: opener(code) for code in DOMAINS if code != "QCL"})
+    def frames(self, areas: Names, items: Names, years: Years) -> tuple[dict[str, DataFrame], DataFrame]:
+        """The three domains under one selection, and the problems of PP and TCL, which may fail."""
+        chosen = {code: partial(self.query, code, areas, items, ELEMENTS[code], years) for code in DOMAINS}
+        base = chosen.pop("QCL")()
+        frames, problems = opened(base.sparkSession, chosen, like=base)
+        return {"QCL": base} | frames, problems
 
 
 class PreparedTables(BulkTables):

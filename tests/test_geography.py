@@ -1,3 +1,5 @@
+import pytest
+
 from obsmill.operators import geography
 from obsmill.schema import M49_COLUMN, UNCLASSIFIED
 
@@ -66,3 +68,11 @@ def test_scope(spark):
     assert names(None, None, ["Taiwan"]) == ["Taiwan"]
     assert names("Asia", None, ["Ecuador"]) == []
     assert names("Asia", None, []) == ["Taiwan"]
+
+
+def test_a_code_that_comes_twice_is_refused(spark):
+    lookup = spark.createDataFrame([(4, "AFG", "Asia", "S"), (4, "XXX", "Asia", "S")], "M49 int, ISO3 string, Continent string, Region string")
+    areas = spark.createDataFrame([("A", "'004")], f"Area string, `{M49_COLUMN}` string")
+    with pytest.raises(Exception, match="more than one row for code 4"):
+        geography.enrich_geography(areas, lookup).collect()
+    assert geography.enrich_geography(areas, lookup.limit(1)).first().ISO3 == "AFG"

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from obsmill.plans import oracle, queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem documents pages conversations".split()
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = queries.registry(), oracle.oracle()
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,10 @@ def test_fingerprints_do_not_depend_on_the_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_the_contract_has_all_queries_and_their_sql():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+
+
 def test_flagship(spark):
     rows = {r.kpi: r.value for r in contract.entry(spark).collect()}
     assert len(rows) == 6 and all(v is not None for v in rows.values())

@@ -57,19 +57,23 @@ def many(observe, n):
     return observe([(f"a{i}", "Crop", 2024, "Production", "t", 1.0) for i in range(n)])
 
 
-def test_up_to_twenty_series_stay_apart(observe):
-    rows = reports.history_series(many(observe, 20), "Production").collect()
-    assert len(rows) == 20 and {r.flag for r in rows} == {None} and rows[0].series.endswith(" · Crop")
+@pytest.mark.parametrize("count", [1, 30])
+def test_the_level_alone_sets_the_grain_of_a_history(observe, count):
+    rows = reports.history_series(many(observe, count), "Production").collect()
+    assert len(rows) == count and {r.flag for r in rows} == {None} and rows[0].series.endswith(" · Crop")
+    (row,) = reports.history_series(many(observe, count), "Production", level="item").collect()
+    assert (row.series, row.Area, row.Value, row.flag) == ("Crop", None, float(count), AGGREGATE_FLAG)
 
 
-def test_more_series_become_one_line_per_item(observe):
-    (row,) = reports.history_series(many(observe, 21), "Production").collect()
-    assert (row.series, row.Area, row.Value, row.flag) == ("Crop", None, 21.0, AGGREGATE_FLAG)
+def test_unknown_levels_are_refused(sample):
+    with pytest.raises(ValueError, match="level"):
+        reports.history_series(sample, "Production", level="world")
 
 
-def test_history_without_values_is_empty(observe):
+def test_a_history_without_values_has_none(observe):
     rows = many(observe, 3).withColumn("Value", F.lit(None).cast("double"))
-    assert reports.history_series(rows, "Production").isEmpty()
+    assert {r.Value for r in reports.history_series(rows, "Production").collect()} == {None}
+    assert reports.series_guard(rows).first().n_values == 0
 
 
 def test_source_flags_are_kept(observe):
@@ -77,11 +81,13 @@ def test_source_flags_are_kept(observe):
     assert reports.history_series(rows, "Production").first().flag == "E"
 
 
-def test_each_trade_flow_has_its_own_rule(observe):
+def test_trade_series_of_both_levels(observe):
     few = observe([("A", "Crop", 2024, "Import value", "1000 USD", 3.0)])
     crowd = observe([(f"a{i}", "Crop", 2024, "Export value", "1000 USD", 1.0) for i in range(21)])
-    got = {(r.Element, r.series): r.Value for r in reports.trade_series(few.unionByName(crowd)).collect()}
-    assert got == {("Import value", "A · Crop"): 3.0, ("Export value", "Crop"): 21.0}
+    rows = few.unionByName(crowd)
+    assert reports.trade_series(rows).count() == 22
+    got = {(r.Element, r.series): r.Value for r in reports.trade_series(rows, level="item").collect()}
+    assert got == {("Import value", "Crop"): 3.0, ("Export value", "Crop"): 21.0}
 
 
 def test_share_without_world_total_is_missing(spark, observe, sample):
@@ -144,7 +150,7 @@ def test_missing_items(spark, observe):
     ],
 )
 def test_intents(spark, question, element, intent):
-    df = spark.createDataFrame([(question,), ("   ",)], "q string")
+    df = spark.createDataFrame([(question,), ("   ",), ("\t\n\u2003",), ("",)], "q string")
     (row,) = reports.question_intents(df, "q", "Area harvested").collect()
     assert (row.element, row.intent) == (element, intent)
 

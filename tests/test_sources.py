@@ -1,5 +1,6 @@
 import json
 import warnings
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,9 +101,20 @@ def test_a_failed_load_keeps_the_old_version(domain_store, tmp_path):
             domain_store.ensure(META, folder)
     assert domain_store.record("QCL") is None
     first = domain_store.ensure(META, csv(tmp_path, 12, "good"))
-    with pytest.warns(UserWarning, match="stays in use"):
+    with pytest.warns(UserWarning, match="stays at 2024"):
         assert domain_store.ensure({**META, "updated": "2025"}, csv(tmp_path, "INVALID", "bad")) == first
     assert domain_store.record("QCL").updated == "2024"
+    # What failed loads had written is gone.
+    assert [p.name for p in Path(domain_store.root, "QCL").glob("*")] == [first]
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    put(tmp_path / "m" / "normalized.csv", HEADER + '"first\nsecond",Crop,Production,2024,t,12,x\n')
+    folder = str(tmp_path / "m")
+    (row,) = bulk.load_bulk(spark, folder, multi_line=True).collect()
+    assert "first\nsecond" in tuple(row)
+    with pytest.raises(Exception):  # noqa: B017
+        bulk.load_bulk(spark, folder).collect()
 
 
 def test_an_empty_bulk_file_is_an_error(domain_store, tmp_path):
@@ -114,7 +126,7 @@ def test_an_empty_bulk_file_is_an_error(domain_store, tmp_path):
 def test_a_damaged_version_is_loaded_again(spark, domain_store, tmp_path, sample):
     first = domain_store.ensure(META, csv(tmp_path, 12))
     sample.drop("Value").write.mode("overwrite").parquet(f"{domain_store.root}/QCL/{first}")
-    with pytest.warns(UserWarning, match="damaged"):
+    with pytest.warns(UserWarning, match="cannot be read"):
         assert domain_store.ensure(META, csv(tmp_path, 20, "b")) != first
     assert domain_store.open("QCL").first().Value == 20.0
 
@@ -180,6 +192,12 @@ def test_stale_domains(spark):
     assert got == {"QCL": False, "PP": True, "TCL": True}
 
 
+def test_foreign_data_sets_are_not_stale(spark):
+    now = spark.createDataFrame([("QCL", "2025"), ("FBS", "2030"), (None, "2030")], "code string, updated string")
+    held = spark.createDataFrame([("QCL", "2025")], "code string, updated string")
+    assert [tuple(r) for r in catalog.stale_domains(now, held).select("code", "stale").collect()] == [("QCL", False)]
+
+
 # ---- Releases ------------------------------------------------------------------------
 
 
@@ -276,6 +294,36 @@ def test_current_release_is_reused_and_a_damaged_one_rebuilt(spark, store):
         assert store.ensure(build) != first
 
 
+def folders(store):
+    return sorted(p.name for p in Path(store.root, "releases").glob("*"))
+
+
+def test_a_write_that_loses_rows_is_not_published(spark, store, monkeypatch):
+    first = store.publish(observations(spark), metadata(spark))
+    write = release.write_rows
+    monkeypatch.setattr(release, "write_rows", lambda rows, path: write(rows.where("Area <> 'A'"), path))
+    with pytest.raises(ValueError, match="rows of its source"):
+        store.publish(observations(spark), metadata(spark))
+    assert store.current() == first and folders(store) == [first]
+
+
+def test_a_lost_file_is_noticed(spark, store):
+    build = lambda: (observations(spark), metadata(spark))
+    first = store.ensure(build)
+    next(Path(store.path(first, "observations")).rglob("part-*.parquet")).unlink()
+    with pytest.raises(ValueError, match="lacks 1 of its files"):
+        store.open()
+    with pytest.warns(UserWarning, match="damaged"):
+        assert store.ensure(build) != first
+
+
+def test_a_catalog_with_foreign_data_sets_rebuilds_nothing(spark, store):
+    build = lambda: (observations(spark), metadata(spark))
+    first = store.ensure(build)
+    foreign = spark.createDataFrame([("FBS", "2030"), ("RL", "2030")], "code string, updated string")
+    assert store.ensure(build, metadata(spark).select("code", "updated").unionByName(foreign)) == first
+
+
 def test_stale_release_is_rebuilt(spark, store):
     first = store.ensure(lambda: (observations(spark), metadata(spark)))
     assert store.ensure(lambda: (observations(spark), metadata(spark, "2025")), metadata(spark, "2025")) != first
@@ -319,18 +367,16 @@ def test_parity_counts_copies(spark):
 
 
 def test_failing_domains_are_empty_and_reported(spark, tmp_path, sample):
-    opened = []
-
-    def trade():
-        opened.append("TCL")
-        return sample
-
-    frames = release.DomainFrames(sample, {"PP": lambda: spark.read.parquet(str(tmp_path / "absent")), "TCL": trade})
-    assert list(frames) == ["QCL", "PP", "TCL"] and len(frames) == 3 and opened == []
-    assert frames["PP"].isEmpty() and frames["PP"].columns == sample.columns and set(frames.errors) == {"PP"}
-    assert frames["TCL"].count() == 6 and frames["TCL"] is frames["TCL"] and opened == ["TCL"]
-    with pytest.raises(KeyError):
-        frames["XX"]
+    openers = {
+        "PP": lambda: spark.read.parquet(str(tmp_path / "absent")),
+        "TCL": lambda: sample,
+        "QCL": lambda: sample.drop("Unit"),
+    }
+    frames, problems = release.opened(spark, openers, like=sample)
+    assert frames["PP"].isEmpty() and frames["PP"].columns == sample.columns and frames["TCL"].count() == 6
+    messages = {r.domain: r.message for r in problems.collect()}
+    assert set(messages) == {"PP", "QCL"} and "Unit" in messages["QCL"]
+    assert release.opened(spark, {"TCL": lambda: sample}, like=sample)[1].isEmpty()
 
 
 # ---- Exports -------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -72,6 +73,31 @@ def test_sums_beyond_the_decimal_leave_nothing_out(spark, numbers, total, ansi):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+def total(spark, numbers):
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    return df.agg(values.exact_sum(F.col("v")).alias("s")).first().s
+
+
+@pytest.mark.parametrize("number", [1 / 3, 4e-13, 7e-13, 1e30, -2 / 7, 0.1, 123456789.987654321, 5e-324])
+def test_a_single_value_comes_back_bit_for_bit(spark, number):
+    assert total(spark, [number]) == number
+
+
+def test_digits_beyond_the_twelfth_add_up(spark):
+    assert total(spark, [4e-13, 1e-13]) == pytest.approx(5e-13, rel=1e-12)
+    assert total(spark, [1 / 3] * 3000) == pytest.approx(1000, rel=1e-15)
+
+
+def test_mixed_sizes_in_any_order(spark):
+    numbers = [1e30, 1 / 3, -1e30, 4e-13, 1e15, 0.1, -1e15] * 5
+    exact = math.fsum(n for n in numbers if abs(n) < 1e20)
+    for seed in range(3):
+        random.Random(seed).shuffle(numbers)
+        small = [n for n in numbers if abs(n) < 1e20]
+        assert total(spark, small) == pytest.approx(exact, rel=1e-14)
+        assert abs(total(spark, numbers)) < 1e16
+
+
 def test_yield_units(spark, observe):
     rows = observe(
         [("A", "C", 1, "Yield", u, 5000.0) for u in ("kg/ha", "hg/ha", "100 mg/ha", "t/ha", "lb/acre")]
