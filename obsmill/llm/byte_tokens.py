@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -45,7 +46,7 @@ class PieceEncoder:
     space.
     """
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -125,5 +126,7 @@ _loaded: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a file; it outlives a task, and so do the pieces it knows."""
     if path not in _loaded:
+        # Spark's tasks fill the cores; threads of the library would only add to them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _loaded[path] = PieceEncoder(path)
     return _loaded[path]
