@@ -20,7 +20,7 @@ _CUT = re.compile(r" (?=\S)")
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~\n].*)", re.DOTALL)
 
 
-class _Known:
+class Known:
     """The ids of pieces, in two generations: what the last one did not use is forgotten."""
 
     def __init__(self, most: int):
@@ -54,7 +54,7 @@ class PieceEncoder:
         letters = self.tokenizer.get_vocab()  # a token has one letter for each of its bytes
         self.sizes = np.zeros(max(letters.values()) + 1, dtype=np.int64)
         self.sizes[list(letters.values())] = [len(t) for t in letters]
-        self.first, self.rest = _Known(most_pieces // 4), _Known(most_pieces)
+        self.first, self.rest = Known(most_pieces // 4), Known(most_pieces)
 
     def _library(self, pieces: list[str], at_once: int = 2_000) -> Iterator[bytes]:
         """The ids of each piece; many pieces share a call, as its overhead exceeds their work.
@@ -69,11 +69,11 @@ class PieceEncoder:
             ends = (4 * np.searchsorted(done, np.cumsum([len(p.encode()) for p in group]), side="right")).tolist()
             yield from (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
-    def _call(self, known: _Known, pieces: set[str], lead: str) -> None:
+    def _call(self, known: Known, pieces: set[str], lead: str) -> None:
         new = known.unknown(pieces.difference(known.young))
         known.young.update(zip(new, self._library([lead + p for p in new]), strict=True))
 
-    def _learn(self, known: _Known, pieces: set[str], lead: str) -> None:
+    def _learn(self, known: Known, pieces: set[str], lead: str) -> None:
         """Learns pieces that are not young; words of Latin letters apart from what follows them."""
         new = known.unknown(pieces)
         split = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}

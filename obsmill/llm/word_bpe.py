@@ -10,7 +10,10 @@ distinct words computes it once for every shared prefix.
 
 from __future__ import annotations
 
+import gc
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from obsmill.llm.byte_tokens import Known
 from obsmill.llm.frames import slices, texts_of
 
+# White space other than the space, by the widest notion of it, and normalised pieces
+# whose words are plain: letters, then signs that begin no contraction.
+_SPACE = re.compile(r"[^\S ]")
+_SIMPLE = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)?")
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -42,8 +50,10 @@ class Merges:
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
         self.names = {i: t for t, i in self.ids.items()}
         self.longest = max(len(self._letters(t)) for t in self.ids)
-        self._alone: dict[str, bool] = {}
+        # Tokens whose letters encode to them; the others never come up.
+        self.usable = {t for t in self.ids if self._merged(self._symbols(t)) == [t]}
         self._beside: dict[tuple[str, str], bool] = {}
+        self._states: dict[str, str] = {}
 
     def _letters(self, token: str) -> str:
         return token[: -len(self.end)] if self.end and token.endswith(self.end) and token != self.end else token
@@ -62,20 +72,38 @@ class Merges:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def alone(self, token: str) -> bool:
-        """Whether the letters of a token encode to it."""
-        if token not in self._alone:
-            self._alone[token] = self._merged(self._symbols(token)) == [token]
-        return self._alone[token]
+    def last_token(self, prefix: str, last: list[str], end: str) -> str:
+        """The last token of a prefix, or with `end` of a word, given the last tokens of all shorter prefixes."""
+        usable, beside, depth = self.usable, self._beside, len(prefix)
+        for start in range(max(0, depth - self.longest), depth):
+            token = prefix[start:] + end
+            if token in usable:
+                if not start:
+                    return token
+                left = last[start]
+                fits = beside.get((left, token))
+                if fits or fits is None and self.beside(left, token):
+                    return token
+        raise ValueError(f"the vocabulary has no token for {prefix[-1:] + end!r}")
+
+    def state(self, prefix: str, last: list[str]) -> str:
+        """The last token of a prefix, which later batches of words may share."""
+        known = self._states.get(prefix)
+        if known is None:
+            if len(self._states) > 500_000:
+                self._states.clear()
+            known = self._states[prefix] = self.last_token(prefix, last, "")
+        return known
 
     def beside(self, left: str, right: str) -> bool:
         """Whether the letters of two tokens encode to these two."""
         key = (left, right)
-        if key not in self._beside:
-            if len(self._beside) > 2_000_000:
+        known = self._beside.get(key)
+        if known is None:
+            if len(self._beside) > 1_000_000:
                 self._beside.clear()
-            self._beside[key] = self._merged([*self._symbols(left), *self._symbols(right)]) == [left, right]
-        return self._beside[key]
+            known = self._beside[key] = self._merged([*self._symbols(left), *self._symbols(right)]) == [left, right]
+        return known
 
 
 class WordTrie:
@@ -94,32 +122,20 @@ class WordTrie:
     def encodings(self, merges: Merges) -> Iterator[tuple[str, list[str]]]:
         """(word, tokens), depth first.  last[d] is the last token of the prefix of d letters."""
         last: list[str] = [""]
-        path: list[str] = []
         stack: list[tuple[int, str, dict]] = [(1, a, n) for a, n in self.root.items() if a]
         if self.END in self.root:
             yield "", []
         while stack:
-            depth, letter, node = stack.pop()
-            del path[depth - 1 :], last[depth:]
-            path.append(letter)
-            prefix = "".join(path)
+            depth, prefix, node = stack.pop()
+            del last[depth:]
             if self.END in node:
-                end = self._last_token(merges, prefix, last, merges.end)
+                end = merges.last_token(prefix, last, merges.end)
                 yield prefix, self._tokens(last, end, depth - len(end) + len(merges.end))
-            children = [(depth + 1, a, n) for a, n in node.items() if a]
+            children = [(depth + 1, prefix + a, n) for a, n in node.items() if a]
             if children:
-                last.append(self._last_token(merges, prefix, last, ""))
+                last.append(merges.state(prefix, last))
                 stack += children
 
-    @staticmethod
-    def _last_token(merges: Merges, prefix: str, last: list[str], end: str) -> str:
-        depth = len(prefix)
-        for start in range(max(0, depth - merges.longest), depth):
-            token = prefix[start:] + end
-            if token in merges.ids and merges.alone(token) and (start == 0 or merges.beside(last[start], token)):
-                return token
-        raise ValueError(f"the vocabulary has no token for {prefix[-1:] + end!r}")
-
     @staticmethod
     def _tokens(last: list[str], end: str, depth: int) -> list[str]:
         tokens = [end]
@@ -130,9 +146,9 @@ class WordTrie:
 
 
 class WordEncoder:
-    """Encodes and decodes texts; remembers up to `max_pieces` distinct pieces between spaces."""
+    """Encodes and decodes texts; remembers up to twice `most` pieces between spaces, and as many words."""
 
-    def __init__(self, path: str, max_pieces: int = 250_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -143,39 +159,57 @@ class WordEncoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")" if self.added else r"(?!)()")
         self.letters = _byte_letters()
-        self.max_pieces = max_pieces
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def _words(self, piece: str) -> Iterator[str | int]:
-        """The words of a piece in the letters of their bytes, and the ids of added tokens."""
-        for part in self.cut.split(piece):
-            if part in self.added:
-                yield self.added[part]
-            elif part:
-                for word in self.pattern.findall(self.tokenizer.normalizer.normalize_str(part)):
-                    yield "".join([self.letters[b] for b in word.encode()])
+        self.pieces, self.words = Known(most), Known(most)
+
+    def _split(self, normal: str) -> list[str]:
+        """The words of normalised text, in the letters of their bytes."""
+        simple = _SIMPLE.fullmatch(normal)
+        if simple:
+            return [w for w in simple.groups() if w]
+        found = self.pattern.findall(normal)
+        return [w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()]) for w in found]
+
+    def _words(self, pieces: list[str]) -> dict[str, list[str | int]]:
+        """The words of each piece; added tokens, which are not normalised, as their ids."""
+        normal = self.tokenizer.normalizer.normalize_str
+        plain = [p for p in pieces if p and not self.cut.search(p) and not _SPACE.search(p)]
+        # No letter is joined across a space, so one call does for all pieces without other white space.
+        whole = normal(" ".join(plain)).split(" ")
+        found: dict[str, list[str | int]] = {p: self._split(w) for p, w in zip(plain, whole, strict=bool(plain))}
+        for piece in pieces:
+            if piece not in found:
+                parts = self.cut.split(piece)
+                found[piece] = [w for p in parts for w in ([self.added[p]] if p in self.added else self._split(normal(p)))]
+        return found
 
     def _learn(self, pieces: list[str]) -> None:
-        words = [list(self._words(p)) for p in pieces]
-        trie = WordTrie({w for ws in words for w in ws if isinstance(w, str)})
-        tokens = dict(trie.encodings(self.merges))
-        names = {i: t for t, i in self.added.items()}
-        for piece, ws in zip(pieces, words, strict=True):
-            parts = [t for w in ws for t in (tokens[w] if isinstance(w, str) else [names[w]])]
-            ids = [self.added.get(t, self.merges.ids.get(t)) for t in parts]
-            self.known[piece] = (np.array(ids, dtype="<i4").tobytes(), "".join(f" {t}" for t in parts))
+        found = self._words(pieces)
+        used = {w for ws in found.values() for w in ws if isinstance(w, str)}
+        new = self.words.unknown(used.difference(self.words.young))
+        ids, words = self.merges.ids, self.words.young
+        for word, tokens in WordTrie(new).encodings(self.merges):
+            words[word] = (array("i", [ids[t] for t in tokens]).tobytes(), "".join([f" {t}" for t in tokens]))
+        special = {i: (array("i", [i]).tobytes(), f" {t}") for t, i in self.added.items()}
+        for piece, ws in found.items():
+            parts = [words[w] if isinstance(w, str) else special[w] for w in ws]
+            self.pieces.young[piece] = (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit numbers, and what they decode to."""
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
-        cut = [(t or "").split(" ") for t in texts]
-        self._learn([p for p in set().union(*cut) if p not in self.known] if cut else [])
-        out = []
-        for pieces in cut:
-            found = [self.known[p] for p in pieces]
-            out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
-        return out
+        gc.disable()  # nothing here is a cycle
+        try:
+            self.pieces.age()
+            self.words.age()
+            cut = [(t or "").split(" ") for t in texts]
+            known = self.pieces.young
+            self._learn(self.pieces.unknown(set().union(*cut).difference(known)))
+            out = []
+            for pieces in cut:
+                found = list(map(known.__getitem__, pieces))
+                out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
+            return out
+        finally:
+            gc.enable()
 
 
 _loaded: dict[str, WordEncoder] = {}

@@ -45,7 +45,7 @@ def test_pieces_give_the_ids_of_the_library():
 
 
 def test_words_give_the_ids_of_the_library():
-    encoder, library = word_bpe.WordEncoder(WORDS, max_pieces=50), Tokenizer.from_file(WORDS)
+    encoder, library = word_bpe.WordEncoder(WORDS, most=50), Tokenizer.from_file(WORDS)
     for seed in range(5):
         texts = fuzzed(seed)
         for text, (raw, decoded) in zip(texts, encoder.encode(texts), strict=True):
