@@ -142,19 +142,22 @@ def years_on_record(df: DataFrame, selection: Selection) -> DataFrame:
 def dimensions(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Members of each dimension and the range of years, one row per member.
 
-    Long form on purpose: one scan, no member list is gathered into one cell.
+    The dimension "all" has the overall range, its member is null.  Long form
+    on purpose: one scan, no member list is gathered into one cell.
     """
     by = list(by)
 
-    def member(kind: str, column: str) -> Column:
-        return F.struct(F.lit(kind).alias("dimension"), F.col(column).alias("member"))
+    def member(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("dimension"), value.cast("string").alias("member"))
+
+    kinds = [member(kind, F.col(kind.capitalize())) for kind in ("area", "item", "element")]
 
     members = (
         df.withColumn(
             "_m",
-            F.explode(F.array(member("area", "Area"), member("item", "Item"), member("element", "Element"))),
+            F.explode(F.array(member("all", F.lit(None)), *kinds)),
         )
-        .where(F.col("_m.member").isNotNull())
+        .where(F.col("_m.member").isNotNull() | (F.col("_m.dimension") == "all"))
         .groupBy(*by, "_m")
         .agg(F.min("Year").alias("min_year"), F.max("Year").alias("max_year"))
     )

@@ -413,7 +413,7 @@ def oracle() -> dict[str, str]:
         " UNION ALL ".join(
             f"""SELECT Domain, '{kind}' AS dimension, {col} AS member, min("Year") AS min_year,
                        max("Year") AS max_year FROM obs GROUP BY 1, 3"""
-            for kind, col in (("area", "Area"), ("item", "Item"), ("element", "Element"))
+            for kind, col in (("all", "NULL"), ("area", "Area"), ("item", "Item"), ("element", "Element"))
         ), "obs"
     )
     q["scope_areas"] = _sql(

@@ -34,22 +34,32 @@ def write_csv(df: DataFrame, path: str, byte_order_mark: bool = True) -> None:
     safe.write.options(header=True, nullValue="", emptyValue="", quote='"', escape='"').csv(path)
 
 
-def write_sheets(df: DataFrame, path: str, limit: int = SHEET_ROWS) -> None:
+SHEET_OPTIONS = {"header": True, "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"'}
+
+
+def write_sheets(
+    df: DataFrame, path: str, limit: int = SHEET_ROWS, codes: Sequence[str] = tuple(DOMAINS)
+) -> None:
     """One folder per domain, in canonical order, no file longer than a sheet.
 
-    The whole row takes part in the range key, so equal keys spread over tasks.
+    A domain without rows gets one sheet with the header alone.  The whole row
+    takes part in the range key, so equal keys spread over tasks.
     """
+    safe = safe_cells(df)
     (
-        safe_cells(df)
-        .repartitionByRange(
+        safe.repartitionByRange(
             "Domain", "Area", "Item", "Element", "Year", F.xxhash64(*[f"`{c}`" for c in df.columns])
         )
         .sortWithinPartitions("Domain", *canonical_order())
         .write.option("maxRecordsPerFile", limit)
-        .options(header=True, nullValue="", emptyValue="", quote='"', escape='"')
+        .options(**SHEET_OPTIONS)
         .partitionBy("Domain")
         .csv(path)
     )
+    present = {r.Domain for r in df.select("Domain").distinct().collect()}  # a few codes
+    for code in codes:
+        if code not in present:
+            safe.drop("Domain").limit(0).write.options(**SHEET_OPTIONS).csv(f"{path}/Domain={code}")
 
 
 def export_parts(df: DataFrame, limit: int = SHEET_ROWS, codes: Sequence[str] = tuple(DOMAINS)) -> DataFrame:

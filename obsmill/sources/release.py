@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.operators.selection import availability, is_primary, primary_items
+from obsmill.operators.selection import availability, dimensions, is_primary, primary_items
 from obsmill.schema import (
     ANNUAL,
     CROP_ELEMENTS,
@@ -207,6 +207,7 @@ class ReleaseStore:
         write_rows(source, self.path(release, "observations"))
         rows = self._table(release, "observations")
         self._write(release, "availability", availability(rows.where("Domain = 'QCL'"), items))
+        self._write(release, "dimensions", dimensions(rows, ["Domain"]))
         self._write(release, "domains", metadata)
         self._write(release, "manifest", manifest(source))
         self._write(release, "files", self.spark.createDataFrame([(n,) for n in self._file_names(release)], "name string"))

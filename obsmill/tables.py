@@ -106,6 +106,9 @@ class PreparedTables(BulkTables):
     def area_table(self, code: str = "QCL") -> DataFrame:
         return self._table("areas")
 
+    def dimensions(self, code: str = "QCL") -> DataFrame:
+        return self._table("dimensions").where(F.col("Domain") == code).drop("Domain")
+
     def available_items(self, code: str = "QCL", areas: Names = None) -> DataFrame:
         if code == "QCL":
             return selection.available_items(self._table("availability"), areas)

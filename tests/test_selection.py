@@ -81,6 +81,8 @@ def test_dimensions(spark):
         "area": ["A", "B", "C"], "item": ["Cereals", "Maize", "Rice", "Wheat"],
         "element": ["Area harvested", "Production", "Stocks"],
     }
+    (whole,) = (r for r in rows if r.dimension == "all")
+    assert (whole.member, whole.min_year, whole.max_year) == (None, 1990, 2001)
     assert (min(r.min_year for r in rows), max(r.max_year for r in rows)) == (1990, 2001)
 
 

@@ -402,6 +402,9 @@ def test_sheets_split_and_reunite(spark, tmp_path, sample):
     export.write_sheets(rows, str(tmp_path / "s"), limit=2)
     files = list((tmp_path / "s" / "Domain=QCL").glob("part-*.csv"))
     assert len(files) >= 3 and all(len(f.read_text().splitlines()) <= 3 for f in files)
+    for code in ("PP", "TCL"):
+        (empty,) = (tmp_path / "s" / f"Domain={code}").glob("part-*.csv")
+        assert empty.read_text().strip() == ",".join(sample.columns)
     back = spark.read.schema(sample.schema).csv(str(tmp_path / "s" / "Domain=QCL"), header=True, enforceSchema=True)
     assert release.row_differences(sample, back).isEmpty()
 
