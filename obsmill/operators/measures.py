@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.functions.values import exact_sum, yield_unit, yield_value
-from obsmill.schema import AREA_HARVESTED, CROP_ELEMENTS, CROP_UNITS, KEYS, YIELD
+from obsmill.schema import AREA_HARVESTED, CROP_ELEMENTS, CROP_UNITS, KEYS, PRODUCTION, YIELD
 
 
 def normalize_yields(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def _observed(element: str) -> Column:
     return (F.col("Element") == element) & (F.col("Unit") == CROP_UNITS[element])
 
 
-def _paired(df: DataFrame) -> DataFrame:
+def _paired(df: DataFrame, *more: Column) -> DataFrame:
     rows = normalize_yields(df.where(F.col("Element").isin(*CROP_ELEMENTS)))
     harvest, yielded = _observed(AREA_HARVESTED), _observed(YIELD)
     return rows.groupBy(*KEYS).agg(
@@ -45,6 +45,24 @@ def _paired(df: DataFrame) -> DataFrame:
         F.max(F.when(harvest, F.col("Value"))).alias("harvested_ha"),
         F.count(F.when(yielded, 1)).alias("n_yield"),
         F.count(F.when(harvest, 1)).alias("n_area"),
+        *more,
+    )
+
+
+def _single(value: str, n: str) -> Column:
+    error = F.raise_error(F.lit(f"more than one {value} for one Area, Item and Year"))
+    return F.when(F.col(n) > 1, error.cast("double")).otherwise(F.col(value)).alias(value)
+
+
+def key_cells(df: DataFrame) -> DataFrame:
+    """Per key the yield and the harvested area, as in `paired_yield_area`, and the sums in reporting units."""
+
+    def summed(element: str) -> Column:
+        return exact_sum(F.when(_observed(element), F.col("Value")))
+
+    sums = (summed(PRODUCTION).alias("production_t"), summed(AREA_HARVESTED).alias("area_ha"))
+    return _paired(df, *sums).select(
+        *KEYS, _single("yield_kg_ha", "n_yield"), _single("harvested_ha", "n_area"), "production_t", "area_ha"
     )
 
 
@@ -61,14 +79,7 @@ def paired_yield_area(df: DataFrame) -> DataFrame:
     One aggregation instead of two joins, so null keys pair up and a hot key
     collapses before the shuffle.  A key with two yields or areas is an error.
     """
-
-    def single(value: str, n: str) -> Column:
-        error = F.raise_error(F.lit(f"more than one {value} for one Area, Item and Year"))
-        return F.when(F.col(n) > 1, error.cast("double")).otherwise(F.col(value)).alias(value)
-
-    return _paired(df).select(
-        *KEYS, single("yield_kg_ha", "n_yield"), single("harvested_ha", "n_area")
-    )
+    return _paired(df).select(*KEYS, _single("yield_kg_ha", "n_yield"), _single("harvested_ha", "n_area"))
 
 
 def yield_coverage(df: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -92,6 +103,13 @@ def _yield_sums(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def yield_of(part: Callable[[str], Column]) -> Column:
+    """The yield of a group from its counts and sums, by the rule of `weighted_yield`."""
+    complete = (part("n_yield") == part("n_rows")) & (part("n_positive_area") == part("n_rows"))
+    weighted = F.when(complete, part("weighted") / part("harvested"))
+    return F.when(part("n_rows") == 1, part("only_yield")).otherwise(weighted)
+
+
 def weighted_yield(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Yield of a group, weighted by harvested area.
 
@@ -99,12 +117,8 @@ def weighted_yield(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     only when every key has a yield and a positive area; partial coverage
     gives null, and nothing is rebuilt from production.
     """
-    complete = (F.col("n_yield") == F.col("n_rows")) & (F.col("n_positive_area") == F.col("n_rows"))
-    value = F.when(F.col("n_rows") == 1, F.col("only_yield")).when(
-        complete, F.col("weighted") / F.col("harvested")
-    )
     return _yield_sums(df, groups).select(
-        *groups, F.lit(CROP_UNITS[YIELD]).alias("Unit"), value.alias("Value")
+        *groups, F.lit(CROP_UNITS[YIELD]).alias("Unit"), yield_of(F.col).alias("Value")
     )
 
 

@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsmill.functions.text import series_name
 from obsmill.functions.values import exact_sum, percent_change, safe_ratio
 from obsmill.operators.change import period_change
 from obsmill.operators.geography import in_scope
-from obsmill.operators.measures import aggregate, normalize_yields, sum_by, weighted_yield
+from obsmill.operators.measures import (
+    aggregate,
+    key_cells,
+    normalize_yields,
+    sum_by,
+    weighted_yield,
+    yield_of,
+)
 from obsmill.operators.ranking import (
     match_keys,
-    rank_of,
     shares_and_ranks,
     top_area,
     top_rows,
@@ -222,6 +228,21 @@ def kpi_price(prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return prices.groupBy(*by).agg(F.when(F.count(value) == 1, F.max(value)).alias("price"))
 
 
+def _areas_by_year(crops: DataFrame) -> DataFrame:
+    """Per area and year what key figures need: sums, and the parts of a weighted yield."""
+    y, a = F.col("yield_kg_ha"), F.col("harvested_ha")
+    return key_cells(crops).groupBy("Area", "Year").agg(
+        exact_sum(F.col("production_t")).alias("made"),
+        exact_sum(F.col("area_ha")).alias("cut"),
+        F.count("*").alias("n_rows"),
+        F.count(y).alias("n_yield"),
+        F.count(F.when(a > 0, 1)).alias("n_positive_area"),
+        F.max(y).alias("only_yield"),
+        exact_sum(y * a).alias("weighted"),
+        exact_sum(a).alias("harvested"),
+    )
+
+
 def kpi_summary(
     crops: DataFrame,
     prices: DataFrame,
@@ -235,75 +256,73 @@ def kpi_summary(
 
     The last year is the one asked for, never an earlier one that happens to
     have data; the change needs the year before inside the selected period.
+    Crops are read once: sums, yields and the rank among all countries follow
+    from one row per area and year.
     """
     last = years[1]
     before = last - 1 if last - 1 >= years[0] else None
+    one_area = len(areas) == 1
     recent = crops.where(
         F.col("Item").isin(list(items)) & F.col("Year").isin([y for y in (before, last) if y is not None])
     )
-    chosen = F.col("Area").isin(list(areas))
-
-    def summed(element: str, year: int | None, where: Column) -> Column:
-        here = (
-            where
-            & (F.col("Element") == element)
-            & (F.col("Unit") == CROP_UNITS[element])
-            & (F.col("Year") == F.lit(year).cast("int"))
-        )
-        return exact_sum(F.when(here, F.col("Value")))
+    if not one_area:  # nothing is ranked
+        recent = recent.where(F.col("Area").isin([*areas, WORLD]))
+    rows = _areas_by_year(recent)
+
+    col, number = F.col, F.lit(None).cast("double")
+    if one_area:
+        # A few hundred areas in two years, whatever the facts.
+        listed = countries.select("Area").distinct().withColumn("_listed", F.lit(True))
+        value = {PRODUCTION: col("made"), AREA_HARVESTED: col("cut"), YIELD: yield_of(col)}[indicator]
+        ranked = rows.join(listed, "Area", "left").withColumn("_value", F.when(col("_listed"), value))
+        own = F.max(F.when(col("Area") == areas[0], col("_value"))).over(Window.partitionBy("Year"))
+        rows = ranked.withColumn("_own", own)
+
+    def over(name: str, year: int | None, where: Column, aggregate=exact_sum) -> Column:
+        here = where & (col("Year") == F.lit(year).cast("int"))
+        return aggregate(F.when(here, col(name)))
+
+    def yielded(year: int | None) -> Column:
+        kinds = {"only_yield": F.max, "n_rows": F.sum, "n_yield": F.sum, "n_positive_area": F.sum}
+        return yield_of(lambda name: over(name, year, chosen, kinds.get(name, exact_sum)))
+
+    chosen, world = col("Area").isin(list(areas)), col("Area") == WORLD
+    above = F.count(F.when((col("Year") == last) & (col("_value") > col("_own")), 1)) if one_area else number
+    has_rank = F.max(F.when(col("Year") == last, col("_own"))).isNotNull() if one_area else F.lit(False)
+    sums = rows.agg(
+        over("made", last, chosen).alias("made"),
+        over("made", before, chosen).alias("made_before"),
+        over("cut", last, chosen).alias("cut"),
+        over("cut", before, chosen).alias("cut_before"),
+        over("made", last, world).alias("world"),
+        yielded(last).alias("y"),
+        yielded(before).alias("y_before"),
+        F.when(has_rank, above + 1).cast("double").alias("rank"),
+    )
 
     def figure(name: str, value: Column, unit: str, previous: Column | None = None) -> Column:
-        change = F.lit(None).cast("double") if previous is None else percent_change(value, previous)
+        change = number if previous is None else percent_change(value, previous)
         return F.struct(
             F.lit(name).alias("kpi"), value.alias("value"), F.lit(unit).alias("unit"), change.alias("change_pct")
         )
 
-    def rows(one: DataFrame, *figures: Column) -> DataFrame:
+    def listed_rows(one: DataFrame, *figures: Column) -> DataFrame:
         return one.select(F.inline(F.array(*figures)))
 
-    world = F.col("Area") == WORLD
-    sums = recent.agg(
-        summed(PRODUCTION, last, chosen).alias("made"),
-        summed(PRODUCTION, before, chosen).alias("made_before"),
-        summed(AREA_HARVESTED, last, chosen).alias("cut"),
-        summed(AREA_HARVESTED, before, chosen).alias("cut_before"),
-        summed(PRODUCTION, last, world).alias("world"),
-    )
-    col = F.col
-    out = rows(
-        sums,
+    # The price needs one area in scope and one item, the rank one area.
+    has_price = one_area and len(items) == 1
+    figures = [
         figure("production", col("made"), "t", col("made_before")),
         figure("harvested_area", col("cut"), "ha", col("cut_before")),
         figure("world_production_share", safe_ratio(col("made"), col("world")) * 100, "%"),
-    )
-
-    yearly = weighted_yield(recent.where(chosen), ["Year"])
-    yields = yearly.agg(
-        F.max(F.when(col("Year") == last, col("Value"))).alias("y"),
-        F.max(F.when(col("Year") == F.lit(before).cast("int"), col("Value"))).alias("y_before"),
-    )
-    out = union_all(out, rows(yields, figure("yield", col("y"), "kg/ha", col("y_before"))))
-
-    one_area = len(areas) == 1
-    if one_area and len(items) == 1:
-        annual = Selection(areas, items, [PRICE_ELEMENT], (last, last))
-        paid = kpi_price(select_observations(prices, "PP", annual))
-    else:
-        paid = sums.select(F.lit(None).cast("double").alias("price"))
-    out = union_all(out, rows(paid, figure("producer_price", col("price"), "USD/t")))
-
-    if one_area:
-        # Both years are ranked and one is picked: filtering here would make a
-        # second pass over the facts out of the one that the sums already need.
-        values = aggregate(in_scope(recent, countries), indicator, ["Area", "Year"]).where(
-            col("Unit") == CROP_UNITS[indicator]
-        )
-        rank = rank_of(values, areas[0], ["Year"]).agg(
-            F.max(F.when(col("Year") == last, col("rank"))).cast("double").alias("rank")
-        )
-    else:
-        rank = sums.select(F.lit(None).cast("double").alias("rank"))
-    return union_all(out, rows(rank, figure("world_rank", col("rank"), "rank")))
+        figure("yield", col("y"), "kg/ha", col("y_before")),
+        figure("world_rank", col("rank"), "rank"),
+    ]
+    price = "producer_price", "USD/t"
+    if not has_price:
+        return listed_rows(sums, *figures, figure(price[0], number, price[1]))
+    paid = kpi_price(select_observations(prices, "PP", Selection(areas, items, [PRICE_ELEMENT], (last, last))))
+    return union_all(listed_rows(sums, *figures), listed_rows(paid, figure(price[0], col("price"), price[1])))
 
 
 # ---- Questions answered by rules ---------------------------------------------------

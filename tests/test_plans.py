@@ -7,7 +7,9 @@ import pytest
 from obsmill.functions.values import exact_sum
 from obsmill.operators.measures import weighted_yield
 from obsmill.operators.ranking import shares_and_ranks
-from obsmill.plans import queries
+from obsmill.plans import queries, reports
+from obsmill.sources import release
+from obsmill.tables import PreparedTables
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,6 +40,32 @@ def test_key_figures_scan_crops_and_prices_once_each(spark):
     assert lineitem_scans(executed(queries.registry()["kpi_summary"](spark, FOLDER))) == 2
 
 
+def test_key_figures_over_a_release_scan_it_twice(spark, tmp_path):
+    registry = queries.registry()
+    store = release.ReleaseStore(spark, str(tmp_path))
+    rows = registry["domain_union"](spark, FOLDER)
+    store.publish(rows, rows.groupBy("Domain").count())
+    tables = PreparedTables(store)
+    figures = reports.kpi_summary(
+        tables.rows("QCL"), tables.rows("PP"), queries._countries(spark, FOLDER),
+        [queries.KPI_AREA], [queries.KPI_ITEM], queries.PERIOD,
+    )
+    assert len(re.findall(r"FileScan parquet \[Area", executed(figures))) == 2
+
+
+WITH_YEARS = [
+    "select_observations", "annual_prices", "world_ranking", "scope_ranking", "history_series", "kpi_summary",
+    "kpi_summary_scope",
+]
+
+
+@pytest.mark.parametrize("name", WITH_YEARS)
+def test_years_reach_the_scan_of_the_lines(spark, name):
+    plan = queries.registry()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet [l_" in line]
+    assert scans and all("GreaterThanOrEqual(l_shipdate" in s and "LessThan(l_shipdate" in s for s in scans)
+
+
 @pytest.mark.parametrize("name", sorted(queries.registry()))
 def test_no_cross_joins(spark, name):
     plan = queries.registry()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
