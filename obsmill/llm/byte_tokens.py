@@ -46,7 +46,7 @@ class PieceEncoder:
     space.
     """
 
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -106,11 +106,11 @@ class PieceEncoder:
         # Plain splitting is faster, and the same unless white space follows a space;
         # such a text has a piece that is empty or begins with it, and none is ever learned.
         begins, cut = self._cut(texts, whole, lambda t: t.split(" "))
-        used = set().union(*cut)
-        if any(not p or p[0].isspace() for p in used.difference(rest)):
+        new = set().union(*cut).difference(rest)
+        if any(not p or p[0].isspace() for p in new):
             begins, cut = self._cut(texts, whole, _CUT.split)
-            used = set().union(*cut)
-        self._learn(self.rest, used.difference(rest), " ")
+            new = set().union(*cut).difference(rest)
+        self._learn(self.rest, new, " ")
         self._learn(self.first, set(begins).difference(first), "")
         ids_of = rest.__getitem__
         out = [first[start] + b"".join(map(ids_of, pieces)) for start, pieces in zip(begins, cut, strict=True)]

@@ -27,6 +27,7 @@ from obsmill.llm import cutting
 from obsmill.llm.byte_tokens import encoder
 from obsmill.llm.frames import slices, stored, texts_of
 
+FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 TOKENS = "doc_id long, part int, remainder int, local_rank long, local_full long, doc_tokens long, ids binary"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -190,7 +191,7 @@ def pack(
     """
     spark = docs.sparkSession
     encoded = texts_of(docs, id_col, text_col).mapInArrow(_encode(tokenizer, end_id, capacity), TOKENS)
-    tokens = stored(encoded, "pack-tokens", compression="zstd")
+    tokens = stored(encoded, "pack-tokens", **FAST)
 
     # One row for each task and length: counts, then their running sums over the tasks.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

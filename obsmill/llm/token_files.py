@@ -74,6 +74,7 @@ def write_tokens(
     rows = ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), ROW)
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.writer.version": "v2",
         "parquet.enable.dictionary": "true",
         "parquet.block.size": str(row_group_bytes),
