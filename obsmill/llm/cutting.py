@@ -104,6 +104,8 @@ def _first_patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[i
 class _Program:
     """The linear program over the known patterns, kept at a feasible basis.
 
+    It runs in the driver beside Spark, so it does without threaded algebra.
+
     One equation for each length: the copies in the patterns used add up to the
     number of pieces of that length.
     """
@@ -115,13 +117,23 @@ class _Program:
         size = len(self.lengths)
         self.basis: list[dict[int, int]] = [{}] * size
         self.uses = np.zeros(size)
-        matrix = np.zeros((size, size))
-        for ended, pattern, uses in _first_patterns(counts, capacity):
+        self.inverse = np.zeros((size, size))
+        first = _first_patterns(counts, capacity)
+        holding: dict[int, list[tuple[int, int]]] = {}
+        for ended, pattern, uses in first:
             at = self.row[ended]
             self.basis[at], self.uses[at] = pattern, uses
             for length, copies in pattern.items():
-                matrix[self.row[length], at] = copies
-        self.inverse = np.linalg.inv(matrix)
+                if length != ended:
+                    holding.setdefault(length, []).append((at, copies))
+        # Only patterns found earlier hold a length that a pattern uses up, so the
+        # rows of the inverse follow from one another in that order.
+        for ended, pattern, _ in first:
+            at = self.row[ended]
+            self.inverse[at, at] = 1.0
+            for other, copies in holding.get(ended, ()):
+                self.inverse[at] -= copies * self.inverse[other]
+            self.inverse[at] /= pattern[ended]
         self.costs = np.array([self._cost(pattern) for pattern in self.basis])
         self.total = float(counts @ np.arange(len(counts)))
 
@@ -129,14 +141,14 @@ class _Program:
         return float(cost_of(sum(a * n for a, n in pattern.items()), self.capacity))
 
     def prices(self) -> np.ndarray:
-        return self.costs @ self.inverse
+        return np.einsum("i,ij->j", self.costs, self.inverse)
 
     def cost(self) -> float:
         return float(self.costs @ self.uses)
 
     def enter(self, pattern: dict[int, int]) -> None:
         rows = [self.row[length] for length in pattern]
-        step = self.inverse[:, rows] @ np.array(list(pattern.values()), dtype=float)
+        step = np.einsum("ij,j->i", self.inverse[:, rows], np.array(list(pattern.values()), dtype=float))
         ratio = np.full(len(step), np.inf)
         np.divide(self.uses, step, out=ratio, where=step > 1e-9)
         out = int(ratio.argmin())

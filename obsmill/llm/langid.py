@@ -133,7 +133,7 @@ def train(examples: list[tuple[str, str]], settings: Settings = Settings()) -> M
     embeddings = rng.uniform(-1, 1, (1 << BUCKET_BITS, settings.dimensions)) / settings.dimensions
     linear, bias = np.zeros((settings.dimensions, len(languages))), np.zeros(len(languages))
     found = []
-    for piece, _ in learned:
+    for piece, _ in learned:  # every piece has a letter between spaces, so it has subwords
         data = np.frombuffer(piece, dtype=np.uint8)
         found.append(np.concatenate([_subwords(data, size)[1] for size in LENGTHS]))
     wanted = np.array([answer for _, answer in learned])
@@ -147,19 +147,16 @@ def train(examples: list[tuple[str, str]], settings: Settings = Settings()) -> M
             step += 1
             buckets = np.concatenate([found[i] for i in own])
             sizes = np.array([len(found[i]) for i in own])
-            owner = np.repeat(np.arange(len(own)), sizes)
-            share = 1 / np.maximum(sizes, 1)
-            used, place = np.unique(buckets, return_inverse=True)
-            weight = np.bincount(owner * len(used) + place, minlength=len(own) * len(used)).reshape(len(own), -1)
-            average = weight * share[:, None]
-            hidden = average @ embeddings[used]
+            begins = np.cumsum(sizes) - sizes
+            hidden = np.add.reduceat(embeddings[buckets], begins, axis=0) / sizes[:, None]
             error = _softmax(hidden @ linear + bias)
             error[np.arange(len(own)), wanted[own]] -= 1
-            back = error @ linear.T
+            back = np.repeat((error @ linear.T) / sizes[:, None], sizes, axis=0)
             linear -= rate * hidden.T @ error
             bias -= rate * error.mean(axis=0)
-            embeddings[used] -= rate * average.T @ back
-    weights = embeddings @ linear
+            for i in range(settings.dimensions):
+                embeddings[:, i] -= rate * np.bincount(buckets, back[:, i], minlength=len(embeddings))
+    weights = np.einsum("bd,dl->bl", embeddings, linear)
     return _calibrated(languages, weights, bias, kept or learned, settings)
 
 
