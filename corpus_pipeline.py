@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from obsmill.llm import langid, packing, simhash, suffix_dedup
 from obsmill.llm.frames import stored
 
-SHINGLE, DISTANCE, PASSAGE_BYTES = 4, 4, 400
+SHINGLE, DISTANCE, PASSAGE_BYTES, PASSAGE_WORDS = 4, 4, 400, 51
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
 
 #: Not every stage can be told in SQL; tests/llm compares each with a brute-force version.
@@ -34,8 +34,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that occur again; characters are never cut."""
-    left = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, whole_characters=True)
+    """All documents, without passages of over 50 words or of 400 bytes that occur again; characters are never cut."""
+    left = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, whole_characters=True, words=PASSAGE_WORDS)
     text = F.when(F.col("text").isNotNull(), F.decode("left.kept", "UTF-8"))
     changed = left.withColumns({"text": text, "n_chars": F.char_length(text).cast("long")})
     return changed.select(*docs.columns)

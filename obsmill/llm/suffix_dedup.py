@@ -10,7 +10,8 @@ neighbour in that order shares `length` bytes, or if its piece occurs twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,19 +27,27 @@ from obsmill.llm.induced import suffixes
 PIECE = "key long, digest long, width int, row long, start int, twice boolean"
 SEGMENT = "key long, digest long, width int, times long, bytes binary"
 MARK = "key long, digest long, width int, first int, last int"
+#: Bytes that stand for a word where passages are told by their words.
+WORD = 8
+_WORDS = re.compile(r"\S+")
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _pieces(length: int):
+def word_codes(text: str) -> bytes:
+    """A hash of each word between white space, so that passages of as many words are as long."""
+    return b"".join([xxhash.xxh3_64_digest(w) for w in text.split()])
+
+
+def _pieces(length: int, coded: Callable[[str], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found: list[list] = [[] for _ in range(6)]
                 for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = (text or "").encode()
+                    data = coded(text or "")
                     own = anchors.pieces(data, length)
                     starts, ends = own.starts.tolist(), own.ends.tolist()
                     digests = [xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(starts, ends, strict=True)]
@@ -57,7 +66,7 @@ def _pieces(length: int):
     return run
 
 
-def _segments(length: int):
+def _segments(length: int, coded: Callable[[str], bytes]):
     """The bytes of the pieces that stand for others, from the text of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +74,7 @@ def _segments(length: int):
             for part in slices(batch, "text"):
                 rows = []
                 for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                    data = text.encode()
+                    data = coded(text)
                     for w in wanted:
                         own = data[w["start"] : w["start"] + w["width"] + length - 1]
                         rows.append((w["key"], w["digest"], w["width"], w["times"], own))
@@ -128,13 +137,15 @@ def _sorted_shards(length: int, memory: int):
     return run
 
 
-def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 64 << 20) -> DataFrame:
+def repeated(
+    texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 64 << 20, coded: Callable[[str], bytes] = str.encode
+) -> DataFrame:
     """(row, spans): for rows with repeated windows, the runs of their starts as (first, last).
 
-    Takes (row, text).  A document's pieces and spans are as many as its length
+    Takes (row, text); windows are strings of what `coded` makes of a text.  A document's pieces and spans are as many as its length
     allows; nothing else is gathered.
     """
-    pieces = stored(texts.mapInArrow(_pieces(length), PIECE), "repeat-pieces", compression="zstd")
+    pieces = stored(texts.mapInArrow(_pieces(length, coded), PIECE), "repeat-pieces", compression="zstd")
     shared = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     shared = shared.where((F.col("n") > 1) | F.col("twice")).select("key")
     candidates = stored(pieces.join(shared, "key", "left_semi"), "repeat-candidates", compression="zstd")
@@ -146,7 +157,7 @@ def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory:
 
     wanted = F.collect_list(F.struct(F.col("one.start").alias("start"), *identity, "times")).alias("wanted")
     by_row = distinct.groupBy(F.col("one.row").alias("row")).agg(wanted)
-    segments = texts.join(by_row, "row").select("text", "wanted").mapInArrow(_segments(length), SEGMENT)
+    segments = texts.join(by_row, "row").select("text", "wanted").mapInArrow(_segments(length, coded), SEGMENT)
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     ordered = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "key")
     marks = stored(ordered.mapInArrow(_sorted_shards(length, memory), MARK), "repeat-marks")
@@ -156,10 +167,31 @@ def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory:
     return found.select("row", span.alias("span")).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
+def word_runs(text: str, spans: list, words: int) -> list[tuple[int, int]]:
+    """The bytes of the words that windows with these starts in the text's word codes cover, as runs in order."""
+    starts = [(-(-s["first"] // WORD), -(-s["last"] // WORD)) for s in spans]
+    own = merged([(first, last + words - 1) for first, last in starts if first < last])
+    if not own:
+        return []
+    places = [m.span() for m in _WORDS.finditer(text)]
+    at, size, runs = 0, 0, []
+    for first, last in own:
+        begin, end = places[first][0], places[last - 1][1]
+        size += len(text[at:begin].encode())
+        runs.append((size, size := size + len(text[begin:end].encode())))
+        at = end
+    return runs
+
+
 def covered(spans: list, length: int) -> list[tuple[int, int]]:
     """The bytes that windows with these starts cover, as maximal runs in order."""
+    return merged([(s["first"], s["last"] + length - 1) for s in spans])
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs in order of ranges that overlap or touch."""
     runs: list[list[int]] = []
-    for first, last in sorted((s["first"], s["last"] + length - 1) for s in spans):
+    for first, last in sorted(ranges):
         if runs and first <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], last)
         else:
@@ -190,7 +222,12 @@ def _free(df: DataFrame, name: str) -> str:
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 400, text_col: str = "text", whole_characters: bool = False, into: str = "left"
+    docs: DataFrame,
+    length: int = 400,
+    text_col: str = "text",
+    whole_characters: bool = False,
+    into: str = "left",
+    words: int | None = None,
 ) -> DataFrame:
     """All rows and columns, and a struct column `into`: n_bytes, n_removed, n_spans and kept, the remaining bytes.
 
@@ -199,23 +236,31 @@ def without_repeats(
     and never cross texts.  Null and short texts stay as they are (null has no
     bytes); of repeated rows nothing is left if they are long enough.  With
     whole_characters, UTF-8 characters that are covered in part stay, so the
-    rest is text again.  An existing column `into` is replaced.
+    rest is text again.  With `words`, passages of so many words between white
+    space go too, however short.  An existing column `into` is replaced.
     """
     importable(docs.sparkSession)
-    row, spans = _free(docs, "row_number"), _free(docs, "spans")
+    row, spans, worded = _free(docs, "row_number"), _free(docs, "spans"), _free(docs, "word_spans")
     texts = texts_of(docs, docs.columns[0], text_col, row=True).select("row", "text")
     found = repeated(texts, length).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    none = F.lit(None).cast(found.schema[spans].dataType)
+    if words:
+        passages = repeated(texts, words * WORD, coded=word_codes)
+        passages = passages.select(F.col("row").alias(row), F.col("spans").alias(worded))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, own in zip(texts, spans, strict=True):
+        for text, own, by_words in zip(texts, spans, worded, strict=True):
             data = (text or "").encode()
             runs = covered(own, length) if own is not None else []
+            if by_words is not None:
+                runs = merged(runs + word_runs(text, by_words, words))
             left = kept(data, runs, whole_characters)
             rows.append((len(data), sum(b - a for a, b in runs), len(runs), left))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     joined = numbered.join(found, row, "left")
-    return joined.withColumn(into, cut(F.col(text_col).cast("string"), F.col(spans))).drop(row, spans)
+    joined = joined.join(passages, row, "left") if words else joined.withColumn(worded, none)
+    return joined.withColumn(into, cut(F.col(text_col).cast("string"), F.col(spans), F.col(worded))).drop(row, spans, worded)

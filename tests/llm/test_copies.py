@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from obsmill.llm import anchors, induced, minhash, simhash, suffix_dedup
 from obsmill.llm.components import components
 
@@ -233,6 +234,27 @@ def test_whole_characters_stay(spark):
         assert bytes(row.left.kept).decode() == row.text.replace("é", "")
 
 
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 6)))
+    own = lambda: " ".join(word() + str(rng.randrange(10**9)) for _ in range(rng.randrange(20, 90)))
+    rows, expected = [], {}
+    for count in (50, *range(51, 66)):
+        passage = [word() for _ in range(count)]
+        for gap in (" ", "\u2003\n"):
+            before, after = own(), own()
+            rows.append((len(rows), f"{before} {gap.join(passage)} {after}"))
+            expected[len(rows) - 1] = f"{before}  {after}" if count > 50 else rows[-1][1]
+    rows.append((len(rows), "日" * 500 + own()))
+    rows.append((len(rows), own() + " " + "日" * 500))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: bytes(r.left.kept).decode() for r in suffix_dedup.without_repeats(docs, 400, whole_characters=True, words=51).collect()}
+    assert {i: found[i] for i in expected} == expected
+    assert not any("日" in t for t in found.values())
+    stage = {r.doc_id: r.text for r in corpus_pipeline.without_passages(spark, docs, "").collect()}
+    assert stage == found
+
+
 def test_likeness_and_edited_texts(spark):
     texts = corpus(9)
     rows = [(3 * i, t, "x", i) for i, t in enumerate(texts)]
