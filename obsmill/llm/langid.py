@@ -37,9 +37,12 @@ class Settings(NamedTuple):
     The sample holds about `docs_per_language` rows of each of the
     `most_languages` most frequent ones, chosen by a hash of their ids; up to
     `pieces_per_doc` pieces of `piece_bytes` of each are learned from, one doc
-    in `calibrate_every` is kept for the calibration instead.  The threshold is
-    the lowest score from which on a share `precision` of the answers for those
-    is right, and at least `least_score`.
+    in `calibrate_every` is kept for the calibration instead.  Of those, whole,
+    the ones of lowest score are rejected as long as less than a share
+    `local_precision` of their answers is right, against what is right in the
+    upper half by score, and never more than a share `most_rejected`: wrong
+    labels, which stand at any score, can't move the threshold further.  It is
+    at least `least_score`, whatever share of documents that rejects.
     """
 
     docs_per_language: int = 900
@@ -52,7 +55,8 @@ class Settings(NamedTuple):
     epochs: int = 6
     batch: int = 64
     rate: float = 0.5
-    precision: float = 0.99
+    local_precision: float = 0.75
+    most_rejected: float = 0.05
     least_score: float = 0.5
 
 
@@ -124,10 +128,13 @@ def train(examples: list[tuple[str, str]], settings: Settings = Settings()) -> M
     rng = np.random.default_rng(8)
     languages = sorted({language for _, language in examples})
     number = {language: i for i, language in enumerate(languages)}
-    learned, kept = [], []
+    learned, kept, whole = [], [], []
     for i, (text, language) in enumerate(examples):
-        own = kept if i % settings.calibrate_every == settings.calibrate_every - 1 else learned
-        own += [(piece, number[language]) for piece in _pieces(text, settings, rng)]
+        calibrates = i % settings.calibrate_every == settings.calibrate_every - 1
+        pieces = [(piece, number[language]) for piece in _pieces(text, settings, rng)]
+        (kept if calibrates else learned).extend(pieces)
+        if calibrates and pieces:
+            whole.append((text, number[language]))
     if not learned:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0), 1.0, 1.0)
     embeddings = rng.uniform(-1, 1, (1 << BUCKET_BITS, settings.dimensions)) / settings.dimensions
@@ -157,11 +164,13 @@ def train(examples: list[tuple[str, str]], settings: Settings = Settings()) -> M
             for i in range(settings.dimensions):
                 embeddings[:, i] -= rate * np.bincount(buckets, back[:, i], minlength=len(embeddings))
     weights = np.einsum("bd,dl->bl", embeddings, linear)
-    return _calibrated(languages, weights, bias, kept or learned, settings)
+    return _calibrated(languages, weights, bias, kept or learned, whole, settings)
 
 
-def _calibrated(languages: list[str], weights: np.ndarray, bias: np.ndarray, kept: list, settings: Settings) -> Model:
-    """Chooses the temperature of least loss, and the threshold by its rejections, on texts not learned from."""
+def _calibrated(
+    languages: list[str], weights: np.ndarray, bias: np.ndarray, kept: list, whole: list, settings: Settings
+) -> Model:
+    """Chooses the temperature of least loss on pieces, and the threshold on documents, of texts not learned from."""
     sums, counts = _Sums(weights)([piece for piece, _ in kept])
     scores = sums / np.maximum(counts, 1)[:, None] + bias
     wanted = np.array([answer for _, answer in kept])
@@ -171,14 +180,25 @@ def _calibrated(languages: list[str], weights: np.ndarray, bias: np.ndarray, kep
     }
     # Of temperatures that are as good, the one of the least certain scores.
     temperature = max(t for t, loss in losses.items() if loss <= min(losses.values()) + 1e-3)
-    answers = _softmax(scores / temperature)
-    order = np.argsort(-answers.max(axis=1), kind="stable")
-    right = (answers.argmax(axis=1) == wanted)[order]
-    precise = np.flatnonzero(np.cumsum(right) >= settings.precision * np.arange(1, len(right) + 1))
-    lowest = float(answers.max(axis=1)[order[precise[-1]]]) if len(precise) else 1.0
-    all_precise = len(precise) and precise[-1] == len(right) - 1
-    threshold = settings.least_score if all_precise else max(settings.least_score, lowest)
-    return Model(languages, weights, bias, temperature, threshold)
+    model = Model(languages, weights, bias, temperature, settings.least_score)
+    scores, right = [], []
+    for text, answer in whole:
+        (found,), score = predict(model, [text])
+        scores += score.tolist()
+        right.append(found == languages[answer])
+    return model._replace(threshold=threshold(np.array(scores), np.array(right, dtype=bool), settings))
+
+
+def threshold(scores: np.ndarray, right: np.ndarray, settings: Settings) -> float:
+    """The score from which on answers are accepted, given those of documents and whether they are their labels."""
+    order = np.argsort(scores, kind="stable")
+    wrong = ~right[order]
+    most = int(settings.most_rejected * len(wrong))
+    noise = wrong[len(wrong) // 2 :].mean() if most else 0.0
+    bound = noise + (1 - noise) * (1 - settings.local_precision)
+    # Of the lowest scores, as many are rejected as give the most wrong answers beyond the bound.
+    rejected = int(np.concatenate([[0], np.cumsum(wrong[:most] - bound)]).argmax())
+    return max(settings.least_score, float(scores[order[rejected]])) if rejected else settings.least_score
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

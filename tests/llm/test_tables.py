@@ -161,6 +161,34 @@ def test_rejected_texts(spark, spoken):
         langid.identify(spoken.withColumn("language_id", F.lit(1)), model)
 
 
+def test_wrong_labels_do_not_reject_documents(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        truth = rng.choice(sorted(SYLLABLES))
+        text = " ".join("".join(rng.choice(SYLLABLES[truth]) for _ in range(3)) for _ in range(rng.randrange(20, 60)))
+        wrong = rng.choice([other for other in SYLLABLES if other != truth])
+        rows.append((i, text, wrong if rng.random() < 0.03 else truth, truth))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    found = langid.identify(docs, langid.fit(docs)).collect()
+    assert sum(r.language_id.accepted and r.language_id.language == r.truth for r in found) >= 0.95 * len(found)
+
+
+def test_the_threshold_rejects_low_scores_only():
+    rng = np.random.default_rng(3)
+    settings = langid.Settings()
+    for noise in (0, 0.005, 0.012, 0.02, 0.03, 0.1):
+        for _ in range(50):
+            scores = np.sort(rng.uniform(0.6, 1, 2400))
+            right = rng.random(2400) >= noise
+            assert (scores < langid.threshold(scores, right, settings)).sum() <= 0.01 * 2400
+            right[:60] = rng.random(60) < 0.3
+            assert 40 <= (scores < langid.threshold(scores, right, settings)).sum() <= 0.05 * 2400
+            right[:1200] = False
+            assert (scores < langid.threshold(scores, right, settings)).sum() <= 0.05 * 2400
+    assert langid.threshold(np.array([]), np.array([], dtype=bool), settings) == settings.least_score
+
+
 def test_nothing_to_learn_from(spark, spoken):
     model = langid.fit(spoken.limit(0))
     assert {r.language_id.language for r in langid.identify(spoken, model).collect()} == {"und"}
