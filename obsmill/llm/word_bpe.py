@@ -31,6 +31,8 @@ from obsmill.llm.frames import slices, texts_of
 _SPACE = re.compile(r"[^\S ]")
 _SIMPLE = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)?")
 ENCODED = "doc_id long, ids array<int>, decoded string"
+#: Words and pieces of more letters are not remembered, so what is remembered is bounded in bytes.
+LONG = 128
 
 
 def _byte_letters() -> list[str]:
@@ -72,11 +74,14 @@ class Merges:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def last_token(self, prefix: str, last: list[str], end: str) -> str:
-        """The last token of a prefix, or with `end` of a word, given the last tokens of all shorter prefixes."""
-        usable, beside, depth = self.usable, self._beside, len(prefix)
-        for start in range(max(0, depth - self.longest), depth):
-            token = prefix[start:] + end
+    def last_token(self, tail: str, depth: int, last: list[str], end: str) -> str:
+        """The last token of a prefix, or with `end` of a word, given the last tokens of all shorter prefixes.
+
+        `tail` are the last letters of its `depth` letters, as many as the longest token has at most.
+        """
+        usable, beside, before = self.usable, self._beside, depth - len(tail)
+        for start in range(before, depth):
+            token = tail[start - before :] + end
             if token in usable:
                 if not start:
                     return token
@@ -84,15 +89,17 @@ class Merges:
                 fits = beside.get((left, token))
                 if fits or fits is None and self.beside(left, token):
                     return token
-        raise ValueError(f"the vocabulary has no token for {prefix[-1:] + end!r}")
+        raise ValueError(f"the vocabulary has no token for {tail[-1:] + end!r}")
 
-    def state(self, prefix: str, last: list[str]) -> str:
-        """The last token of a prefix, which later batches of words may share."""
-        known = self._states.get(prefix)
+    def state(self, tail: str, depth: int, last: list[str]) -> str:
+        """The last token of a prefix, which later batches of words may share if the prefix is no longer than a token."""
+        if depth > len(tail):
+            return self.last_token(tail, depth, last, "")
+        known = self._states.get(tail)
         if known is None:
             if len(self._states) > 500_000:
                 self._states.clear()
-            known = self._states[prefix] = self.last_token(prefix, last, "")
+            known = self._states[tail] = self.last_token(tail, depth, last, "")
         return known
 
     def beside(self, left: str, right: str) -> bool:
@@ -122,18 +129,20 @@ class WordTrie:
     def encodings(self, merges: Merges) -> Iterator[tuple[str, list[str]]]:
         """(word, tokens), depth first.  last[d] is the last token of the prefix of d letters."""
         last: list[str] = [""]
+        longest = merges.longest
         stack: list[tuple[int, str, dict]] = [(1, a, n) for a, n in self.root.items() if a]
         if self.END in self.root:
             yield "", []
         while stack:
-            depth, prefix, node = stack.pop()
+            depth, tail, node = stack.pop()
             del last[depth:]
             if self.END in node:
-                end = merges.last_token(prefix, last, merges.end)
-                yield prefix, self._tokens(last, end, depth - len(end) + len(merges.end))
-            children = [(depth + 1, prefix + a, n) for a, n in node.items() if a]
+                end = merges.last_token(tail, depth, last, merges.end)
+                yield node[self.END], self._tokens(last, end, depth - len(end) + len(merges.end))
+            kept = tail if depth < longest else tail[1:]
+            children = [(depth + 1, kept + a, n) for a, n in node.items() if a]
             if children:
-                last.append(merges.state(prefix, last))
+                last.append(merges.state(tail, depth, last))
                 stack += children
 
     @staticmethod
@@ -146,7 +155,7 @@ class WordTrie:
 
 
 class WordEncoder:
-    """Encodes and decodes texts; remembers up to twice `most` pieces between spaces, and as many words."""
+    """Encodes and decodes texts; remembers up to twice `most` pieces between spaces, and as many words, but no long ones."""
 
     def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,6 +192,7 @@ class WordEncoder:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
+        """Makes the pieces and their words young."""
         found = self._words(pieces)
         used = {w for ws in found.values() for w in ws if isinstance(w, str)}
         new = self.words.unknown(used.difference(self.words.young))
@@ -193,6 +203,8 @@ class WordEncoder:
         for piece, ws in found.items():
             parts = [words[w] if isinstance(w, str) else special[w] for w in ws]
             self.pieces.young[piece] = (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
+        for word in [w for w in new if len(w) > LONG]:
+            del words[word]
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit numbers, and what they decode to."""
@@ -202,11 +214,14 @@ class WordEncoder:
             self.words.age()
             cut = [(t or "").split(" ") for t in texts]
             known = self.pieces.young
-            self._learn(self.pieces.unknown(set().union(*cut).difference(known)))
+            new = self.pieces.unknown(set().union(*cut).difference(known))
+            self._learn(new)
             out = []
             for pieces in cut:
                 found = list(map(known.__getitem__, pieces))
                 out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
+            for piece in [p for p in new if len(p) > LONG]:
+                del known[piece]
             return out
         finally:
             gc.enable()

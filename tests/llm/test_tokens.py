@@ -54,6 +54,20 @@ def test_words_give_the_ids_of_the_library():
             assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_are_not_remembered():
+    encoder, library = word_bpe.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    rng = random.Random(7)
+    letters = "".join(rng.choice("acgt") for _ in range(200_000))
+    texts = ["a" * 200_000, "short words " + letters, letters[:500] + "!" + letters[500:900]]
+    for _ in range(2):
+        for text, (raw, decoded) in zip(texts, encoder.encode(texts), strict=True):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(raw, dtype="<i4").tolist() == ids
+            assert decoded == library.decode(ids, skip_special_tokens=False)
+        for known in (encoder.merges._states, encoder.pieces.young, encoder.words.young):
+            assert max(map(len, known)) <= max(word_bpe.LONG, encoder.merges.longest)
+
+
 def test_word_digests(spark, docs):
     library = Tokenizer.from_file(WORDS)
     expected = []
