@@ -1,7 +1,8 @@
 """Content-defined pieces of texts: where a long passage is shared, so are the pieces' keys.
 
-Every window of `length` bytes is given the smallest hash among its runs of
-`GRAM` bytes as its key.  Equal windows have equal keys wherever they stand, so
+A text is a row of letters: bytes, or hashes of words.  Every window of
+`length` letters is given the smallest hash among its runs of `gram` letters as
+its key.  Equal windows have equal keys wherever they stand, so
 windows of different keys never need to be compared.  Neighbouring windows
 mostly share a key; such a run of windows is one piece.
 """
@@ -12,7 +13,6 @@ from typing import NamedTuple
 
 import numpy as np
 
-GRAM = 128
 CHUNK = 1 << 17
 _draw = np.random.default_rng(1)
 _LETTERS = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,9 +32,10 @@ _DOWN = _powers(pow(int(_BASE), -1, 1 << 64), CHUNK + 4096)
 
 
 def hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` bytes: differences of one running sum, scaled to the same place."""
+    """A hash of each run of `size` letters: differences of one running sum, scaled to the same place."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTERS[data] * _UP[: len(data)], out=sums[1:])
+    drawn = _LETTERS[data] if data.dtype == np.uint8 else data * _LETTERS[0] | np.uint64(1)
+    np.cumsum(drawn * _UP[: len(data)], out=sums[1:])
     found = (sums[size:] - sums[:-size]) * _DOWN[: len(data) - size + 1]
     found ^= found >> np.uint64(32)
     found *= np.uint64(0xD6E8FEB86659FD93)
@@ -62,9 +63,9 @@ class Pieces(NamedTuple):
     repeats: np.ndarray
 
 
-def _chunk(data: np.ndarray, length: int) -> Pieces:
-    width = length - GRAM + 1
-    found = hashes(data, GRAM)
+def _chunk(data: np.ndarray, length: int, gram: int) -> Pieces:
+    width = length - gram + 1
+    found = hashes(data, gram)
     places = np.arange(len(found), dtype=np.uint64)
     high = found & ~_PLACES
     first = (_sliding_least(high | places, width) & _PLACES).astype(np.int64)
@@ -75,14 +76,34 @@ def _chunk(data: np.ndarray, length: int) -> Pieces:
     return Pieces(keys[starts], starts, ends, first[starts] != last[ends - 1])
 
 
-def pieces(text: bytes, length: int) -> Pieces:
+def pieces(data: np.ndarray, length: int, gram: int) -> Pieces:
     """The pieces of one text; none if it is shorter than a window.  Long texts are taken in chunks."""
-    data = np.frombuffer(text, dtype=np.uint8)
     if len(data) < length:
         empty = np.zeros(0, dtype=np.int64)
         return Pieces(empty.astype(np.uint64), empty, empty, empty.astype(bool))
     found = []
     for at in range(0, len(data) - length + 1, CHUNK):
-        own = _chunk(data[at : at + CHUNK + length - 1], length)
+        own = _chunk(data[at : at + CHUNK + length - 1], length, gram)
         found.append(own._replace(starts=own.starts + at, ends=own.ends + at))
     return Pieces(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def narrowed(data: np.ndarray, key: int, start: int, end: int, length: int, gram: int, step: int) -> list[tuple[int, int, int, int, int]]:
+    """(first, end, class, core begin, core end): the parts of a piece by how far in their windows the key's run begins.
+
+    Windows of one class of `step` places all hold the part's core, which the
+    place of the run alone decides; so equal windows are in parts of the same
+    class with equal cores.
+    """
+    own = data[start : end + length - 1]
+    places = np.flatnonzero(hashes(own, gram) == np.uint64(key))
+    starts = np.arange(end - start)
+    first = places[np.searchsorted(places, starts)]
+    classes = (first - starts) // step
+    cuts = np.flatnonzero(np.diff(first) | np.diff(classes)) + 1
+    parts = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), end - start], strict=True):
+        kind, place = int(classes[a]), start + int(first[a])
+        last = min(kind * step + step - 1, length - gram)  # the farthest place of the class in a window
+        parts.append((start + a, start + b, kind, place - kind * step, place - last + length))
+    return parts

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.sources.workspace import new_folder
@@ -31,10 +31,28 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     input is split, so the input must be a stable scan such as Parquet files.
     """
     importable(docs.sparkSession)
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    columns = [F.col(named(id_col)).cast("long").alias("doc_id"), F.col(named(text_col)).cast("string").alias("text")]
     return docs.select(*columns, *([F.monotonically_increasing_id().alias("row")] if row else []))
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of a table as they are, whatever their names."""
+    return [F.col(named(c)) for c in df.columns]
+
+
+def named(column: str) -> str:
+    """A column name as Spark reads it, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which also cuts the lineage."""
     folder = new_folder(df.sparkSession, name)

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.llm.frames import importable, slices
+from obsmill.llm.frames import importable, named, slices
 
 UNKNOWN, SPACE = "und", 32
 BUCKET_BITS, LENGTHS, STEP = 15, (2, 3, 4), 1 << 17
@@ -223,7 +223,7 @@ def fit(
     docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"  # noqa: B008
 ) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out; null ids are not learned from."""
-    doc_id, text, lang = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    doc_id, text, lang = F.col(named(id_col)).cast("long"), F.col(named(text_col)).cast("string"), F.col(named(lang_col)).cast("string")
     usable = doc_id.isNotNull() & ~held_out(doc_id) & lang.isNotNull() & text.rlike(r"\p{L}")
     usable &= (lang != UNKNOWN) & (F.octet_length(text) <= settings.most_bytes)
     labelled = docs.where(usable).select(doc_id.alias("doc_id"), lang.alias("lang"), text.alias("text"))
@@ -241,8 +241,8 @@ def fit(
     return train([(r.text, r.lang) for r in rows], settings)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds one struct column, `language_id`, to the documents: language, score, and whether the answer is accepted.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str = "language_id") -> DataFrame:
+    """Adds one struct column, `into`, to the documents: language, score, and whether the answer is accepted.
 
     Null texts and texts without a letter are unknown and not accepted, and so
     are answers below the threshold.  All rows and columns stay; documents
@@ -250,8 +250,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     importable(spark)
-    if "language_id" in (c.lower() for c in docs.columns):
-        raise ValueError("the documents have a column language_id")
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {into}")
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by the number of buckets and languages
 
     @F.pandas_udf("language string, score double, accepted boolean")
@@ -267,4 +267,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             frame["accepted"] = (frame["language"] != UNKNOWN) & (frame["score"] >= shared.value.threshold)
             yield frame
 
-    return docs.withColumn("language_id", answers(F.col(text_col).cast("string")))
+    return docs.withColumn(into, answers(F.col(named(text_col)).cast("string")))

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsmill.llm import langid, minhash, packing, shards, simhash, suffix_dedup, token_files, topk, warc, word_bpe
+from obsmill.llm import (
+    langid, minhash, packing, shards, simhash, suffix_dedup, token_files, topk, warc, word_bpe,
+)
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-TOKEN_FILE_END, PACKING_END, CAPACITY, SHARDS = 2, 0, 1024, 8
+TOKEN_FILE_END, PACKING_END, CAPACITY, SHARDS, PASSAGE_WORDS = 2, 0, 1024, 8, 51
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +23,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents without strings of 400 bytes that occur again."""
+    """What is left of all documents without strings of 400 bytes that occur again.
+
+    Further columns: the bytes of these and of passages of 51 words that occur
+    again, and the text that is left without either.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = suffix_dedup.without_repeats(docs, length=400)
-    counts = [F.col(f"left.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]
-    return left.select("doc_id", *counts, F.sha2(F.col("left.kept"), 256).alias("kept_sha256"))
+    left = suffix_dedup.without_repeats(docs, length=400, words=PASSAGE_WORDS)
+    counts = [F.col(f"left.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "n_passage_bytes")]
+    return left.select("doc_id", *counts, F.sha2(F.col("left.kept"), 256).alias("kept_sha256"), F.col("left.rest").alias("text"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +101,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id, op9_topk, op10_minhash)
+    found = (
+        op1_suffix_dedup, op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id,
+        op9_topk, op10_minhash,
+    )
     return {query.__name__: query for query in found}

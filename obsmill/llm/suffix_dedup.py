@@ -1,17 +1,24 @@
 """Removes passages that occur more than once in a corpus, found by suffix sorting.
 
-A window is a string of `length` bytes.  anchors.py gives each window a key
-that depends on its bytes alone, so equal windows meet under one key, in runs
-called pieces.  Pieces whose key occurs once need no look.  Of equal pieces one
-stands for all, with their number.  The others' bytes are dealt to shards by
-key; induced.py sorts the suffixes of a shard, and a window is repeated if a
-neighbour in that order shares `length` bytes, or if its piece occurs twice.
+A text is a row of letters, its bytes or its words, and a window is a string of
+`length` letters.  anchors.py gives each window a key that depends on its
+letters alone, so equal windows meet under one key, in runs called pieces.
+Pieces whose key occurs once need no look.  Of equal pieces one stands for all,
+with their number.  The others' letters are dealt to shards by key; induced.py
+sorts the suffixes of a shard, and a window is repeated if a neighbour in that
+order shares `length` letters, or if its piece occurs twice.
+
+A key whose pieces would fill a shard by themselves, as those of a passage in
+very many surroundings, is parted: by the letters that all windows of a few
+neighbouring places share, and where that isn't enough by whole windows, which
+then only have to be counted.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,36 +28,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import anchors
-from obsmill.llm.frames import importable, slices, stored, texts_of
+from obsmill.llm.frames import free, importable, named, slices, stored
 from obsmill.llm.induced import suffixes
 
 PIECE = "key long, digest long, width int, row long, start int, twice boolean"
-SEGMENT = "key long, digest long, width int, times long, bytes binary"
+SEGMENT = "key long, digest long, width int, times long, letters binary"
 MARK = "key long, digest long, width int, first int, last int"
-#: Bytes that stand for a word where passages are told by their words.
-WORD = 8
+IDENTITY = ["key", "digest", "width"]
+#: Windows of so many neighbouring places share a part of a crowded key.
+STEP = 32
 _WORDS = re.compile(r"\S+")
 
 
+class Alphabet(NamedTuple):
+    """How a text becomes letters, and how long the runs are that give windows their keys."""
+
+    letters: Callable[[str], np.ndarray]
+    gram: int
+    size: int
+
+
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), dtype=np.uint8)
+
+
+def _words(text: str) -> np.ndarray:
+    """A hash of each word between white space."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, text.split())), dtype=np.uint64)
+
+
+BYTES, WORDS = Alphabet(_bytes, 128, 1), Alphabet(_words, 16, 8)
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def word_codes(text: str) -> bytes:
-    """A hash of each word between white space, so that passages of as many words are as long."""
-    return b"".join([xxhash.xxh3_64_digest(w) for w in text.split()])
+def _pieces(length: int, alphabet: Alphabet):
+    size = alphabet.size
 
-
-def _pieces(length: int, coded: Callable[[str], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found: list[list] = [[] for _ in range(6)]
                 for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = coded(text or "")
-                    own = anchors.pieces(data, length)
+                    data = alphabet.letters(text or "")
+                    own = anchors.pieces(data, length, alphabet.gram)
                     starts, ends = own.starts.tolist(), own.ends.tolist()
-                    digests = [xxhash.xxh3_64_intdigest(data[a : b + length - 1]) for a, b in zip(starts, ends, strict=True)]
+                    raw = data.tobytes()
+                    digests = [
+                        xxhash.xxh3_64_intdigest(raw[size * a : size * (b + length - 1)]) for a, b in zip(starts, ends, strict=True)
+                    ]
                     columns = (
                         own.keys.view(np.int64),
                         np.array(digests, dtype=np.uint64).view(np.int64),
@@ -66,17 +94,50 @@ def _pieces(length: int, coded: Callable[[str], bytes]):
     return run
 
 
-def _segments(length: int, coded: Callable[[str], bytes]):
-    """The bytes of the pieces that stand for others, from the text of their document."""
+def _parts(length: int, alphabet: Alphabet, step: int):
+    """The parts of given pieces of a text, as pieces with keys of their own; with step 1, each window is one."""
+    size = alphabet.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for row, text, crowded in zip(*(part.column(c).to_pylist() for c in ("row", "text", "crowded")), strict=True):
+                    data = alphabet.letters(text)
+                    raw = data.tobytes()
+                    for piece in crowded:
+                        start, end = piece["start"], piece["start"] + piece["width"]
+                        if step == 1:
+                            own = [(at, at + 1, 0, at, at + length) for at in range(start, end)]
+                        else:
+                            key = piece["key"] & (1 << 64) - 1
+                            own = anchors.narrowed(data, key, start, end, length, alphabet.gram, step)
+                        for first, last, kind, begin, stop in own:
+                            core = xxhash.xxh3_64_intdigest(raw[size * begin : size * stop], kind)
+                            digest = xxhash.xxh3_64_intdigest(raw[size * first : size * (last + length - 1)])
+                            rows.append((core, digest, last - first, row, first, False))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in columns[:2]]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [*signed, *(pa.array(c, t) for c, t in zip(columns[2:], kinds, strict=True))], names=_names(PIECE)
+                )
+
+    return run
+
+
+def _segments(length: int, alphabet: Alphabet):
+    """The letters of the pieces that stand for others, from the text of their document."""
+    size = alphabet.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                    data = coded(text)
+                    raw = alphabet.letters(text).tobytes()
                     for w in wanted:
-                        own = data[w["start"] : w["start"] + w["width"] + length - 1]
+                        own = raw[size * w["start"] : size * (w["start"] + w["width"] + length - 1)]
                         rows.append((w["key"], w["digest"], w["width"], w["times"], own))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -85,21 +146,41 @@ def _segments(length: int, coded: Callable[[str], bytes]):
     return run
 
 
-def repeated_windows(segments: list[bytes], times: np.ndarray, length: int, memory: int) -> tuple[np.ndarray, ...]:
-    """(segment, first, last): the runs of starts whose window occurs again in these segments, or as often as given."""
-    sizes = np.array([len(s) for s in segments])
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    # Bytes follow 0, the end of the string, and 1, the end of a segment.
+def _string(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One string of small letters for all segments, where their letters begin in it, and how many stand for one.
+
+    Bytes stand for themselves; of words, their rank in the shard's vocabulary is
+    written as two letters, as few letters have few queues.  They follow 0,
+    the end of the string, and 1, the end of a segment.
+    """
+    data, each = np.frombuffer(b"".join(segments), dtype=np.uint8 if size == 1 else np.uint64), 1
+    if size > 1:
+        distinct, rank = np.unique(data, return_inverse=True)
+        base, each = max(2, int(np.ceil(np.sqrt(len(distinct))))), 2
+        data = np.stack([rank // base, rank % base], axis=1).ravel()
+    counts = np.array([each * len(s) // size for s in segments])
+    begins = np.concatenate([[0], np.cumsum(counts + 1)])
     letters = np.ones(int(begins[-1]) + 1, dtype=np.uint16)
     letters[-1] = 0
     inside = np.ones(len(letters), dtype=bool)
     inside[begins[1:] - 1] = inside[-1] = False
-    letters[inside] = np.frombuffer(b"".join(segments), dtype=np.uint8) + np.uint16(2)
-    order = suffixes(letters, length, memory)
-    full = order.common >= length
-    repeated = np.zeros(len(letters) + 1, dtype=bool)
-    repeated[order.places[full | np.append(full[1:], False)]] = True
-    widths = sizes - length + 1
+    letters[inside] = data.astype(np.uint16) + np.uint16(2)
+    return letters, begins, each
+
+
+def repeated_windows(segments: list[bytes], times: np.ndarray, length: int, memory: int, size: int = 1) -> tuple[np.ndarray, ...]:
+    """(segment, first, last): the runs of starts whose window occurs again in these segments, or as often as given."""
+    letters, places, each = _string(segments, size)
+    order = suffixes(letters, length * each, memory)
+    full = order.common >= length * each
+    found = np.zeros(len(letters), dtype=bool)
+    found[order.places[full | np.append(full[1:], False)]] = True
+    counts = np.array([len(s) // size for s in segments])
+    begins = np.concatenate([[0], np.cumsum(counts + 1)])
+    # The place of each letter's first small one; the ends of segments are one small letter.
+    at = np.arange(begins[-1]) - np.repeat(begins[:-1], counts + 1)
+    repeated = np.append(found[np.repeat(places[:-1], counts + 1) + each * at], False)
+    widths = counts - length + 1
     for i in np.flatnonzero(times > 1).tolist():
         repeated[begins[i] : begins[i] + widths[i]] = True
     # A start belongs to a window only if its segment goes on for the window's length.
@@ -112,11 +193,11 @@ def repeated_windows(segments: list[bytes], times: np.ndarray, length: int, memo
     return owner, firsts - begins[owner], lasts - begins[owner]
 
 
-def _sorted_shards(length: int, memory: int):
+def _sorted_shards(length: int, memory: int, size: int):
     """Takes the segments of one shard after the other and marks the repeated windows of each."""
 
     def marks(held: list[tuple]) -> pa.RecordBatch:
-        owner, firsts, lasts = repeated_windows([h[4] for h in held], np.array([h[3] for h in held]), length, memory)
+        owner, firsts, lasts = repeated_windows([h[4] for h in held], np.array([h[3] for h in held]), length, memory, size)
         columns = [pa.array([held[i][c] for i in owner.tolist()], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
         ranges = [pa.array(x.astype(np.int32)) for x in (firsts, lasts)]
         return pa.RecordBatch.from_arrays([*columns, *ranges], names=_names(MARK))
@@ -137,40 +218,60 @@ def _sorted_shards(length: int, memory: int):
     return run
 
 
-def repeated(
-    texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 64 << 20, coded: Callable[[str], bytes] = str.encode
-) -> DataFrame:
+def _shared(pieces: DataFrame) -> DataFrame:
+    """The pieces whose key occurs more than once."""
+    keys = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
+    keys = keys.where((F.col("n") > 1) | F.col("twice")).select("key")
+    return stored(pieces.join(keys, "key", "left_semi"), "repeat-candidates", compression="zstd")
+
+
+def _distinct(candidates: DataFrame) -> DataFrame:
+    """One of equal pieces, and how many there are."""
+    one = F.min(F.struct("row", "start")).alias("one")
+    return stored(candidates.groupBy(*IDENTITY).agg(F.count("*").alias("times"), one), "repeat-distinct")
+
+
+def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 2 << 20, alphabet: Alphabet = BYTES) -> DataFrame:
     """(row, spans): for rows with repeated windows, the runs of their starts as (first, last).
 
-    Takes (row, text); windows are strings of what `coded` makes of a text.  A document's pieces and spans are as many as its length
-    allows; nothing else is gathered.
+    Takes (row, text); windows are strings of the alphabet's letters.  A shard
+    has about `shard_bytes`, and no key has more, unless in one whole window.
+    Queues beyond `memory` bytes wait on disk.  A document's pieces and spans
+    are as many as its length allows; nothing else is gathered.
     """
-    pieces = stored(texts.mapInArrow(_pieces(length, coded), PIECE), "repeat-pieces", compression="zstd")
-    shared = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
-    shared = shared.where((F.col("n") > 1) | F.col("twice")).select("key")
-    candidates = stored(pieces.join(shared, "key", "left_semi"), "repeat-candidates", compression="zstd")
-    identity = ["key", "digest", "width"]
-    one = F.min(F.struct("row", "start")).alias("one")
-    distinct = stored(candidates.groupBy(*identity).agg(F.count("*").alias("times"), one), "repeat-distinct")
-    total = distinct.agg(F.sum(F.col("width").cast("long") + length - 1)).first()[0] or 0
+    size = alphabet.size
+    candidates = _shared(stored(texts.mapInArrow(_pieces(length, alphabet), PIECE), "repeat-pieces", compression="zstd"))
+    distinct = _distinct(candidates)
+    weight = (F.col("width").cast("long") + (length - 1)) * size
+    for step in (STEP, 1):
+        crowded = distinct.groupBy("key").agg(F.sum(weight).alias("size")).where(F.col("size") > shard_bytes).select("key")
+        crowded = stored(crowded, "repeat-crowded")
+        if crowded.isEmpty():
+            break
+        own = candidates.join(crowded, "key", "left_semi").groupBy("row")
+        own = own.agg(F.collect_list(F.struct("key", "start", "width")).alias("crowded"))
+        parts = texts.join(own, "row").select("row", "text", "crowded").mapInArrow(_parts(length, alphabet, step), PIECE)
+        parted = _shared(stored(parts, "repeat-pieces", compression="zstd"))
+        candidates = stored(candidates.join(crowded, "key", "left_anti").unionAll(parted), "repeat-candidates", compression="zstd")
+        distinct = _distinct(candidates)
+    total = distinct.agg(F.sum(weight)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
-    wanted = F.collect_list(F.struct(F.col("one.start").alias("start"), *identity, "times")).alias("wanted")
+    wanted = F.collect_list(F.struct(F.col("one.start").alias("start"), *IDENTITY, "times")).alias("wanted")
     by_row = distinct.groupBy(F.col("one.row").alias("row")).agg(wanted)
-    segments = texts.join(by_row, "row").select("text", "wanted").mapInArrow(_segments(length, coded), SEGMENT)
+    segments = texts.join(by_row, "row").select("text", "wanted").mapInArrow(_segments(length, alphabet), SEGMENT)
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     ordered = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "key")
-    marks = stored(ordered.mapInArrow(_sorted_shards(length, memory), MARK), "repeat-marks")
+    marks = stored(ordered.mapInArrow(_sorted_shards(length, memory, size), MARK), "repeat-marks")
 
-    found = candidates.join(marks, identity)
+    found = candidates.join(marks, IDENTITY)
     span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     return found.select("row", span.alias("span")).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
 def word_runs(text: str, spans: list, words: int) -> list[tuple[int, int]]:
-    """The bytes of the words that windows with these starts in the text's word codes cover, as runs in order."""
-    starts = [(-(-s["first"] // WORD), -(-s["last"] // WORD)) for s in spans]
-    own = merged([(first, last + words - 1) for first, last in starts if first < last])
+    """The bytes of the words that windows with these starts among the words cover, as runs in order."""
+    own = merged([(s["first"], s["last"] + words - 1) for s in spans])
     if not own:
         return []
     places = [m.span() for m in _WORDS.finditer(text)]
@@ -213,54 +314,49 @@ def kept(data: bytes, runs: list[tuple[int, int]], whole_characters: bool) -> by
     return b"".join([*out, data[at:]])
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def without_repeats(
     docs: DataFrame,
     length: int = 400,
     text_col: str = "text",
-    whole_characters: bool = False,
     into: str = "left",
     words: int | None = None,
 ) -> DataFrame:
-    """All rows and columns, and a struct column `into`: n_bytes, n_removed, n_spans and kept, the remaining bytes.
+    """All rows and columns, and a struct column `into`: n_bytes, n_removed, n_spans, kept, n_passage_bytes and rest.
 
     Every byte goes that a string of `length` bytes covers which also starts
     elsewhere, in the same text or another; strings are judged on the input,
-    and never cross texts.  Null and short texts stay as they are (null has no
-    bytes); of repeated rows nothing is left if they are long enough.  With
-    whole_characters, UTF-8 characters that are covered in part stay, so the
-    rest is text again.  With `words`, passages of so many words between white
-    space go too, however short.  An existing column `into` is replaced.
+    and never cross texts.  `kept` are the remaining bytes.  Null and short
+    texts stay as they are (null has no bytes); of repeated rows nothing is
+    left if they are long enough.  `rest` is the remaining text when, with
+    `words`, passages of so many words that start elsewhere go too, however
+    short, with the white space between two words that go; n_passage_bytes are the bytes of both
+    kinds of passages.  UTF-8 characters that are covered in part stay in it,
+    and null stays null.  An existing column `into` is replaced, others may
+    have any name.
     """
     importable(docs.sparkSession)
-    row, spans, worded = _free(docs, "row_number"), _free(docs, "spans"), _free(docs, "word_spans")
-    texts = texts_of(docs, docs.columns[0], text_col, row=True).select("row", "text")
+    row, spans, worded = free(docs, "row_number"), free(docs, "spans"), free(docs, "word_spans")
+    text = F.col(named(text_col)).cast("string")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text"))
     found = repeated(texts, length).select(F.col("row").alias(row), F.col("spans").alias(spans))
     none = F.lit(None).cast(found.schema[spans].dataType)
     if words:
-        passages = repeated(texts, words * WORD, coded=word_codes)
+        passages = repeated(texts, words, alphabet=WORDS)
         passages = passages.select(F.col("row").alias(row), F.col("spans").alias(worded))
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, n_passage_bytes long, rest string")
     def cut(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.DataFrame:
         rows = []
         for text, own, by_words in zip(texts, spans, worded, strict=True):
             data = (text or "").encode()
             runs = covered(own, length) if own is not None else []
-            if by_words is not None:
-                runs = merged(runs + word_runs(text, by_words, words))
-            left = kept(data, runs, whole_characters)
-            rows.append((len(data), sum(b - a for a, b in runs), len(runs), left))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            every = merged(runs + word_runs(text, by_words, words)) if by_words is not None else runs
+            sizes = [sum(b - a for a, b in x) for x in (runs, every)]
+            rest = None if text is None else kept(data, every, True).decode() if every else text
+            rows.append((len(data), sizes[0], len(runs), kept(data, runs, False), sizes[1], rest))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_bytes", "rest"])
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     joined = numbered.join(found, row, "left")
     joined = joined.join(passages, row, "left") if words else joined.withColumn(worded, none)
-    return joined.withColumn(into, cut(F.col(text_col).cast("string"), F.col(spans), F.col(worded))).drop(row, spans, worded)
+    return joined.withColumn(into, cut(text, F.col(spans), F.col(worded))).drop(row, spans, worded)

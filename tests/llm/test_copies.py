@@ -172,7 +172,7 @@ def test_equal_windows_have_equal_keys(monkeypatch):
     keys = defaultdict(set)
     for _ in range(6):
         text = bytes(rng.randrange(97, 101) for _ in range(rng.randrange(500))) + passage[rng.randrange(300) :]
-        own = anchors.pieces(text + b"a" * rng.randrange(800), 400)
+        own = anchors.pieces(np.frombuffer(text + b"a" * rng.randrange(800), dtype=np.uint8), 400, 128)
         text += b"a" * 800
         for key, start, end in zip(own.keys.tolist(), own.starts.tolist(), own.ends.tolist(), strict=True):
             for at in range(start, end):
@@ -220,6 +220,7 @@ def test_repeated_passages_go(spark):
     left = suffix_dedup.without_repeats(docs, 400)
     assert left.columns == [*docs.columns, "left"]
     counts = ("n_bytes", "n_removed", "n_spans")
+    assert all(r.left.n_passage_bytes == r.left.n_removed and (r.left.rest is None) == (r.text is None) for r in left.collect())
     found = left.select("spans", *(f"left.{c}" for c in counts), F.sha2("left.kept", 256)).collect()
     expected = plain_removal([(t or "").encode() for t in texts], 400)
     assert [tuple(r[1:]) for r in sorted(found)] == expected
@@ -229,9 +230,66 @@ def test_repeated_passages_go(spark):
 def test_whole_characters_stay(spark):
     passage = "é" * 350
     docs = spark.createDataFrame([(1, "x" + passage), (2, "ü" + passage + "b")], "doc_id long, text string")
-    rows = suffix_dedup.without_repeats(docs, 401, whole_characters=True).collect()
+    rows = suffix_dedup.without_repeats(docs, 401).collect()
     for row in rows:
-        assert bytes(row.left.kept).decode() == row.text.replace("é", "")
+        assert row.left.rest == row.text.replace("é", "")
+
+
+def plain_rest(texts, length, words):
+    """What is left without strings of so many bytes, or words, that start again; a character goes if all its bytes do."""
+    split = [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in s[i : i + words]) for i in range(len(s) - words + 1)] for t, s in zip(texts, split, strict=True)]
+    by_words = Counter(r for own in runs for r in own)
+    data = [t.encode() for t in texts]
+    by_bytes = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for text, raw, places, own in zip(texts, data, split, runs, strict=True):
+        gone = np.zeros(len(raw), dtype=bool)
+        for i in range(len(raw) - length + 1):
+            if by_bytes[raw[i : i + length]] > 1:
+                gone[i : i + length] = True
+        at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype(int)
+        goes = np.zeros(len(places) + 1, dtype=bool)
+        for i, run in enumerate(own):
+            goes[i : i + words] |= by_words[run] > 1
+        for i, (a, b) in enumerate(places):
+            if goes[i]:  # and the white space up to a next word that goes
+                gone[at[a] : at[places[i + 1][0] if goes[i + 1] else b]] = True
+        out.append("".join(c for c, a, b in zip(text, at, at[1:], strict=False) if not gone[a:b].all()))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [2 << 20, 3_000, 1])
+def test_crowded_keys_are_parted(spark, shard_bytes):
+    """One passage of exactly a window, and one that is longer, in very many surroundings."""
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, longer = prose(120), prose(170)
+    texts = [prose(rng.randrange(60)) + (short if i % 2 else longer[i % 7 :]) + prose(rng.randrange(60)) for i in range(300)]
+    texts += [prose(300), "é" * 400, "ab" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").coalesce(2)
+    alphabet = suffix_dedup.BYTES._replace(gram=40)
+    found = {r.row: r.spans for r in suffix_dedup.repeated(docs, 120, shard_bytes=shard_bytes, memory=1000, alphabet=alphabet).collect()}
+    expected = plain_removal([t.encode() for t in texts], 120)
+    for i, (_, removed, spans, _) in enumerate(expected):
+        runs = suffix_dedup.covered(found.get(i, []), 120)
+        assert (sum(b - a for a, b in runs), len(runs)) == (removed, spans)
+
+
+def test_a_shard_beyond_the_queues_memory(monkeypatch):
+    """The queues of one shard of production size go to disk, and the answer is that of brute force."""
+    spills = []
+    plain = induced.SuffixQueue._spill
+    monkeypatch.setattr(induced.SuffixQueue, "_spill", lambda self: (spills.append(self.held), plain(self))[1])
+    rng = np.random.default_rng(3)
+    own = [rng.integers(97, 123, 3000).astype(np.uint8).tobytes() for _ in range(600)]
+    own += [own[i][500:1500] + own[-i][:300] for i in range(1, 100)]
+    owner, firsts, lasts = suffix_dedup.repeated_windows(own, np.ones(len(own), dtype=int), 400, 1 << 18)
+    gone = [np.zeros(len(t), dtype=bool) for t in own]
+    for i, a, b in zip(owner.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+        gone[i][a : b + 399] = True
+    assert len(spills) > 3 and max(spills) > 1 << 18
+    assert [int(g.sum()) for g in gone] == [removed for _, removed, _, _ in plain_removal(own, 400)]
 
 
 def test_passages_of_over_50_words_go(spark):
@@ -248,7 +306,7 @@ def test_passages_of_over_50_words_go(spark):
     rows.append((len(rows), "日" * 500 + own()))
     rows.append((len(rows), own() + " " + "日" * 500))
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    found = {r.doc_id: bytes(r.left.kept).decode() for r in suffix_dedup.without_repeats(docs, 400, whole_characters=True, words=51).collect()}
+    found = {r.doc_id: r.left.rest for r in suffix_dedup.without_repeats(docs, 400, words=51).collect()}
     assert {i: found[i] for i in expected} == expected
     assert not any("日" in t for t in found.values())
     stage = {r.doc_id: r.text for r in corpus_pipeline.without_passages(spark, docs, "").collect()}

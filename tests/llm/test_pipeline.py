@@ -2,27 +2,29 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from obsmill.llm import langid, oracle, queries
 from obsmill.llm.frames import stored
-from tests.llm.test_copies import linked_by, plain_fingerprint, plain_removal
+from tests.llm.test_copies import linked_by, plain_fingerprint, plain_removal, plain_rest
 from tests.llm.test_tokens import check_pieces, library_ids
 
 FOLDER = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_the_operators_and_the_pipeline_are_registered():
     names = set(contract.queries())
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracle.oracle()))
 def test_queries_equal_their_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("pages", "embeddings", "documents"):
+    for table in ("pages", "embeddings", "documents", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = connection.execute(oracle.oracle()[name])
     columns = [c[0] for c in result.description]
@@ -62,12 +64,9 @@ def test_pipeline_stages(spark):
     cut = stored(passages(spark, one, FOLDER), "stage")
     assert cut.schema == docs.schema and cut.count() == one.count()
     texts = {r.doc_id: r.text for r in one.collect()}
-    order = sorted(texts)
-    lengths = plain_removal([texts[i].encode() for i in order], 400)
-    for r in cut.collect():
-        size, removed, spans, _ = lengths[order.index(r.doc_id)]
-        # A character that is covered in part stays, at both ends of a span.
-        assert 0 <= len(r.text.encode()) - (size - removed) <= 6 * spans and r.n_chars == len(r.text)
+    rest = plain_rest(list(texts.values()), corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)
+    assert {r.doc_id: r.text for r in cut.collect()} == dict(zip(texts, rest, strict=True))
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
 
     pieces = pack(spark, cut, FOLDER).collect()
     ids = {r.doc_id: [*library_ids(r.text), 0] for r in cut.collect()}
@@ -77,5 +76,27 @@ def test_pipeline_stages(spark):
         assert [i for p in own for i in p.ids] == ids[doc_id]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that the stages make for themselves come through as they are."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["left", "_left", "row", "_row", "_kept", "language_id", "a.b", "a`b", "spans", "word_spans", "row_number", "fp", "Node"]
+    docs = stored(docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}), "names")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER), "stage")
+        rows = docs.collect()
+        assert rows and docs.columns == [*COLUMNS, *names], name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= len(rows)
+
+
+def test_stages_of_nothing_and_of_nulls(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
+    for own in (docs.limit(0), nulls):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            assert stage(spark, own, FOLDER).count() >= 0, name
+        assert corpus_pipeline.STAGES[0][1](spark, own, FOLDER).count() == 0
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
