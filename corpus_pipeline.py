@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.llm import langid, packing, simhash, suffix_dedup
-from obsmill.llm.frames import stored
+from obsmill.llm.frames import free, named, quoted, stored
 
 SHINGLE, DISTANCE, PASSAGE_BYTES, PASSAGE_WORDS = 4, 4, 400, 51
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
@@ -22,23 +22,26 @@ ORACLE_SQL = None
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected are those without a letter or below the threshold."""
-    named = langid.identify(docs, langid.fit(docs))
-    return named.where("language_id.accepted").select(*docs.columns)
+    answer = free(docs, "language_id")
+    found = langid.identify(docs, langid.fit(docs), into=answer)
+    return found.where(F.col(answer).accepted).select(*quoted(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    kept = simhash.groups(docs, SHINGLE, DISTANCE).where("keep").select(F.col("row").alias("_kept"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    row = free(docs, "row")
+    kept = simhash.groups(docs, SHINGLE, DISTANCE).where("keep").select(F.col("row").alias(row))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(kept, row, "left_semi").select(*quoted(docs))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of over 50 words or of 400 bytes that occur again; characters are never cut."""
-    left = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, whole_characters=True, words=PASSAGE_WORDS)
-    text = F.when(F.col("text").isNotNull(), F.decode("left.kept", "UTF-8"))
-    changed = left.withColumns({"text": text, "n_chars": F.char_length(text).cast("long")})
-    return changed.select(*docs.columns)
+    left = free(docs, "left")
+    cut = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, into=left, words=PASSAGE_WORDS)
+    rest = F.col(left).rest
+    changed = {"text": rest, "n_chars": F.char_length(rest).cast("long")}
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(named(c)) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
