@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from obsmill.llm.frames import stored
 
 
+#: The rows of a node meet its smallest neighbour in so many tasks, as a node may have very many links.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Adds the row of `least` to each link of its node."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("salt", salt), ["node", "salt"]).drop("salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the smallest node around it."""
     both = links.select("node", "to").unionAll(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
     least = both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("least"))
-    moved = both.where(F.col("to") > F.col("node")).join(least, "node")
+    moved = _with_least(both.where(F.col("to") > F.col("node")), least)
     return moved.select(F.col("to").alias("node"), F.col("least").alias("to"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them."""
     least = links.groupBy("node").agg(F.min("to").alias("least"))
-    moved = links.join(least, "node").where(F.col("to") != F.col("least"))
+    moved = _with_least(links, least).where(F.col("to") != F.col("least"))
     moved = moved.select(F.col("to").alias("node"), F.col("least").alias("to"))
     return moved.unionAll(least.select("node", F.col("least").alias("to"))).distinct()
 
