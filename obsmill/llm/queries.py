@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.llm import (
-    langid, minhash, packing, shards, simhash, suffix_dedup, token_files, topk, warc, word_bpe,
+    conversations, langid, lexical, minhash, packing, shards, simhash, sketch_dedup, suffix_dedup, token_files, topk, warc, word_bpe,
 )
 from obsmill.llm.frames import stored
 from obsmill.sources.workspace import new_folder
@@ -100,9 +100,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles of all documents and the smallest id that links of near copies reach."""
+    found = sketch_dedup.groups(_table(spark, sf_dir, "documents"), size=3, share=85, whole=100)
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of all conversations after damage, and their cheapest repair."""
+    rows = conversations.messages(_table(spark, sf_dir, "conversations"))
+    return conversations.repaired(conversations.damaged(rows))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_token_files, op3_shards, op4_word_bpe, op5_packing, op6_simhash, op7_warc, op8_language_id,
-        op9_topk, op10_minhash,
+        op9_topk, op10_minhash, op11_sketch_dedup, op12_conversation_repair, op13_lexical_search,
     )
     return {query.__name__: query for query in found}
