@@ -9,11 +9,11 @@ coordinates estimates the Jaccard similarity as closely as that of independent
 permutations.
 
 Sets that agree in a band of coordinates are candidates.  A band's bucket never
-becomes all its pairs: first each set meets the smallest set of the bucket that
-it shares most bands with, and what is confirmed is joined to components.  Only
-buckets of several components are looked at again, where every set outside the
-largest one meets all others, by sketches; of those that may be similar the
-likeliest are confirmed first, and components are joined before more are.
+becomes all its pairs: first each set meets the smallest sets of the buckets
+that it shares most bands with, and what is confirmed is joined to components.
+Then only buckets of several components are looked at, where every set outside
+the largest one meets all others, unless a link has joined them meanwhile; the
+links of a forest leave a task.  All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsmill.llm.components import components
@@ -34,14 +34,19 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Coordinates of a sketch, a power of two, and how many make a band: at a similarity of 0.85 a pair shares none
 #: of the 32 bands with a probability of 5e-11, and of 0.8 with 5e-8.
 BINS, BAND = 128, 4
-#: A pair is confirmed if its sketches agree within so many standard deviations of the threshold.
-DEVIATIONS = 6
+#: Sets of a bucket are compared if their sketches agree within so many standard deviations of the threshold.
+DEVIATIONS = 5
+#: Sets are compared by 32 bits of each hash, so a similarity is known to this; what is nearer to the threshold joins nothing yet.
+DOUBT = 0.001
+#: The smallest sets of so many buckets are tried first.
+CENTRES = 3
 _ORDER, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 2 * BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = BINS.bit_length() - 1
 _VALUE = np.uint64(64 - _BITS)
 MARKED = "doc_id long, row long, n_shingles int, digest binary, bands array<long>, sketch binary"
 PAIR = "a long, b long"
+HELD = ("node", "root", "chunk", "bands", "sketch", "short")
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -129,47 +134,78 @@ def _marked(size: int):
     return run
 
 
-def _likely(threshold: float, most: int):
-    """Takes the sets of one bucket's chunk after the other; for each set outside the largest component the `most`
-    likeliest others of other components, as (a, b, more): whether there were more of them."""
-    least = max(1, int(np.ceil(BINS * threshold - DEVIATIONS * (BINS * threshold * (1 - threshold)) ** 0.5)))
-
-    def pairs(held: list[tuple]) -> list[tuple[int, int, bool]]:
-        nodes, roots, sizes, outside = (np.array([h[i] for h in held]) for i in range(4))
-        prints = np.frombuffer(b"".join([h[4] for h in held]), dtype="<u2").reshape(len(held), BINS)
-        found = []
-        for i in np.flatnonzero(outside).tolist():
-            apart = (roots != roots[i]) & (sizes >= threshold * sizes[i]) & (threshold * sizes <= sizes[i])
-            # Of two sets outside, the smaller one asks.
-            apart &= ~outside | (nodes > nodes[i])
-            others = np.flatnonzero(apart)
-            if len(others):
-                equal = (prints[others] == prints[i]).sum(axis=1)
-                others, equal = others[equal >= least], equal[equal >= least]
-                first = others[np.argsort(-equal, kind="stable")[:most]]
-                more = len(others) > most
-                found += [(min(a, b), max(a, b), more) for a, b in ((int(nodes[i]), int(nodes[j])) for j in first)]
-        return found
+def _short(size: int):
+    """The upper 32 bits of the hashes of each text's set, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                sets = [np.unique((shingles(t, size) >> np.uint64(32)).astype("<u4")) for t in piece.column("text").to_pylist()]
+                columns = [piece.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "short"])
+
+    return run
 
-        def flushed() -> pa.RecordBatch:
-            found = pairs(held)
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            kinds = (pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "more"])
 
+class _Cell:
+    """Two chunks of a bucket, or one: the sets of the first, all outside the bucket's largest component, meet the others."""
+
+    def __init__(self, place: int, one: int, other: int, held: list[tuple], threshold: float):
+        self.place, self.threshold = place, threshold
+        self.nodes, self.labels, self.chunks = (np.array([h[i] for h in held]) for i in range(3))
+        self.bands = np.array([h[3] for h in held])
+        self.prints = np.frombuffer(b"".join([h[4] for h in held]), dtype="<u2").reshape(len(held), BINS)
+        self.sets = [np.frombuffer(h[5], dtype="<u4") for h in held]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.asking, self.asked = np.flatnonzero(self.chunks == one), self.chunks == other
+        self.alone = one == other
+        self.least = BINS * threshold - DEVIATIONS * (BINS * threshold * (1 - threshold)) ** 0.5
+
+    def _candidates(self, i: int) -> np.ndarray:
+        """Sets of other components that may be similar to one, the likeliest first; each pair in the first band it shares."""
+        fits = self.asked & (self.labels != self.labels[i])
+        fits &= (self.sizes >= (self.threshold - DOUBT) * self.sizes[i]) & ((self.threshold - DOUBT) * self.sizes <= self.sizes[i])
+        if self.alone:
+            fits &= self.nodes > self.nodes[i]
+        others = np.flatnonzero(fits)
+        others = others[(self.bands[others] == self.bands[i]).argmax(axis=1) == self.place]
+        equal = (self.prints[others] == self.prints[i]).sum(axis=1)
+        likely = equal >= self.least
+        return others[likely][np.argsort(-equal[likely], kind="stable")]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        for i in self.asking.tolist():
+            for j in self._candidates(i).tolist():
+                if self.labels[i] == self.labels[j]:
+                    continue
+                both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                likeness = both / (self.sizes[i] + self.sizes[j] - both)
+                if likeness >= self.threshold - DOUBT:
+                    yield min(a := int(self.nodes[i]), b := int(self.nodes[j])), max(a, b)
+                if likeness >= self.threshold + DOUBT:
+                    self.labels[self.labels == self.labels[j]] = self.labels[i]
+
+
+def _forest(threshold: float):
+    """Takes the sets of one cell after the other and gives the pairs that join its components."""
+
+    def links(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        found = list(_Cell(*key[1:], held, threshold).links())
+        columns = list(zip(*found, strict=True)) or [()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("band", "chunk", "node", "root", "n_shingles", "outside", "sketch"))
-            for band, chunk, *own in zip(*columns, strict=True):
-                if (band, chunk) != key and held:
-                    yield flushed()
+            columns = (batch.column(c).to_pylist() for c in ("band", "place", "one", "other", *HELD))
+            for band, place, one, other, *own in zip(*columns, strict=True):
+                if (band, place, one, other) != key and held:
+                    yield links(key, held)
                     held = []
-                key = (band, chunk)
+                key = (band, place, one, other)
                 held.append(tuple(own))
         if held:
-            yield flushed()
+            yield links(key, held)
 
     return run
 
@@ -227,8 +263,7 @@ def groups(
     whole: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_rows: int = 2_000,
-    first_most: int = 4,
+    chunk: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) for every row.
 
@@ -241,42 +276,33 @@ def groups(
     equal sets are linked, repeated rows too, and those of one id are all kept
     or none.  An empty table gives no rows; other columns are ignored.
 
-    Candidates are found by bands, so a link may be missed by the chance that
-    BINS and BAND state; none is dropped otherwise.  Of a bucket, only sets
-    outside its largest component are sent to all its chunks of `chunk_rows`.
+    Candidates are found by bands and compared by sketches, so a link may be
+    missed by the chance that BAND and DEVIATIONS state; none is dropped
+    otherwise.  Of a bucket with several components, sets are dealt to chunks
+    of so many shingles, and a task holds two chunks at a time.
     """
     threshold = share / whole
     rows = texts_of(docs, id_col, text_col, row=True)
     marked = stored(rows.mapInArrow(_marked(size), MARKED), "sketch-rows", compression="zstd")
-    some = marked.where("n_shingles > 0")
-    firsts = some.groupBy("digest").agg(F.min("row").alias("node")).select("node")
-    each = some.withColumnRenamed("row", "node").join(firsts, "node", "left_semi").drop("doc_id")
+    firsts = marked.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node")).select("node")
+    each = marked.withColumnRenamed("row", "node").join(firsts, "node", "left_semi").drop("doc_id")
     each = stored(each, "sketch-sets", compression="zstd")
 
-    banded = each.select("node", F.explode("bands").alias("band"))
+    banded = each.select("node", "n_shingles", F.posexplode("bands").alias("place", "band"))
     centre = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = stored(banded.join(centre, "band"), "sketch-members", compression="zstd")
+    members = stored(banded.join(centre.drop("n"), "band"), "sketch-members", compression="zstd")
     votes = members.where(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("votes"))
-    best = F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("a")
-    pairs = votes.groupBy("node").agg(best).select("a", F.col("node").alias("b"))
-    tested = stored(pairs, "sketch-tested")
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "centre"))
+    tried = votes.withColumn("best", best).where(F.col("best") <= CENTRES)
     nodes = members.select("node").distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
     texts = stored(texts, "sketch-texts", compression="zstd")
-    links = stored(confirmed(tested, texts, size, share, whole), "sketch-links")
-    most = first_most
-    while True:
-        roots = components(links)
-        likely = stored(_apart(members, roots, each, threshold, most, chunk_rows), "sketch-likely")
-        fresh = likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "sketch-fresh")
-        if not fresh.isEmpty():
-            found = confirmed(fresh, texts, size, share, whole)
-            links = stored(links.unionAll(found), "sketch-links")
-            tested = stored(tested.unionAll(fresh), "sketch-tested")
-        elif likely.where("more").isEmpty():
-            break
-        most *= 4
+
+    pairs = stored(tried.select(F.col("centre").alias("a"), F.col("node").alias("b")), "sketch-pairs")
+    links = stored(confirmed(pairs, texts, size, share, whole), "sketch-links")
+    joining = _joining(members, components(links), each, texts.mapInArrow(_short(size), "node long, short binary"), threshold, chunk)
+    pairs = stored(joining.distinct(), "sketch-pairs")
+    roots = components(links.unionAll(confirmed(pairs, texts, size, share, whole)))
 
     rooted = each.join(roots, "node", "left").select("digest", F.coalesce("to", "node").alias("root"))
     owned = marked.select("doc_id", "row", "n_shingles", "digest").join(rooted, "digest", "left")
@@ -288,19 +314,27 @@ def groups(
     )
 
 
-def _apart(members: DataFrame, roots: DataFrame, each: DataFrame, threshold: float, most: int, chunk_rows: int) -> DataFrame:
-    """(a, b, more): likely pairs of different components within the buckets that have several."""
-    rooted = members.select("band", "node", "n").join(roots, "node", "left")
-    rooted = rooted.select("band", "node", "n", F.coalesce("to", "node").alias("root"))
-    held = rooted.groupBy("band", "root").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count("*").alias("several"))
-    mixed = mixed.where(F.col("several") > 1).select("band", "main")
-    chunks = F.ceil(F.col("n") / chunk_rows).cast("int")
-    dealt = rooted.join(mixed, "band").withColumn("outside", F.col("root") != F.col("main"))
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    # A set outside the largest component meets all chunks; the others wait in one each.
-    places = F.when(F.col("outside"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
-    dealt = dealt.withColumn("chunk", F.explode(places)).select("band", "chunk", "node", "root", "outside")
-    full = dealt.join(each.select("node", "n_shingles", "sketch"), "node")
-    ordered = full.repartition("band", "chunk").sortWithinPartitions("band", "chunk")
-    return ordered.mapInArrow(_likely(threshold, most), "a long, b long, more boolean")
+def _joining(members: DataFrame, roots: DataFrame, each: DataFrame, short: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """(a, b): pairs that join the components within the buckets that have several."""
+    rooted = members.select("band", "place", "node", "n_shingles").join(roots, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("to", "node")).drop("to")
+    weight = F.sum(F.col("n_shingles").cast("long") + BINS).alias("weight")
+    held = rooted.groupBy("band", "root").agg(weight)
+    main = F.max_by("root", F.struct("weight", "root")).alias("main")
+    mixed = held.groupBy("band").agg(main, F.max("weight").alias("most"), F.sum("weight").alias("all"), F.count("*").alias("several"))
+    parts = [F.ceil(w / chunk).cast("int").alias(n) for w, n in ((F.col("all") - F.col("most"), "outer"), (F.col("most"), "inner"))]
+    mixed = mixed.where(F.col("several") > 1).select("band", "main", *parts)
+
+    # Chunks of sets outside come first.  A cell is one of them with itself, a later one, or one of the largest component.
+    dealt = rooted.join(mixed, "band")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    inside = F.col("root") == F.col("main")
+    dealt = dealt.withColumn("chunk", F.when(inside, F.col("outer") + own("inner")).otherwise(own("outer")))
+    before = F.transform(F.sequence(F.lit(0), F.least("chunk", F.col("outer") - 1)), lambda one: F.struct(one.alias("one"), F.col("chunk").alias("other")))
+    after = F.sequence(F.col("chunk"), F.col("outer") + F.col("inner") - 1)
+    after = F.transform(after, lambda other: F.struct(F.col("chunk").alias("one"), other.alias("other")))
+    cells = F.when(inside, before).otherwise(F.array_union(before, after))
+    dealt = dealt.withColumn("cell", F.explode(cells)).select("band", "place", "node", "root", "chunk", "cell.one", "cell.other")
+    full = dealt.join(each.select("node", "bands", "sketch"), "node").join(short, "node")
+    key = ("band", "place", "one", "other")
+    return full.select(*key, *HELD).repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(_forest(threshold), PAIR)

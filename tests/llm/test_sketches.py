@@ -67,12 +67,12 @@ def test_every_coordinate_is_filled_and_estimates_the_similarity():
     assert np.array_equal(together[1], sketch_dedup.sketches([pool])[0])
 
 
-@pytest.mark.parametrize(("chunk_rows", "first_most"), [(2_000, 4), (3, 1)])
-def test_groups_equal_brute_force(spark, chunk_rows, first_most):
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_groups_equal_brute_force(spark, chunk):
     texts = corpus()
     rows = [(None if i % 17 == 3 else i // 2, t, "x", i, True) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, band string, node int, kept boolean").coalesce(3)
-    found = sketch_dedup.groups(docs, chunk_rows=chunk_rows, first_most=first_most)
+    found = sketch_dedup.groups(docs, chunk=chunk)
     assert found.columns == ["doc_id", "row", "n_shingles", "component_id", "kept"]
     sets = [plain_set(t) for t in texts]
     roots = linked_by(len(texts), lambda i, j: near(sets[i], sets[j]))
@@ -102,8 +102,8 @@ def test_a_bucket_of_several_components_is_searched_through(spark):
     sets = [plain_set(t) for t in texts]
     roots = linked_by(len(texts), lambda i, j: near(sets[i], sets[j]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk_rows, first_most in ((2_000, 4), (10, 1)):
-        found = sketch_dedup.groups(docs, chunk_rows=chunk_rows, first_most=first_most).orderBy("doc_id").collect()
+    for chunk in (1 << 20, 8_000):
+        found = sketch_dedup.groups(docs, chunk=chunk).orderBy("doc_id").collect()
         assert [r.component_id for r in found] == roots
 
 
