@@ -5,19 +5,23 @@ from __future__ import annotations
 import gc
 import os
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
+
+from obsmill.llm.pieces import cut, strung
 
 # A space before something else than white space always starts a new word of the
 # byte-level pattern, so a text can be cut there without changing its tokens.
 _CUT = re.compile(r" (?=\S)")
 
-
 # Letters at the start of a piece and what else is in it; the pattern always cuts
 # between a letter and an ASCII character that is none.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~\n].*)", re.DOTALL)
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~\n].*)?", re.DOTALL)
 
 
 class Known:
@@ -55,6 +59,14 @@ class PieceEncoder:
         self.sizes = np.zeros(max(letters.values()) + 1, dtype=np.int64)
         self.sizes[list(letters.values())] = [len(t) for t in letters]
         self.first, self.rest = Known(most_pieces // 4), Known(most_pieces)
+        # Runs of Latin letters, after a space or not, are single words of the pattern, which the model takes as the
+        # letters of their bytes; that spares the library's way from texts to words.
+        sample, spelled = " Éaÿ", "ĠÃīaÃ¿"
+        whole = self.tokenizer.normalizer is None and [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(sample)] == [spelled]
+        self.model = self.tokenizer.model if whole else None
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        wide = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+        self.spelled = {ord(c): plain.pre_tokenize_str(c)[0][0] for c in wide}
 
     def _library(self, pieces: list[str], at_once: int = 2_000) -> Iterator[bytes]:
         """The ids of each piece; many pieces share a call, as its overhead exceeds their work.
@@ -73,52 +85,78 @@ class PieceEncoder:
         new = known.unknown(pieces.difference(known.young))
         known.young.update(zip(new, self._library([lead + p for p in new]), strict=True))
 
+    def _words(self, known: Known, words: set[str], lead: str) -> None:
+        """Learns words of Latin letters that are not young."""
+        if self.model is None:
+            return self._call(known, words, lead)
+        mark, tokenize, young = "Ġ" if lead else "", self.model.tokenize, known.young
+        for word in known.unknown(words.difference(young)):
+            letters = word if word.isascii() else word.translate(self.spelled)
+            young[word] = array("I", [t.id for t in tokenize(mark + letters)]).tobytes()
+
     def _learn(self, known: Known, pieces: set[str], lead: str) -> None:
         """Learns pieces that are not young; words of Latin letters apart from what follows them."""
         new = known.unknown(pieces)
         split = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
         self._call(known, {p for p in new if p not in split}, lead)
-        self._call(known, {word for word, _ in split.values()}, lead)
-        self._call(self.first, {tail for _, tail in split.values()}, "")
+        self._words(known, {word for word, _ in split.values()}, lead)
+        tailed = [(piece, *parts) for piece, parts in split.items() if parts[1]]
+        self._call(self.first, {tail for _, _, tail in tailed}, "")
         words, tails = known.young, self.first.young
-        words.update([(piece, words[word] + tails[tail]) for piece, (word, tail) in split.items()])
+        words.update([(piece, words[word] + tails[tail]) for piece, word, tail in tailed])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """One string of ids for each text; null counts as empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
         gc.disable()  # the lists of pieces hold no cycles, and walking them takes an eighth of the time
         try:
-            return self._encode(texts)
+            self.first.age()
+            self.rest.age()
+            return self._encode(pc.fill_null(texts, ""))
         finally:
             gc.enable()
 
-    @staticmethod
-    def _cut(texts: list[str], whole: list[bool], split: Callable[[str], list[str]]) -> tuple[list[str], list[list[str]]]:
-        """The first piece of each text, and the others without the space before them."""
-        cut = [[""] if w else split(t) for t, w in zip(texts, whole, strict=True)]
-        return [pieces.pop(0) for pieces in cut], cut
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        self.first.age()
-        self.rest.age()
-        texts = [t or "" for t in texts]
-        whole = [any(a in t for a in self.added) for t in texts]
-        first, rest = self.first.young, self.rest.young
-        # Plain splitting is faster, and the same unless white space follows a space;
-        # such a text has a piece that is empty or begins with it, and none is ever learned.
-        begins, cut = self._cut(texts, whole, lambda t: t.split(" "))
-        new = set().union(*cut).difference(rest)
-        if any(not p or p[0].isspace() for p in new):
-            begins, cut = self._cut(texts, whole, _CUT.split)
-            new = set().union(*cut).difference(rest)
-        self._learn(self.rest, new, " ")
-        self._learn(self.first, set(begins).difference(first), "")
-        ids_of = rest.__getitem__
-        out = [first[start] + b"".join(map(ids_of, pieces)) for start, pieces in zip(begins, cut, strict=True)]
-        for i in (i for i, w in enumerate(whole) if w):
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        found = cut(texts)
+        begins, first, rest = found.begins, self.first.young, self.rest.young
+        # Pieces after the first one have a space before them.
+        inner = np.ones(len(found.entries), dtype=bool)
+        inner[begins[:-1]] = False
+        used = np.zeros(len(found.pieces), dtype=bool)
+        used[found.entries[inner]] = True
+        # Where white space follows a space, plain splitting isn't the pattern's; no such piece is learned.
+        odd = np.array([not p or p[0].isspace() for p in found.pieces])
+        plain = [found.pieces[i] for i in np.flatnonzero(used & ~odd).tolist()]
+        starts = [found.pieces[i] for i in found.entries[begins[:-1]].tolist()]
+        self._learn(self.rest, set(plain).difference(rest), " ")
+        self._learn(self.first, set(starts).difference(first), "")
+        values = [b""] * len(found.pieces)
+        for i, piece in zip(np.flatnonzero(used & ~odd).tolist(), plain, strict=True):
+            values[i] = rest[piece]
+        entries = found.entries.copy()
+        entries[begins[:-1]] = len(values) + np.arange(len(starts))
+        out = strung(values + [first[s] for s in starts], found, entries)
+
+        special = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        strange = np.unique(np.searchsorted(begins, np.flatnonzero(odd[found.entries] & inner), side="right") - 1)
+        for i in strange[~special[strange]].tolist():
+            out[i] = self._spaced(texts[i].as_py())
+        for i in np.flatnonzero(special).tolist():
+            ids = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
             out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
+    def _spaced(self, text: str) -> bytes:
+        """The ids of a text that is only cut at spaces before something else than white space."""
+        start, *pieces = _CUT.split(text)
+        self._learn(self.first, {start}.difference(self.first.young), "")
+        self._learn(self.rest, set(pieces).difference(self.rest.young), " ")
+        return self.first.young[start] + b"".join(map(self.rest.young.__getitem__, pieces))
+
 
 _loaded: dict[str, PieceEncoder] = {}
 

@@ -14,6 +14,8 @@ from obsmill.sources.workspace import new_folder
 
 #: A worker handles so many rows or text bytes of an Arrow batch at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Where equal words are looked up once for a slice, it may be longer.
+LONG_SLICE = (4096, 8 << 20)
 
 
 def importable(spark: SparkSession) -> None:
@@ -60,13 +62,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, most: tuple[int, int] = (SLICE_ROWS, SLICE_BYTES)) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and few text bytes; a row is never cut."""
     at, count = 0, batch.num_rows
     column = batch.column(batch.schema.get_field_index(text_col))
     while at < count:
         take, size = 0, 0
-        while at + take < count and take < SLICE_ROWS and (take == 0 or size < SLICE_BYTES):
+        while at + take < count and take < most[0] and (take == 0 or size < most[1]):
             value = column[at + take]
             size += value.as_buffer().size if value.is_valid else 0
             take += 1

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from obsmill.llm import cutting
 from obsmill.llm.byte_tokens import encoder
-from obsmill.llm.frames import slices, stored, texts_of
+from obsmill.llm.frames import LONG_SLICE, slices, stored, texts_of
 
 FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 TOKENS = "doc_id long, part int, remainder int, local_rank long, local_full long, doc_tokens long, ids binary"
@@ -42,9 +42,9 @@ def _encode(path: str, end_id: int, capacity: int):
         wide = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         seen = np.zeros(capacity, dtype=np.int64)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", LONG_SLICE):
                 ids = [
-                    np.frombuffer(x + end, dtype="<u4") for x in encoder(path).encode(piece.column("text").to_pylist())
+                    np.frombuffer(x + end, dtype="<u4") for x in encoder(path).encode(piece.column("text"))
                 ]
                 counts = np.array([len(x) for x in ids], dtype=np.int64)
                 rest, ranks = counts % capacity, np.zeros(len(ids), dtype=np.int64)

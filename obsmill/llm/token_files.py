@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsmill.llm.byte_tokens import encoder
-from obsmill.llm.frames import slices, texts_of
+from obsmill.llm.frames import LONG_SLICE, slices, texts_of
 
 ROW = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -33,8 +33,8 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids = [x + end for x in encoder(path).encode(piece.column("text").to_pylist())]
+            for piece in slices(batch, "text", LONG_SLICE):
+                ids = [x + end for x in encoder(path).encode(piece.column("text"))]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
                 offsets = np.concatenate([[0], ends]).astype(np.int32)

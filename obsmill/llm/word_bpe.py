@@ -5,7 +5,9 @@ a word exactly if each token encodes to itself and each two neighbours encode
 to themselves when put together.  So the encoding of every prefix of a word is
 given by its last token and the encoding of the shorter prefix before it, and
 the state of a trie node is that last token alone.  A depth-first walk over the
-distinct words computes it once for every shared prefix.
+distinct words computes it once for every shared prefix.  Which tokens can be
+the last one follows from the longest end of the prefix that begins a token,
+which the walk carries along as an automaton over the vocabulary would.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from obsmill.llm.byte_tokens import Known
-from obsmill.llm.frames import slices, texts_of
+from obsmill.llm.frames import LONG_SLICE, slices, texts_of
+from obsmill.llm.pieces import cut, strung
 
 # White space other than the space, by the widest notion of it, and normalised pieces
 # whose words are plain: letters, then signs that begin no contraction.
@@ -50,12 +54,19 @@ class Merges:
         self.ids: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
-        self.names = {i: t for t, i in self.ids.items()}
+        #: The ids of tokens as little-endian 32-bit numbers, and tokens as they are decoded.
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
+        self.spoken = {t: f" {t}".encode() for t in self.ids}
         self.longest = max(len(self._letters(t)) for t in self.ids)
         # Tokens whose letters encode to them; the others never come up.
         self.usable = {t for t in self.ids if self._merged(self._symbols(t)) == [t]}
+        # Of prefixes of usable tokens: a text's longest end that is one decides which tokens end there.
+        self.prefixes = {t[:i] for t in map(self._letters, self.usable) for i in range(len(t) + 1)}
         self._beside: dict[tuple[str, str], bool] = {}
-        self._states: dict[str, str] = {}
+        self._rights: dict[str, list[tuple[str, int, int, int]]] = {}
+        self._lefts: dict[str, list[tuple[str, int, int, int]]] = {}
+        self._links: dict[str, str] = {}
+        self._ending: dict[str, tuple[list[str], list[str]]] = {}
 
     def _letters(self, token: str) -> str:
         return token[: -len(self.end)] if self.end and token.endswith(self.end) and token != self.end else token
@@ -74,44 +85,107 @@ class Merges:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def last_token(self, tail: str, depth: int, last: list[str], end: str) -> str:
-        """The last token of a prefix, or with `end` of a word, given the last tokens of all shorter prefixes.
+    def follow(self, held: str, letter: str) -> str:
+        """The longest end of a text that is a prefix of usable tokens, given that of the text without its last letter."""
+        text = held + letter
+        if text in self.prefixes:
+            return text
+        known = self._links.get(text)
+        if known is None:
+            if len(self._links) > 500_000:
+                self._links.clear()
+            known = text
+            while known not in self.prefixes:
+                known = known[1:]
+            self._links[text] = known
+        return known
 
-        `tail` are the last letters of its `depth` letters, as many as the longest token has at most.
-        """
-        usable, beside, before = self.usable, self._beside, depth - len(tail)
-        for start in range(before, depth):
-            token = tail[start - before :] + end
-            if token in usable:
-                if not start:
-                    return token
-                left = last[start]
-                fits = beside.get((left, token))
-                if fits or fits is None and self.beside(left, token):
-                    return token
-        raise ValueError(f"the vocabulary has no token for {tail[-1:] + end!r}")
-
-    def state(self, tail: str, depth: int, last: list[str]) -> str:
-        """The last token of a prefix, which later batches of words may share if the prefix is no longer than a token."""
-        if depth > len(tail):
-            return self.last_token(tail, depth, last, "")
-        known = self._states.get(tail)
+    def ending(self, held: str) -> tuple[list[str], list[str]]:
+        """The usable tokens at the end of a text, the longest first, within a word and at its end."""
+        known = self._ending.get(held)
         if known is None:
-            if len(self._states) > 500_000:
-                self._states.clear()
-            known = self._states[tail] = self.last_token(tail, depth, last, "")
+            if len(self._ending) > 500_000:
+                self._ending.clear()
+            ends = [held[i:] for i in range(len(held))]
+            known = self._ending[held] = ([t for t in ends if t in self.usable], [t + self.end for t in ends if t + self.end in self.usable])
         return known
 
+    def last_token(self, tokens: list[str], depth: int, last: list[str], extra: int) -> str:
+        """The last token of a prefix of `depth` letters, of those that end there, given the last tokens of all shorter prefixes.
+
+        `extra` letters of a token are its end mark.
+        """
+        beside = self._beside
+        for token in tokens:
+            start = depth + extra - len(token)
+            if not start:
+                return token
+            left = last[start]
+            fits = beside.get((left, token))
+            if fits or fits is None and self.beside(left, token):
+                return token
+        raise ValueError(f"the vocabulary has no token at letter {depth} of a word")
+
+    def _edge(self, token: str, right: bool) -> list[tuple[str, int, int, int]]:
+        """How the symbol at one end of a usable token grows from a letter to the token: (symbol, when it is there, when it is taken up, by which rank).
+
+        A merge comes about once its rank is the least of all that wait, so a
+        symbol is there after the highest rank of the merges within it.
+        """
+        symbols = self._symbols(token)
+        grown = [(symbols[-1 if right else 0], -1)]
+        highest = [-1] * len(symbols)
+        taken = []
+        while len(symbols) > 1:
+            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            when = max(rank, highest[at], highest[at + 1])
+            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+            highest = [*highest[:at], when, *highest[at + 2 :]]
+            if at == (len(symbols) - 1 if right else 0):
+                taken.append((when, rank))
+                grown.append((symbols[-1 if right else 0], when))
+        taken.append((1 << 60, 1 << 60))
+        return [(symbol, since, *until) for (symbol, since), until in zip(grown, taken, strict=True)]
+
     def beside(self, left: str, right: str) -> bool:
-        """Whether the letters of two tokens encode to these two."""
+        """Whether the letters of two tokens encode to these two.
+
+        They do if no merge across the border comes before both symbols at it
+        have become the tokens; of equal ranks the leftmost comes first.
+        """
         key = (left, right)
         known = self._beside.get(key)
         if known is None:
             if len(self._beside) > 1_000_000:
                 self._beside.clear()
-            known = self._beside[key] = self._merged([*self._symbols(left), *self._symbols(right)]) == [left, right]
+            known = self._beside[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: str, right: str) -> bool:
+        if self.end and left.endswith(self.end):
+            return self._merged([*self._symbols(left), *self._symbols(right)]) == [left, right]
+        edges = []
+        for token, kept, is_left in ((left, self._rights, True), (right, self._lefts, False)):
+            if token not in kept:
+                kept[token] = self._edge(token, is_left)
+            edges.append(kept[token])
+        ours, theirs = edges
+        i = j = 0
+        while True:
+            one, since, until, by = ours[i]
+            other, also, to, through = theirs[j]
+            rank = self.ranks.get((one, other))
+            if rank is not None:
+                across = (max(since, also, rank), rank)
+                if across < (until, by) and across <= (to, through):
+                    return False
+            if i + 1 == len(ours) and j + 1 == len(theirs):
+                return True
+            if (until, by) <= (to, through):
+                i += 1
+            else:
+                j += 1
+
 
 class WordTrie:
     """Distinct words as nested dictionaries; a node's end holds the word itself."""
@@ -129,21 +203,21 @@ class WordTrie:
     def encodings(self, merges: Merges) -> Iterator[tuple[str, list[str]]]:
         """(word, tokens), depth first.  last[d] is the last token of the prefix of d letters."""
         last: list[str] = [""]
-        longest = merges.longest
-        stack: list[tuple[int, str, dict]] = [(1, a, n) for a, n in self.root.items() if a]
+        extra = len(merges.end)
+        stack: list[tuple[int, str, dict]] = [(1, merges.follow("", a), n) for a, n in self.root.items() if a]
         if self.END in self.root:
             yield "", []
         while stack:
-            depth, tail, node = stack.pop()
+            depth, held, node = stack.pop()
             del last[depth:]
+            within, ends = merges.ending(held)
             if self.END in node:
-                end = merges.last_token(tail, depth, last, merges.end)
-                yield node[self.END], self._tokens(last, end, depth - len(end) + len(merges.end))
-            kept = tail if depth < longest else tail[1:]
-            children = [(depth + 1, kept + a, n) for a, n in node.items() if a]
-            if children:
-                last.append(merges.state(tail, depth, last))
-                stack += children
+                end = merges.last_token(ends, depth, last, extra)
+                yield node[self.END], self._tokens(last, end, depth - len(end) + extra)
+                if len(node) == 1:
+                    continue
+            last.append(merges.last_token(within, depth, last, 0))
+            stack += [(depth + 1, merges.follow(held, a), n) for a, n in node.items() if a]
 
     @staticmethod
     def _tokens(last: list[str], end: str, depth: int) -> list[str]:
@@ -196,33 +270,39 @@ class WordEncoder:
         found = self._words(pieces)
         used = {w for ws in found.values() for w in ws if isinstance(w, str)}
         new = self.words.unknown(used.difference(self.words.young))
-        ids, words = self.merges.ids, self.words.young
+        words = self.words.young
+        packed, spoken = self.merges.packed.__getitem__, self.merges.spoken.__getitem__
         for word, tokens in WordTrie(new).encodings(self.merges):
-            words[word] = (array("i", [ids[t] for t in tokens]).tobytes(), "".join([f" {t}" for t in tokens]))
-        special = {i: (array("i", [i]).tobytes(), f" {t}") for t, i in self.added.items()}
+            words[word] = (b"".join(map(packed, tokens)), b"".join(map(spoken, tokens)))
+        special = {i: (array("i", [i]).tobytes(), f" {t}".encode()) for t, i in self.added.items()}
+        young = self.pieces.young
         for piece, ws in found.items():
+            if len(ws) == 1 and isinstance(ws[0], str):
+                young[piece] = words[ws[0]]
+                continue
             parts = [words[w] if isinstance(w, str) else special[w] for w in ws]
-            self.pieces.young[piece] = (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
+            young[piece] = (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
         for word in [w for w in new if len(w) > LONG]:
             del words[word]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """For each text its ids as little-endian 32-bit numbers, and what they decode to."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """For each text its ids as little-endian 32-bit numbers, and in UTF-8 what they decode to."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return [], []
         gc.disable()  # nothing here is a cycle
         try:
             self.pieces.age()
             self.words.age()
-            cut = [(t or "").split(" ") for t in texts]
+            found = cut(pc.fill_null(texts, ""))
             known = self.pieces.young
-            new = self.pieces.unknown(set().union(*cut).difference(known))
+            new = self.pieces.unknown(set(found.pieces).difference(known))
             self._learn(new)
-            out = []
-            for pieces in cut:
-                found = list(map(known.__getitem__, pieces))
-                out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
+            ids, decoded = zip(*map(known.__getitem__, found.pieces), strict=True)
             for piece in [p for p in new if len(p) > LONG]:
                 del known[piece]
-            return out
+            # What is decoded begins with the space before the first token.
+            return strung(ids, found, found.entries), [d[1:] for d in strung(decoded, found, found.entries)]
         finally:
             gc.enable()
 
@@ -246,14 +326,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                found = _encoder(tokenizer).encode(piece.column("text").to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(f[0]) // 4 for f in found])]).astype(np.int32)
-                flat = pa.Array.from_buffers(
-                    pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join([f[0] for f in found]))]
-                )
+            for piece in slices(batch, "text", LONG_SLICE):
+                found, spoken = _encoder(tokenizer).encode(piece.column("text"))
+                offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                decoded = pa.array([f[1] for f in found], pa.string())
+                decoded = pa.array(spoken, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, ENCODED)

@@ -48,10 +48,10 @@ def test_words_give_the_ids_of_the_library():
     encoder, library = word_bpe.WordEncoder(WORDS, most=50), Tokenizer.from_file(WORDS)
     for seed in range(5):
         texts = fuzzed(seed)
-        for text, (raw, decoded) in zip(texts, encoder.encode(texts), strict=True):
+        for text, raw, decoded in zip(texts, *encoder.encode(texts), strict=True):
             ids = library.encode(text or "", add_special_tokens=False).ids
             assert np.frombuffer(raw, dtype="<i4").tolist() == ids
-            assert decoded == library.decode(ids, skip_special_tokens=False)
+            assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
 
 
 def test_long_words_are_not_remembered():
@@ -60,12 +60,26 @@ def test_long_words_are_not_remembered():
     letters = "".join(rng.choice("acgt") for _ in range(200_000))
     texts = ["a" * 200_000, "short words " + letters, letters[:500] + "!" + letters[500:900]]
     for _ in range(2):
-        for text, (raw, decoded) in zip(texts, encoder.encode(texts), strict=True):
+        for text, raw, decoded in zip(texts, *encoder.encode(texts), strict=True):
             ids = library.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(raw, dtype="<i4").tolist() == ids
-            assert decoded == library.decode(ids, skip_special_tokens=False)
-        for known in (encoder.merges._states, encoder.pieces.young, encoder.words.young):
-            assert max(map(len, known)) <= max(word_bpe.LONG, encoder.merges.longest)
+            assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
+        for known in (encoder.merges._links, encoder.merges._ending, encoder.pieces.young, encoder.words.young):
+            assert max(map(len, known)) <= max(word_bpe.LONG, encoder.merges.longest + 1)
+
+
+def test_tokens_side_by_side():
+    """What the edges of two tokens tell is what merging their letters gives."""
+    merges, rng = word_bpe.WordEncoder(WORDS).merges, random.Random(12)
+    usable = sorted(merges.usable)
+    within = [t for t in usable if not t.endswith(merges.end)]
+    short = [t for t in within if len(t) < 4]
+    pairs = [(rng.choice(within), rng.choice(usable)) for _ in range(30_000)] + [(rng.choice(short), rng.choice(usable)) for _ in range(30_000)]
+    pairs += [(t[:i], t[i:]) for t in rng.sample(usable, 6_000) for i in range(1, len(t)) if t[:i] in merges.usable and t[i:] in merges.usable]
+    pairs += [(a, b) for a in ("a", "aa", "aaa", "aaaa", "ha", "haha") for b in ("a", "aa", "aaa</w>", "aaaa", "ha</w>", "haha") if a in merges.usable and b in merges.usable]
+    found = [merges.beside(*p) for p in pairs]
+    assert found == [merges._merged([*merges._symbols(a), *merges._symbols(b)]) == [a, b] for a, b in pairs]
+    assert 1000 < sum(found) < len(found) - 1000
 
 
 def test_word_digests(spark, docs):
