@@ -32,14 +32,15 @@ def sum_by(df: DataFrame, element: str, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def _observed(element: str) -> Column:
+def observed(element: str) -> Column:
     """The element in its reporting unit, once yields are normalised."""
     return (F.col("Element") == element) & (F.col("Unit") == CROP_UNITS[element])
 
 
-def _paired(df: DataFrame, *more: Column) -> DataFrame:
+def paired(df: DataFrame, *more: Column) -> DataFrame:
+    """Per key the yield, the harvested area and how many there are of each, and more aggregates of normalised rows."""
     rows = normalize_yields(df.where(F.col("Element").isin(*CROP_ELEMENTS)))
-    harvest, yielded = _observed(AREA_HARVESTED), _observed(YIELD)
+    harvest, yielded = observed(AREA_HARVESTED), observed(YIELD)
     return rows.groupBy(*KEYS).agg(
         F.max(F.when(yielded, F.col("Value"))).alias("yield_kg_ha"),
         F.max(F.when(harvest, F.col("Value"))).alias("harvested_ha"),
@@ -49,7 +50,8 @@ def _paired(df: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _single(value: str, n: str) -> Column:
+def single(value: str, n: str) -> Column:
+    """A value of which a key may have one only."""
     error = F.raise_error(F.lit(f"more than one {value} for one Area, Item and Year"))
     return F.when(F.col(n) > 1, error.cast("double")).otherwise(F.col(value)).alias(value)
 
@@ -58,17 +60,17 @@ def key_cells(df: DataFrame) -> DataFrame:
     """Per key the yield and the harvested area, as in `paired_yield_area`, and the sums in reporting units."""
 
     def summed(element: str) -> Column:
-        return exact_sum(F.when(_observed(element), F.col("Value")))
+        return exact_sum(F.when(observed(element), F.col("Value")))
 
     sums = (summed(PRODUCTION).alias("production_t"), summed(AREA_HARVESTED).alias("area_ha"))
-    return _paired(df, *sums).select(
-        *KEYS, _single("yield_kg_ha", "n_yield"), _single("harvested_ha", "n_area"), "production_t", "area_ha"
+    return paired(df, *sums).select(
+        *KEYS, single("yield_kg_ha", "n_yield"), single("harvested_ha", "n_area"), "production_t", "area_ha"
     )
 
 
 def duplicate_observations(df: DataFrame) -> DataFrame:
     """Keys with more than one yield or harvested area after unit normalisation."""
-    return _paired(df).where((F.col("n_yield") > 1) | (F.col("n_area") > 1)).select(
+    return paired(df).where((F.col("n_yield") > 1) | (F.col("n_area") > 1)).select(
         *KEYS, "n_yield", "n_area"
     )
 
@@ -79,7 +81,7 @@ def paired_yield_area(df: DataFrame) -> DataFrame:
     One aggregation instead of two joins, so null keys pair up and a hot key
     collapses before the shuffle.  A key with two yields or areas is an error.
     """
-    return _paired(df).select(*KEYS, _single("yield_kg_ha", "n_yield"), _single("harvested_ha", "n_area"))
+    return paired(df).select(*KEYS, single("yield_kg_ha", "n_yield"), single("harvested_ha", "n_area"))
 
 
 def yield_coverage(df: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -88,11 +90,15 @@ def yield_coverage(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def _yield_sums(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return _sums_of_pairs(paired_yield_area(df), groups)
+
+
+def _sums_of_pairs(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     unknown = [g for g in groups if g not in KEYS]
     if unknown:
         raise ValueError(f"yields can be grouped by {KEYS}, not by {unknown}")
     y, a = F.col("yield_kg_ha"), F.col("harvested_ha")
-    return paired_yield_area(df).groupBy(*groups).agg(
+    return pairs.groupBy(*groups).agg(
         F.count("*").alias("n_rows"),
         F.count(y).alias("n_yield"),
         F.count(a).alias("n_area"),
@@ -117,7 +123,12 @@ def weighted_yield(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     only when every key has a yield and a positive area; partial coverage
     gives null, and nothing is rebuilt from production.
     """
-    return _yield_sums(df, groups).select(
+    return yields_of(paired_yield_area(df), groups)
+
+
+def yields_of(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The same from yields and harvested areas side by side."""
+    return _sums_of_pairs(pairs, groups).select(
         *groups, F.lit(CROP_UNITS[YIELD]).alias("Unit"), yield_of(F.col).alias("Value")
     )
 

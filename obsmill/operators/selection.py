@@ -139,9 +139,11 @@ def years_on_record(df: DataFrame, selection: Selection) -> DataFrame:
     )
 
 
-def dimensions(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def dimensions(df: DataFrame, by: Sequence[str] = (), first: str = "Year", last: str = "Year") -> DataFrame:
     """Members of each dimension and the range of years, one row per member.
 
+    `first` and `last` hold the range of a row's years, where it stands for several.
+
     The dimension "all" has the overall range, its member is null.  Long form
     on purpose: one scan, no member list is gathered into one cell.
     """
@@ -159,7 +161,7 @@ def dimensions(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         )
         .where(F.col("_m.member").isNotNull() | (F.col("_m.dimension") == "all"))
         .groupBy(*by, "_m")
-        .agg(F.min("Year").alias("min_year"), F.max("Year").alias("max_year"))
+        .agg(F.min(first).alias("min_year"), F.max(last).alias("max_year"))
     )
     return members.select(*by, "_m.dimension", "_m.member", "min_year", "max_year")
 

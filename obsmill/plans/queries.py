@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsmill.functions import text
 from obsmill.functions.values import exact_sum
-from obsmill.operators import change, geography, measures, ranking, selection, trade
+from obsmill.operators import change, geography, measures, partials, ranking, selection, trade
 from obsmill.operators.selection import Selection
 from obsmill.plans import reports
 from obsmill.schema import (
@@ -24,8 +24,9 @@ from obsmill.schema import (
     typed,
 )
 from obsmill.session import sound_unions, union_all
-from obsmill.sources import bulk, catalog, domains, export, release, star
+from obsmill.sources import bulk, catalog, domains, export, grams, release, star
 from obsmill.sources.workspace import new_folder
+from obsmill.tables import PreparedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +245,62 @@ def release_parity(spark, sf):
     return release.parity(prepared, release.release_rows(rows))
 
 
+def _prepared(spark: SparkSession, sf: str) -> PreparedTables:
+    """The star tables as a published release."""
+    rows = star.observations(spark, sf)
+    store = release.ReleaseStore(spark, new_folder(spark, "store"))
+    store.publish(rows, _metadata(spark, sf, rows))
+    return PreparedTables(store)
+
+
+def _edited(rows: DataFrame) -> DataFrame:
+    """The exports of one crop are one higher in one area, another crop has no prices."""
+    changed = (F.col("Domain") == "TCL") & (F.col("Item") == "SMALL") & (F.col("Area") == "NATION_3") & (F.col("Element") == EXPORT_VALUE)
+    kept = rows.where(~((F.col("Domain") == "PP") & (F.col("Item") == "ECONOMY")))
+    return kept.withColumn("Value", F.when(changed, F.col("Value") + 1).otherwise(F.col("Value")))
+
+
+def _updated(spark: SparkSession, sf: str) -> tuple[release.ReleaseStore, str, str, DataFrame]:
+    """A release of the star tables and the one that follows it after an edit."""
+    rows = star.observations(spark, sf)
+    store, metadata = release.ReleaseStore(spark, new_folder(spark, "store")), _metadata(spark, sf, rows)
+    first = store.publish(rows, metadata)
+    return store, first, store.update(_edited(rows), metadata), rows
+
+
+@query
+def release_update(spark, sf):
+    """A release that rewrites only the files of changed crops has the rows of one that was written as a whole."""
+    store, _, second, rows = _updated(spark, sf)
+    return release.parity(store.open(second).select(*rows.columns), release.release_rows(_edited(rows)))
+
+
+@query
+def differing_items(spark, sf):
+    """Where two releases differ, by their trees of fingerprints."""
+    store, first, second, _ = _updated(spark, sf)
+    return store.differing_items(first, second)
+
+
+@query
+def stored_kpi_summary(spark, sf):
+    """Key figures from the states a release stores."""
+    return _prepared(spark, sf).key_figures(_countries(spark, sf), [KPI_AREA], [KPI_ITEM], PERIOD)
+
+
+@query
+def stored_yields(spark, sf):
+    """Weighted yields of all primary crops from stored states."""
+    states = _prepared(spark, sf).states().where(F.col("Area") != WORLD)
+    return partials.merged(states, YIELD, ["Area", "Year"])
+
+
+@query
+def stored_production(spark, sf):
+    """Production of primary crops, World rows among them, from stored states."""
+    return _prepared(spark, sf).figures(PRODUCTION, ["Item", "Year"])
+
+
 @query
 def release_differences(spark, sf):
     rows = star.observations(spark, sf)
@@ -320,6 +377,14 @@ def literal_search(spark, sf):
     return selection.literal_search(star.table(spark, sf, "documents"), SEARCH)
 
 
+@query
+def indexed_search(spark, sf):
+    """The same rows by an index of three-letter strings."""
+    documents, folder = star.table(spark, sf, "documents"), new_folder(spark, "grams")
+    grams.write_grams(documents, "doc_id", folder)
+    return grams.indexed_search(documents, spark.read.parquet(folder), "doc_id", SEARCH)
+
+
 @query
 def literal_search_observations(spark, sf):
     return selection.literal_search(star.observations(spark, sf), "33.3")

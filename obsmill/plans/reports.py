@@ -20,13 +20,14 @@ from obsmill.operators.measures import (
     weighted_yield,
     yield_of,
 )
+from obsmill.operators.partials import merged, price_states, prices_of
 from obsmill.operators.ranking import (
     match_keys,
     shares_and_ranks,
     top_area,
     top_rows,
 )
-from obsmill.operators.selection import Selection, select_observations
+from obsmill.operators.selection import Selection, apply_selection, select_observations
 from obsmill.operators.trade import trade_by_item
 from obsmill.schema import (
     AGGREGATE_FLAG,
@@ -130,13 +131,20 @@ def world_ranking(
     whatever the facts, so a plain window ranks them.
     """
     population = in_scope(crops.where(F.col("Year").between(*years)), countries)
-    ranked = shares_and_ranks(
-        aggregate(population, indicator, ["Area", "Year"]).where(
-            F.col("Unit") == CROP_UNITS[indicator]
-        ),
-        ["Year", "Unit"],
-        small=True,
-    )
+    values = aggregate(population, indicator, ["Area", "Year"])
+    return _ranked(values.where(F.col("Unit") == CROP_UNITS[indicator]), scope)
+
+
+def world_ranking_of_states(
+    states: DataFrame, countries: DataFrame, indicator: str, years: tuple[int, int], scope: Sequence[str]
+) -> DataFrame:
+    """The same from stored states, without a look at the observations."""
+    population = in_scope(states.where(F.col("Year").between(*years)), countries)
+    return _ranked(merged(population, indicator, ["Area", "Year"]), scope)
+
+
+def _ranked(values: DataFrame, scope: Sequence[str]) -> DataFrame:
+    ranked = shares_and_ranks(values, ["Year", "Unit"], small=True)
     return ranked.withColumn("in_selection", F.coalesce(F.col("Area").isin(list(scope)), F.lit(False)))
 
 
@@ -228,10 +236,10 @@ def kpi_price(prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return prices.groupBy(*by).agg(F.when(F.count(value) == 1, F.max(value)).alias("price"))
 
 
-def _areas_by_year(crops: DataFrame) -> DataFrame:
+def _areas_by_year(cells: DataFrame) -> DataFrame:
     """Per area and year what key figures need: sums, and the parts of a weighted yield."""
     y, a = F.col("yield_kg_ha"), F.col("harvested_ha")
-    return key_cells(crops).groupBy("Area", "Year").agg(
+    return cells.groupBy("Area", "Year").agg(
         exact_sum(F.col("production_t")).alias("made"),
         exact_sum(F.col("area_ha")).alias("cut"),
         F.count("*").alias("n_rows"),
@@ -259,10 +267,25 @@ def kpi_summary(
     Crops are read once: sums, yields and the rank among all countries follow
     from one row per area and year.
     """
+    paid = select_observations(prices, "PP", Selection(areas, items, [PRICE_ELEMENT], (years[1], years[1])))
+    recent = crops.where(F.col("Item").isin(list(items)) & F.col("Year").isin(years[1] - 1, years[1]))
+    return kpi_of_cells(key_cells(recent), price_states(paid), countries, areas, items, years, indicator)
+
+
+def kpi_of_cells(
+    cells: DataFrame,
+    prices: DataFrame,
+    countries: DataFrame,
+    areas: Sequence[str],
+    items: Sequence[str],
+    years: tuple[int, int],
+    indicator: str = PRODUCTION,
+) -> DataFrame:
+    """The same from one row per area, item and year, as `key_cells` or stored states give them."""
     last = years[1]
     before = last - 1 if last - 1 >= years[0] else None
     one_area = len(areas) == 1
-    recent = crops.where(
+    recent = cells.where(
         F.col("Item").isin(list(items)) & F.col("Year").isin([y for y in (before, last) if y is not None])
     )
     if not one_area:  # nothing is ranked
@@ -321,7 +344,7 @@ def kpi_summary(
     price = "producer_price", "USD/t"
     if not has_price:
         return listed_rows(sums, *figures, figure(price[0], number, price[1]))
-    paid = kpi_price(select_observations(prices, "PP", Selection(areas, items, [PRICE_ELEMENT], (last, last))))
+    paid = prices_of(apply_selection(prices, Selection(areas, items, None, (last, last))))
     return union_all(listed_rows(sums, *figures), listed_rows(paid, figure(price[0], col("price"), price[1])))
 
 

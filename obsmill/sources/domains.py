@@ -7,7 +7,7 @@ import uuid
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.schema import DOMAINS, require_columns
@@ -60,8 +60,10 @@ class DomainStore:
         version = uuid.uuid4().hex
         path = self._path(code, version)
         try:
-            load_bulk(self.spark, folder, multi_line).write.option("compression", "zstd").parquet(path)
-            rows = self.spark.read.parquet(path).count()
+            seen = Observation("loaded")
+            typed_rows = load_bulk(self.spark, folder, multi_line).observe(seen, F.count("*").alias("rows"))
+            typed_rows.write.option("compression", "zstd").parquet(path)
+            rows = seen.get["rows"]  # counted by the writing tasks
             if rows == 0:
                 raise ValueError(f"the bulk file of {code} is empty")
         except Exception:

@@ -1,19 +1,26 @@
-"""Prepared releases: one partitioned write, a manifest, verification, publishing.
+"""Prepared releases: one partitioned write, a tree of fingerprints, verification, publishing.
 
 A release lives in its own folder and is entered in the publish log only after
 it was written whole and verified.  Readers follow the log, so they never see a
 half-written release and a failed build leaves the old one in place.
+
+Fingerprints add up, so those of a file's items (the leaves) give those of an
+item, and these those of a domain.  A release that follows another one writes
+only the files that hold changed items, and lists the others, which stay where
+they are, so the folders of the releases it builds on must be kept.
 """
 
 from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from obsmill.functions.fingerprint import HALF, HALVES, fingerprint, summed, with_halves
+from obsmill.operators.partials import crop_states, price_states
 from obsmill.operators.selection import availability, dimensions, is_primary, primary_items
 from obsmill.schema import (
     ANNUAL,
@@ -60,21 +67,53 @@ def _row_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*quoted, *[c.isNull() for c in quoted])
 
 
+def _manifest_of(parts: DataFrame) -> DataFrame:
+    """Rows and fingerprint per (Domain, Item), from parts that have counts and halves."""
+    grouped = parts.groupBy("Domain", "Item").agg(F.sum("n_rows").alias("n_rows"), *summed())
+    return grouped.select("Domain", "Item", "n_rows", fingerprint().alias("fingerprint"))
+
+
 def manifest(rows: DataFrame) -> DataFrame:
     """Rows and content fingerprint per (Domain, Item).
 
-    The fingerprint is a sum of row hashes: it does not depend on order or
-    files, and unlike an exclusive or it notices duplicated rows.
+    The fingerprint holds sums of row hashes: it does not depend on order or
+    files, and unlike an exclusive or it notices duplicated rows.  Other
+    engines can work it out from the rows' text.
     """
     sound_unions(rows.sparkSession)
-    columns = sorted(rows.columns)
-    return (
-        rows.withColumn("_h", _row_hash(columns).cast("decimal(20,0)"))
-        .groupBy("Domain", "Item")
-        .agg(F.count("*").alias("n_rows"), F.sum("_h").cast("string").alias("fingerprint"))
+    grouped = with_halves(rows).groupBy("Domain", "Item").agg(F.count("*").alias("n_rows"), *summed(*HALVES))
+    return grouped.select("Domain", "Item", "n_rows", fingerprint().alias("fingerprint"))
+
+
+def source_cells(observations: DataFrame) -> DataFrame:
+    """What one read of a source tells: per domain, area and item the rows a release keeps, their fingerprint, and whether
+    the item is primary there."""
+    kept, halved = domain_condition(), with_halves(observations)
+    halves = summed(*(F.when(kept, F.col(h)) for h in HALVES))
+    primary = F.bool_or((F.col("Domain") == "QCL") & is_primary())
+    return halved.groupBy("Domain", "Area", M49_COLUMN, "Item").agg(
+        primary.alias("primary"), F.count(F.when(kept, 1)).alias("n_rows"), *halves
     )
 
 
+PLACE = r"^.*/releases/([^/]+)/observations/(.+)$"
+
+
+def leaves(rows: DataFrame) -> DataFrame:
+    """Rows and halves per domain, item and file of a release's observations; `owner` is the release whose folder has the file."""
+    path = F.col("_metadata.file_path")
+    place = {"_owner": F.regexp_extract(path, PLACE, 1), "_name": F.regexp_extract(path, PLACE, 2)}
+    # Where a row lies is no part of its text.
+    placed = with_halves(rows).withColumns(place)
+    grouped = placed.groupBy("Domain", "Item", F.col("_owner").alias("owner"), F.col("_name").alias("name"))
+    return grouped.agg(F.count("*").alias("n_rows"), *summed(*HALVES))
+
+
+def extents(rows: DataFrame) -> DataFrame:
+    """The range of years per domain, item, area and element, from which dimensions follow."""
+    return rows.groupBy("Domain", "Item", "Area", "Element").agg(F.min("Year").alias("min_year"), F.max("Year").alias("max_year"))
+
+
 def manifest_mismatches(stored: DataFrame, actual: DataFrame) -> DataFrame:
     """Entries that are missing, extra, or differ in rows or content."""
     s, a = stored.alias("s"), actual.alias("a")
@@ -130,20 +169,43 @@ def parity(left: DataFrame, right: DataFrame, by: str = "Domain") -> DataFrame:
     )
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    """One job for all domains and crops, clustered so that files prune by Item.
+#: What a reader of one item or area may skip: row groups by Bloom filters, pages by their index.
+WRITTEN_WITH = {
+    "compression": "zstd",
+    "parquet.bloom.filter.enabled#Item": "true",
+    "parquet.bloom.filter.enabled#Area": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.max.bytes": str(128 << 10),
+    "parquet.page.row.count.limit": "20000",
+}
+Totals = dict[str, tuple]
+
+
+def write_rows(rows: DataFrame, path: str, **options: str) -> Totals:
+    """One job for all domains and crops, clustered so that files prune by Item; counts and fingerprints of what was written, by domain.
 
     The range key goes down to the whole row, so a crop with a third of all
-    rows is spread over many tasks instead of landing in one.
+    rows is spread over many tasks instead of landing in one.  The figures are
+    gathered by the writing tasks themselves.
     """
     order = ["Domain", "Item", "Area", "Year", "Element"]
-    (
-        rows.repartitionByRange(*order, _row_hash(rows.columns))
-        .sortWithinPartitions(*order)
-        .write.option("compression", "zstd")
-        .partitionBy("Domain")
-        .parquet(path)
-    )
+    ordered = rows.repartitionByRange(*order, _row_hash(rows.columns)).sortWithinPartitions(*order)
+    seen = Observation("written")
+    figures = []
+    for code in DOMAINS:
+        own = F.col("Domain") == code
+        figures += [F.count(F.when(own, 1)).alias(f"{code}_rows")]
+        figures += [F.sum(F.when(own, F.col(h))).cast(HALF).alias(f"{code}{h}") for h in HALVES]
+    observed = with_halves(ordered).observe(seen, *figures).drop(*HALVES)
+    observed.write.options(**WRITTEN_WITH | options).partitionBy("Domain").parquet(path)
+    found = seen.get
+    return {c: tuple(found[f"{c}{x}"] for x in ("_rows", *HALVES)) for c in DOMAINS if found[f"{c}_rows"]}
+
+
+def totals(parts: DataFrame) -> Totals:
+    """The same figures from parts that have counts and halves: a row for each domain."""
+    rows = parts.where("n_rows > 0").groupBy("Domain").agg(F.sum("n_rows").alias("n_rows"), *summed()).collect()
+    return {r.Domain: (r.n_rows, r.first, r.second) for r in rows}
 
 
 class ReleaseStore:
@@ -170,13 +232,17 @@ class ReleaseStore:
     def stage(self, observations: DataFrame, metadata: DataFrame) -> str:
         """Writes a release that is not visible to readers yet and checks it against its source.
 
-        The source is read for the dimensions, for the rows, and for the
-        manifest that the written rows must match.  What a failed build has
-        written is removed.
+        The source is read twice: once for what a release keeps of it, with
+        fingerprints, and once for the rows.  The writing job tells what it
+        was given, and a read of the files what they hold.  What a failed build
+        has written is removed.
         """
+        return self._staged(lambda release: self._build(release, observations, metadata))
+
+    def _staged(self, build: Callable[[str], None]) -> str:
         release = self._next_name()
         try:
-            self._build(release, observations, metadata)
+            build(release)
         except Exception:
             remove_folder(self.spark, f"{self.root}/releases/{release}")
             raise
@@ -188,43 +254,133 @@ class ReleaseStore:
         place = 0 if newest is None else newest.sequence + 1
         return f"r{place:06d}-{time.time_ns():x}"
 
-    def _build(self, release: str, observations: DataFrame, metadata: DataFrame) -> None:
-        members = (
-            require_columns(observations)
-            .where(F.col("Domain") == "QCL")
-            .groupBy("Area", M49_COLUMN, "Item")
-            .agg(F.bool_or(is_primary()).alias("primary"))
-        )
-        self._write(release, "members", members)
-        members = self._table(release, "members")
-        self._write(release, "areas", members.select("Area", M49_COLUMN).distinct())
-        self._write(release, "items", members.where("primary").select("Item").distinct())
+    def _described(self, release: str, observations: DataFrame) -> DataFrame:
+        """Stores what one read of the source tells; gives its parts that belong in a release."""
+        self._write(release, "cells", source_cells(require_columns(observations)))
+        cells = self._table(release, "cells")
+        self._write(release, "areas", cells.where("Domain = 'QCL'").select("Area", M49_COLUMN).distinct())
+        self._write(release, "items", cells.where("primary").select("Item").distinct())
         items = self._table(release, "items")
         if items.isEmpty():
             raise ValueError("a release without rows is not published")
+        kept = cells.where("n_rows > 0").join(items, "Item", "left_semi")
+        self._write(release, "manifest", _manifest_of(kept))
+        return kept
 
-        source = release_rows(observations, items)
-        write_rows(source, self.path(release, "observations"))
+    def _build(self, release: str, observations: DataFrame, metadata: DataFrame) -> None:
+        kept = self._described(release, observations)
+        items = self._table(release, "items")
+        written = write_rows(release_rows(observations, items), self.path(release, "observations"))
+        if written != totals(kept):
+            raise ValueError(f"{release} was not given the rows of its source")
         rows = self._table(release, "observations")
-        self._write(release, "availability", availability(rows.where("Domain = 'QCL'"), items))
-        self._write(release, "dimensions", dimensions(rows, ["Domain"]))
+        self._write(release, "leaves", leaves(rows), "Domain")
+        crops = rows.where("Domain = 'QCL'")
+        self._write(release, "availability", availability(crops, items))
+        self._write(release, "extents", extents(rows))
+        self._write(release, "crop_states", crop_states(crops))
+        self._write(release, "price_states", price_states(rows.where("Domain = 'PP'")))
+        self._finish(release, metadata)
+
+    def _finish(self, release: str, metadata: DataFrame) -> None:
+        """What follows from the tables that each item has its own rows in; and the check of the files."""
+        self._write(release, "dimensions", dimensions(self._table(release, "extents"), ["Domain"], "min_year", "max_year"))
         self._write(release, "domains", metadata)
-        self._write(release, "manifest", manifest(source))
-        self._write(release, "files", self.spark.createDataFrame([(n,) for n in self._file_names(release)], "name string"))
-        if not self.mismatches(release).isEmpty():
+        parts = self._table(release, "leaves")
+        self._write(release, "files", parts.select("owner", "name").distinct())
+        self._write(release, "totals", parts.groupBy("Domain").agg(F.sum("n_rows").alias("n_rows"), *summed()))
+        if not manifest_mismatches(self._table(release, "manifest"), _manifest_of(parts)).isEmpty():
             raise ValueError(f"{release} does not hold the rows of its source")
 
-    def _file_names(self, release: str) -> list[str]:
-        """The files of the observations, below their folder; read from the listing alone."""
-        return sorted(f.rpartition("/observations/")[2] for f in self._table(release, "observations").inputFiles())
+    def _rebuild(self, release: str, held: str, observations: DataFrame, metadata: DataFrame) -> None:
+        kept = self._described(release, observations)
+        items = self._table(release, "items")
+        problems = manifest_mismatches(self._table(held, "manifest"), self._table(release, "manifest"))
+        self._write(release, "changed", problems)
+        changed = self._table(release, "changed").select("Domain", "Item")
+        before = self._table(held, "leaves")
+        touched = before.join(changed, ["Domain", "Item"], "left_semi").select("owner", "name").distinct()
+        # Other items of a file that goes are written again, from that file.
+        stale = [(r.owner, r.name) for r in touched.collect()]  # some of the files that a release lists on opening
+        columns = observations.columns
+        fresh = release_rows(observations, items).join(changed, ["Domain", "Item"], "left_semi").select(*columns)
+        moved = self._files(stale).join(changed, ["Domain", "Item"], "left_anti").select(*columns) if stale else None
+        source = fresh if moved is None else union_all(fresh, moved)
+        stays = before.join(touched, ["owner", "name"], "left_anti")
+        if not source.isEmpty():
+            written = write_rows(source, self.path(release, "observations"))
+            if any(totals(kept)[c][0] - totals(stays).get(c, (0,))[0] != n for c, (n, *_) in written.items()):
+                raise ValueError(f"{release} was not given the rows of its source")
+            stays = union_all(stays, leaves(self._table(release, "observations")).select(*stays.columns))
+        self._write(release, "leaves", stays, "Domain")
+        self._write(release, "files", self._table(release, "leaves").select("owner", "name").distinct())
+
+        rows = self._observations(release).join(changed, ["Domain", "Item"], "left_semi")
+        crops = rows.where("Domain = 'QCL'")
+        for table, own, domain in (
+            ("availability", availability(crops, items), "QCL"),
+            ("crop_states", crop_states(crops), "QCL"),
+            ("price_states", price_states(rows.where("Domain = 'PP'")), "PP"),
+        ):
+            gone = changed.where(F.col("Domain") == domain).select("Item")
+            carried = self._table(held, table).join(gone, "Item", "left_anti").select(*own.columns)
+            self._write(release, table, union_all(carried, own))
+        own = extents(rows)
+        carried = self._table(held, "extents").join(changed, ["Domain", "Item"], "left_anti").select(*own.columns)
+        self._write(release, "extents", union_all(carried, own))
+        remove_folder(self.spark, self.path(release, "files"))
+        self._finish(release, metadata)
+
+    def _file_names(self, release: str) -> set[tuple[str, str]]:
+        """The files in a release's own folder, by owner and name; read from the listing alone."""
+        try:
+            listed = self._table(release, "observations").inputFiles()
+        except Exception as problem:
+            if "PATH_NOT_FOUND" not in str(problem):
+                raise
+            return set()
+        return {(release, f.rpartition("/observations/")[2]) for f in listed}
+
+    def _files(self, wanted: Iterable[tuple[str, str]]) -> DataFrame:
+        """The rows of some files, each below the folder of its owner."""
+        by_owner: dict[str, list[str]] = {}
+        for owner, name in sorted(wanted):
+            by_owner.setdefault(owner, []).append(f"{self.path(owner, 'observations')}/{name}")
+        frames = [
+            self.spark.read.option("basePath", self.path(owner, "observations")).parquet(*names) for owner, names in by_owner.items()
+        ]
+        return union_all(*frames, allow_missing=True)
+
+    def _observations(self, release: str) -> DataFrame:
+        """All observations of a release; where it has only files of its own, its folder is read as a whole."""
+        listed = {(r.owner, r.name) for r in self._table(release, "files").collect()}
+        if {owner for owner, _ in listed} <= {release}:
+            return self._table(release, "observations")
+        return self._files(listed)
 
     def publish(self, observations: DataFrame, metadata: DataFrame) -> str:
-        release = self.stage(observations, metadata)
+        return self._entered(self.stage(observations, metadata))
+
+    def _entered(self, release: str) -> str:
         self._log.append(
             release=release, schema_version=SCHEMA_VERSION, published_at=time.time()
         )
         return release
 
+    def update(self, observations: DataFrame, metadata: DataFrame, most_owners: int = 8) -> str:
+        """A release like that of `publish`, which writes only the files that hold an item whose rows changed.
+
+        What changed is told by fingerprints of source and current release, per
+        domain and item.  Without a current release, with other columns, or
+        once files lie in the folders of `most_owners` releases, all is written
+        anew.
+        """
+        held = self.current()
+        owners = set() if held is None else {r.owner for r in self._table(held, "files").select("owner").distinct().collect()}
+        if held is None or len(owners) >= most_owners or set(self.open(held).columns) != set(observations.columns):
+            return self.publish(observations, metadata)
+        return self._entered(self._staged(lambda release: self._rebuild(release, held, observations, metadata)))
+
     def ensure(
         self, build: Callable[[], tuple[DataFrame, DataFrame]], catalog: DataFrame | None = None
     ) -> str:
@@ -252,8 +408,8 @@ class ReleaseStore:
     def _stale(self, release: str, catalog: DataFrame) -> bool:
         return not stale_domains(catalog, self._table(release, "domains")).where("stale").isEmpty()
 
-    def _write(self, release: str, table: str, frame: DataFrame) -> None:
-        frame.write.option("compression", "zstd").parquet(self.path(release, table))
+    def _write(self, release: str, table: str, frame: DataFrame, *by: str) -> None:
+        frame.write.option("compression", "zstd").partitionBy(*by).parquet(self.path(release, table))
 
     def _table(self, release: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(release, table))
@@ -266,23 +422,51 @@ class ReleaseStore:
 
     def table(self, table: str, release: str | None = None) -> DataFrame:
         """A table of the given or else the current release."""
-        return self._table(release or self.published(), table)
+        release = release or self.published()
+        return self._observations(release) if table == "observations" else self._table(release, table)
 
     def open(self, release: str | None = None, domain: str | None = None) -> DataFrame:
         """The observations of a release or of one domain, checked for their columns and files."""
         if domain is not None and domain not in DOMAINS:
             raise ValueError(f"unknown domain {domain}")
         release = release or self.published()
-        rows = require_columns(self.table("observations", release))
-        lost = {r.name for r in self._table(release, "files").collect()} - set(self._file_names(release))
+        listed = {(r.owner, r.name) for r in self._table(release, "files").collect()}
+        lost = listed - set().union(*(self._file_names(owner) for owner in {owner for owner, _ in listed}))
         if lost:
-            raise ValueError(f"{release} lacks {len(lost)} of its files, such as {min(lost)}")
+            raise ValueError(f"{release} lacks {len(lost)} of its files, such as {min(lost)[1]}")
+        rows = require_columns(self.table("observations", release))
         return rows if domain is None else rows.where(F.col("Domain") == domain)
 
     def mismatches(self, release: str) -> DataFrame:
         return manifest_mismatches(
-            self._table(release, "manifest"), manifest(self._table(release, "observations"))
+            self._table(release, "manifest"), manifest(self._observations(release))
+        )
+
+    def differing_items(self, left: str, right: str) -> DataFrame:
+        """Domains and items whose rows differ between two releases, as `manifest_mismatches` tells them.
+
+        Domains are compared first, a row for each; items only of those that differ.
+        """
+        ours, theirs = (totals(self._table(r, "totals")) for r in (left, right))
+        codes = sorted(c for c in ours.keys() | theirs.keys() if ours.get(c) != theirs.get(c))
+        kept = [self._table(r, "manifest").where(F.col("Domain").isin(codes)) for r in (left, right)]
+        return manifest_mismatches(*kept)
+
+    def differing_files(self, left: str, right: str) -> DataFrame:
+        """(release, Domain, Item, owner, name, n_rows): parts of files that have no equal part in the other release.
+
+        Only leaves of domains and items that differ are read.
+        """
+        items = self.differing_items(left, right).select("Domain", "Item")
+        codes = [r.Domain for r in items.select("Domain").distinct().collect()]
+        content = ["Domain", "Item", "n_rows", "first", "second"]
+        ours, theirs = (
+            self._table(r, "leaves").where(F.col("Domain").isin(codes)).join(items, ["Domain", "Item"], "left_semi") for r in (left, right)
         )
+        alone = [
+            a.join(b.select(*content), content, "left_anti").withColumn("release", F.lit(r)) for a, b, r in ((ours, theirs, left), (theirs, ours, right))
+        ]
+        return union_all(*alone).select("release", "Domain", "Item", "owner", "name", "n_rows")
 
 
 def opened(

@@ -8,13 +8,15 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.operators import selection
+from obsmill.operators import partials, selection
 from obsmill.operators.selection import Selection
+from obsmill.plans import reports
 from obsmill.schema import (
     CROP_ELEMENTS,
     DOMAINS,
     M49_COLUMN,
     PRICE_ELEMENT,
+    PRODUCTION,
     TRADE_ELEMENTS,
     require_columns,
 )
@@ -121,3 +123,23 @@ class PreparedTables(BulkTables):
         if code == "QCL":
             return selection.available_years(self._table("availability"), areas, items)
         return super().available_years(code, areas, items, elements)
+
+    def states(self) -> DataFrame:
+        """Mergeable crop figures per area, item and year, see `operators.partials`."""
+        return self._table("crop_states")
+
+    def figures(self, element: str, groups: Sequence[str], areas: Names = None, items: Names = None, years: Years = None) -> DataFrame:
+        """An element of a selection by groups, from the stored states."""
+        chosen = selection.apply_selection(self.states(), Selection(areas, items, None, years))
+        return partials.merged(chosen, element, groups)
+
+    def key_figures(
+        self, countries: DataFrame, areas: Sequence[str], items: Sequence[str], years: tuple[int, int], indicator: str = PRODUCTION
+    ) -> DataFrame:
+        """The key figures of a selection, from the stored states."""
+        cells = partials.cells(self.states())
+        return reports.kpi_of_cells(cells, self._table("price_states"), countries, areas, items, years, indicator)
+
+    def ranking(self, countries: DataFrame, indicator: str, years: tuple[int, int], scope: Sequence[str]) -> DataFrame:
+        """All countries ranked per year, from the stored states."""
+        return reports.world_ranking_of_states(self.states(), countries, indicator, years, scope)
