@@ -150,14 +150,15 @@ def _string(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, i
     """One string of small letters for all segments, where their letters begin in it, and how many stand for one.
 
     Bytes stand for themselves; of words, their rank in the shard's vocabulary is
-    written as two letters, as few letters have few queues.  They follow 0,
+    written as two letters of different kinds, so that no word begins within
+    another; few letters have few queues.  They follow 0,
     the end of the string, and 1, the end of a segment.
     """
     data, each = np.frombuffer(b"".join(segments), dtype=np.uint8 if size == 1 else np.uint64), 1
     if size > 1:
         distinct, rank = np.unique(data, return_inverse=True)
         base, each = max(2, int(np.ceil(np.sqrt(len(distinct))))), 2
-        data = np.stack([rank // base, rank % base], axis=1).ravel()
+        data = np.stack([rank // base, base + rank % base], axis=1).ravel()
     counts = np.array([each * len(s) // size for s in segments])
     begins = np.concatenate([[0], np.cumsum(counts + 1)])
     letters = np.ones(int(begins[-1]) + 1, dtype=np.uint16)
@@ -168,8 +169,40 @@ def _string(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, i
     return letters, begins, each
 
 
+def _without_single_words(segments: list[bytes], length: int, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What is left of segments between words that occur once in all of them, if it holds a window; its segment and place there.
+
+    A window with such a word occurs once.
+    """
+    raw = b"".join(segments)
+    _, rank, counts = np.unique(np.frombuffer(raw, dtype=np.uint64), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) // size for s in segments])
+    owners = np.repeat(np.arange(len(segments)), np.diff(ends, prepend=0))
+    again = np.concatenate([[False], counts[rank] > 1, [False]])
+    # A run also ends where its segment does.
+    begins = np.flatnonzero(again[1:-1] & (~again[:-2] | (np.diff(owners, prepend=-1) > 0)))
+    stops = np.flatnonzero(again[1:-1] & (~again[2:] | (np.diff(owners, append=len(segments)) > 0))) + 1
+    long = stops - begins >= length
+    begins, stops = begins[long], stops[long]
+    parts = [raw[size * a : size * b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
+    return parts, owners[begins], begins - np.concatenate([[0], ends])[owners[begins]]
+
+
 def repeated_windows(segments: list[bytes], times: np.ndarray, length: int, memory: int, size: int = 1) -> tuple[np.ndarray, ...]:
     """(segment, first, last): the runs of starts whose window occurs again in these segments, or as often as given."""
+    if size == 1:
+        return _windows(segments, times, length, memory, size)
+    many = np.flatnonzero(times > 1)
+    widths = np.array([len(segments[i]) // size - length + 1 for i in many.tolist()], dtype=np.int64)
+    parts, owners, places = _without_single_words(segments, length, size)
+    if not parts:
+        return many, np.zeros_like(widths), widths
+    part, firsts, lasts = _windows(parts, np.ones(len(parts), dtype=int), length, memory, size)
+    found = (owners[part], places[part] + firsts, places[part] + lasts)
+    return tuple(np.concatenate(x) for x in zip(found, (many, np.zeros_like(widths), widths), strict=True))
+
+
+def _windows(segments: list[bytes], times: np.ndarray, length: int, memory: int, size: int) -> tuple[np.ndarray, ...]:
     letters, places, each = _string(segments, size)
     order = suffixes(letters, length * each, memory)
     full = order.common >= length * each

@@ -360,3 +360,23 @@ def test_near_copies_by_bands(spark, bucket_rows):
 
     assert [r.class_id for r in found] == linked_by(len(texts), near)
     assert minhash.similar(docs.limit(0)).count() == 0
+
+
+def test_windows_of_words_equal_brute_force():
+    """Segments of words, some of which occur once, against all windows of them."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        common = rng.integers(0, 1 << 63, rng.integers(1, 6), dtype=np.uint64)
+        own = []
+        for _ in range(rng.integers(1, 8)):
+            words = rng.choice(common, rng.integers(3, 25))
+            words[rng.random(len(words)) < 0.15] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            own.append(words.tobytes())
+        times = rng.integers(1, 3, len(own))
+        owner, firsts, lasts = suffix_dedup.repeated_windows(own, times, 3, 1 << 20, 8)
+        found = [set() for _ in own]
+        for i, a, b in zip(owner.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+            found[i] |= set(range(a, b))
+        windows = [[s[8 * i : 8 * i + 24] for i in range(len(s) // 8 - 2)] for s in own]
+        counts = Counter(w for ws, n in zip(windows, times.tolist(), strict=True) for w in ws for _ in range(n))
+        assert found == [{i for i, w in enumerate(ws) if counts[w] > 1} for ws in windows]
