@@ -104,11 +104,7 @@ def release_work(spark: SparkSession, folder: str):
         return lambda: drain(tables.query(code, queries.AREAS[:3], queries.ITEMS[:2], years=years))
 
     def country_crop_view():
-        drain(
-            reports.kpi_summary(
-                tables.rows("QCL"), tables.rows("PP"), countries, areas, items, years
-            )
-        )
+        drain(tables.key_figures(countries, areas, items, years))
         drain(reports.history_series(tables.query("QCL", areas, items, years=years), PRODUCTION))
 
     def trade_price_tab():
