@@ -456,6 +456,25 @@ def oracle() -> dict[str, str]:
             for kind, col in (("all", "NULL"), ("area", "Area"), ("item", "Item"), ("element", "Element"))
         ), "obs"
     )
+    q["bitmap_items"], q["bitmap_years"] = q["available_items"], q["available_years"]
+    q["bitmap_trade_years"] = _sql(
+        f"""SELECT DISTINCT "Year" FROM rel WHERE Domain = 'TCL' AND Area IN {_AREAS} AND Item IN {_ITEMS}
+            AND Element = 'Import value' AND "Year" IS NOT NULL""", "rel"
+    )
+    q["bitmap_items_in_period"] = _sql(
+        """SELECT DISTINCT Item FROM tcl WHERE Area = 'NATION_3' AND Element = 'Export value'
+           AND "Year" BETWEEN 1996 AND 1999 AND Item IS NOT NULL""", "tcl"
+    )
+    q["bitmap_members"] = _sql(
+        " UNION ALL ".join(
+            f"""SELECT Domain, '{kind}' AS dimension, {col} AS member, min("Year") AS min_year, max("Year") AS max_year,
+                       count(DISTINCT "Year") AS n_years FROM obs WHERE {kept} GROUP BY 1, 3"""
+            for kind, col, kept in (
+                ("all", "NULL", "true"),
+                *((c.lower(), c, f"{c} IS NOT NULL") for c in ("Area", "Item", "Element")),
+            )
+        ), "obs"
+    )
     q["scope_areas"] = _sql(
         "SELECT * FROM countries WHERE Continent = 'EUROPE' AND Region = 'EUROPE-1'", "countries"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsmill.functions import text
 from obsmill.functions.values import exact_sum
-from obsmill.operators import change, geography, measures, partials, ranking, selection, trade
+from obsmill.operators import bitmaps, change, geography, measures, partials, ranking, selection, trade
 from obsmill.operators.selection import Selection
 from obsmill.plans import reports
 from obsmill.schema import (
@@ -355,6 +355,38 @@ def domain_dimensions(spark, sf):
     return selection.dimensions(star.observations(spark, sf), ["Domain"])
 
 
+@query
+def bitmap_items(spark, sf):
+    """The crops offered in some areas, from the item bitmaps a release stores."""
+    return _prepared(spark, sf).available_items("QCL", AREAS)
+
+
+@query
+def bitmap_years(spark, sf):
+    """The years offered for some areas and crops, from stored year bitmaps."""
+    return _prepared(spark, sf).available_years("QCL", AREAS[:2], ITEMS)
+
+
+@query
+def bitmap_trade_years(spark, sf):
+    """The same for one element of another domain."""
+    return _prepared(spark, sf).available_years("TCL", AREAS, ITEMS, [IMPORT_VALUE])
+
+
+@query
+def bitmap_items_in_period(spark, sf):
+    """Traded crops of one area in a period, the period as a mask."""
+    words = bitmaps.year_bits(star.trade(spark, sf), ["Area", "Item", "Element"])
+    return bitmaps.items_offered(words, Selection(AREAS[:1], None, [EXPORT_VALUE], PERIOD))
+
+
+@query
+def bitmap_members(spark, sf):
+    """Members of each dimension with their years and how many, from bitmaps of all observations."""
+    words = bitmaps.year_bits(star.observations(spark, sf), ["Domain", "Area", "Item", "Element"])
+    return bitmaps.member_years(words, ["Domain"])
+
+
 @query
 def scope_areas(spark, sf):
     return geography.scope_areas(_countries_on_record(spark, sf), "EUROPE", "EUROPE-1")

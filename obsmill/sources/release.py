@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from obsmill.functions.fingerprint import HALF, HALVES, fingerprint, summed, with_halves
+from obsmill.operators.bitmaps import item_bits, numbered, with_range, year_bits
 from obsmill.operators.partials import crop_states, price_states
 from obsmill.operators.selection import availability, dimensions, is_primary, primary_items
 from obsmill.schema import (
@@ -39,6 +40,8 @@ from obsmill.sources.catalog import stale_domains
 from obsmill.sources.log import PublishLog
 from obsmill.sources.workspace import remove_folder
 
+#: What an option stands for: its years are the words of its bitmap.
+OPTION = ("Domain", "Item", "Area", "Element")
 LOG_SCHEMA = "sequence long, release string, schema_version int, published_at double"
 
 
@@ -109,11 +112,6 @@ def leaves(rows: DataFrame) -> DataFrame:
     return grouped.agg(F.count("*").alias("n_rows"), *summed(*HALVES))
 
 
-def extents(rows: DataFrame) -> DataFrame:
-    """The range of years per domain, item, area and element, from which dimensions follow."""
-    return rows.groupBy("Domain", "Item", "Area", "Element").agg(F.min("Year").alias("min_year"), F.max("Year").alias("max_year"))
-
-
 def manifest_mismatches(stored: DataFrame, actual: DataFrame) -> DataFrame:
     """Entries that are missing, extra, or differ in rows or content."""
     s, a = stored.alias("s"), actual.alias("a")
@@ -277,14 +275,17 @@ class ReleaseStore:
         self._write(release, "leaves", leaves(rows), "Domain")
         crops = rows.where("Domain = 'QCL'")
         self._write(release, "availability", availability(crops, items))
-        self._write(release, "extents", extents(rows))
+        self._write(release, "year_bits", year_bits(rows, OPTION))
         self._write(release, "crop_states", crop_states(crops))
         self._write(release, "price_states", price_states(rows.where("Domain = 'PP'")))
         self._finish(release, metadata)
 
     def _finish(self, release: str, metadata: DataFrame) -> None:
         """What follows from the tables that each item has its own rows in; and the check of the files."""
-        self._write(release, "dimensions", dimensions(self._table(release, "extents"), ["Domain"], "min_year", "max_year"))
+        ranges = with_range(self._table(release, "year_bits"), "min_year", "max_year")
+        self._write(release, "dimensions", dimensions(ranges, ["Domain"], "min_year", "max_year"))
+        self._write(release, "item_numbers", numbered(self._table(release, "items")))
+        self._write(release, "item_bits", item_bits(self._table(release, "availability"), self._table(release, "item_numbers")))
         self._write(release, "domains", metadata)
         parts = self._table(release, "leaves")
         self._write(release, "files", parts.select("owner", "name").distinct())
@@ -325,9 +326,9 @@ class ReleaseStore:
             gone = changed.where(F.col("Domain") == domain).select("Item")
             carried = self._table(held, table).join(gone, "Item", "left_anti").select(*own.columns)
             self._write(release, table, union_all(carried, own))
-        own = extents(rows)
-        carried = self._table(held, "extents").join(changed, ["Domain", "Item"], "left_anti").select(*own.columns)
-        self._write(release, "extents", union_all(carried, own))
+        own = year_bits(rows, OPTION)
+        carried = self._table(held, "year_bits").join(changed, ["Domain", "Item"], "left_anti").select(*own.columns)
+        self._write(release, "year_bits", union_all(carried, own))
         remove_folder(self.spark, self.path(release, "files"))
         self._finish(release, metadata)
 

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.operators import partials, selection
+from obsmill.operators import bitmaps, partials, selection
 from obsmill.operators.selection import Selection
 from obsmill.plans import reports
 from obsmill.schema import (
@@ -113,16 +113,28 @@ class PreparedTables(BulkTables):
 
     def available_items(self, code: str = "QCL", areas: Names = None) -> DataFrame:
         if code == "QCL":
-            return selection.available_items(self._table("availability"), areas)
+            chosen = selection.apply_selection(self._table("item_bits"), Selection(areas))
+            return bitmaps.items_of(bitmaps.merged_bits(chosen), self._table("item_numbers"))
         # The manifest lists the items each domain has rows of.
         return self._table("manifest").where(F.col("Domain") == code).select("Item")
 
+    def _years(self, code: str) -> DataFrame:
+        if code not in DOMAINS:
+            raise ValueError(f"unknown domain {code}")
+        return self._table("year_bits").where(F.col("Domain") == code)
+
     def available_years(
         self, code: str = "QCL", areas: Names = None, items: Names = None, elements: Names = None
     ) -> DataFrame:
-        if code == "QCL":
-            return selection.available_years(self._table("availability"), areas, items)
-        return super().available_years(code, areas, items, elements)
+        return bitmaps.years_offered(self._years(code), Selection(areas, items, elements))
+
+    def items_in_period(self, code: str, years: Years, areas: Names = None, elements: Names = None) -> DataFrame:
+        """Items that have a row within the years, so that a choice of years narrows that of items."""
+        return bitmaps.items_offered(self._years(code), Selection(areas, None, elements, years))
+
+    def member_years(self, code: str = "QCL") -> DataFrame:
+        """The members of each dimension, their range of years and how many different ones they have."""
+        return bitmaps.member_years(self._years(code))
 
     def states(self) -> DataFrame:
         """Mergeable crop figures per area, item and year, see `operators.partials`."""
