@@ -220,5 +220,38 @@ def test_search_leaves_unusable_vectors_out(spark):
     same = [(0, 1, 0, top), (0, 2, 7, top), (0, 3, None, top)]
     assert found == same + same + [(100, 1, 8, 0), (100, 2, 0, -1024 * 1024), (100, 3, 0, -1024 * 1024)]
     assert topk.search(table.limit(0)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.search(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_vectors_without_components_score_zero(spark):
+    table = spark.createDataFrame([(i, []) for i in (100, 3, 2, 7)], "vec_id long, embedding array<double>")
+    found = topk.search(table, k=2).drop("query_row").collect()
+    assert sorted(map(tuple, found)) == [(100, 1, 2, 0), (100, 2, 3, 0)]
+
+
+@pytest.mark.parametrize("size", [3e5, 1e9, 1e13, 1e302])
+def test_scores_of_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 8)) * np.exp(rng.normal(size=(60, 1))) * size
+    vectors[20:30] = vectors[3]
+    vectors[40:44] *= 1 / size
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = topk.search(table, k=20, every=10, block_rows=16, query_rows=4).drop("query_row").collect()
+    whole = [[int(x) for x in np.floor(1024 * v).tolist()] for v in vectors]
+    end, expected = 2**63 - 1, []
+    for i in range(0, 60, 10):
+        scores = [max(-end, min(end, sum(a * b for a, b in zip(whole[i], w, strict=True)))) for w in whole]
+        best = sorted((j for j in range(60) if j != i), key=lambda j: (-scores[j], j))[:20]
+        expected += [(i, rank + 1, j, scores[j]) for rank, j in enumerate(best)]
+    assert sorted(map(tuple, found)) == expected
+
+
+def test_short_vectors_meet_no_query(spark):
+    """Blocks too short for what the longest block gives are left out before any task reads their vectors."""
+    queries = np.array([[3.0, 4.0], [1.0, 0.0]])
+    best = topk._Best(queries, np.array([0, 1]), 2, np.eye(2))
+    assert best.need() == 0
+    best.take(np.array([[6.0, 8.0], [3.0, 4.0], [9.0, 0.0]]), np.array([5, 6, 7]), np.array([5, 6, 7]))
+    assert best.scores.tolist() == [[50, 27], [9, 6]]
+    assert best.need() == pytest.approx(27 / 5)
+    known = topk._Best(queries, np.array([0, 1]), 2, np.eye(2), best.scores[:, -1])
+    assert known.need() == best.need() and not len(known._may_enter(np.array([[0.5, 0.5]])))
