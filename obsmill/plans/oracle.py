@@ -684,6 +684,14 @@ def oracle() -> dict[str, str]:
            FROM (SELECT Domain, n, CAST(unnest(generate_series(1, greatest(1, CAST(ceil(n / 1000.0) AS BIGINT)))) AS INTEGER) AS part
                  FROM (SELECT Domain, count(*) AS n FROM obs GROUP BY 1))""", "obs"
     )
+    q["export_sheets"] = _sql(
+        """SELECT Domain, Domain || '_' || CAST((place - 1) // 1000 + 1 AS VARCHAR) AS sheet, CAST(1 AS BIGINT) AS n_files,
+                  count(*) AS n_rows, count(Value) AS n_values, min(Area) AS first_area, max(Area) AS last_area,
+                  min(Value) AS least, max(Value) AS greatest
+           FROM (SELECT *, row_number() OVER (PARTITION BY Domain ORDER BY Area NULLS LAST, Item NULLS LAST,
+                        Element NULLS LAST, "Year" NULLS LAST, Months NULLS LAST) AS place FROM obs)
+           GROUP BY 1, 2""", "obs"
+    )
     q["provenance"] = _sql(
         """SELECT *, '1996–1999' AS period, 'NATION_3, NATION_8, NATION_15, NATION_20, NATION_21' AS areas,
                   'ECONOMY, LARGE, PROMO, SMALL' AS items FROM meta""", "meta"

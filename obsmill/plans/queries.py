@@ -806,6 +806,14 @@ def export_parts(spark, sf):
     return export.export_parts(star.observations(spark, sf), limit=1000)
 
 
+@query
+def export_sheets(spark, sf):
+    """All observations written as sheets of at most 1000 rows and read back."""
+    path, rows = new_folder(spark, "sheets"), star.observations(spark, sf)
+    export.write_named_sheets(rows, path, limit=1000)
+    return export.sheet_report(export.read_named_sheets(spark, path, rows.schema))
+
+
 @query
 def provenance(spark, sf):
     return export.provenance(_metadata(spark, sf), PERIOD, AREAS, ITEMS)

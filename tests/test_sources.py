@@ -409,6 +409,45 @@ def test_sheets_split_and_reunite(spark, tmp_path, sample):
     assert release.row_differences(sample, back).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 100])
+def test_named_sheets_come_back(spark, tmp_path, limit):
+    """Every sheet is one file of its name, filled in canonical order, and no row is lost."""
+    schema = "Domain string, Area string, Item string, Element string, Year int, Unit string, Value double, Note string"
+    rows = [
+        (d, a, "Crop", "Yield", y, "t", v, n)
+        for d, k in (("QCL", 5), ("PP", 2))
+        for a in ("B", "A", None, "A")
+        for y, v, n in [(2000 + i % 3, i / 4, ["x", " y ", "two\nlines", 'a "b", c', "=1+1"][i % 5]) for i in range(k)]
+    ]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    export.write_named_sheets(df, str(tmp_path / "s"), limit=limit)
+    got = export.read_named_sheets(spark, str(tmp_path / "s"), df.schema).collect()
+
+    def last(value):
+        return value is None, value if value is not None else 0
+
+    expected = []
+    for domain in ("QCL", "PP"):
+        own = [(*r[:-1], "'=1+1" if r[-1] == "=1+1" else r[-1]) for r in rows if r[0] == domain]
+        own.sort(key=lambda r: [last(v) for v in (*r[1:5], *r[5:])])
+        expected += [(*r, f"{domain}_{i // limit + 1}") for i, r in enumerate(own)]
+    assert sorted(map(repr, (tuple(r)[:-1] for r in got))) == sorted(map(repr, expected))
+    assert len({(r.sheet, r.file) for r in got}) == len({r.sheet for r in got})
+    (empty,) = (tmp_path / "s" / "sheet=TCL_1").glob("part-*.csv")
+    assert empty.read_text().strip() == ",".join(df.columns[1:])
+    report = {r.sheet: (r.n_files, r.n_rows) for r in export.sheet_report(export.read_named_sheets(spark, str(tmp_path / "s"), df.schema)).collect()}
+    assert all(files == 1 and count <= limit for files, count in report.values()) and sum(n for _, n in report.values()) == len(rows)
+
+
+def test_named_sheets_of_an_empty_table_and_of_a_clashing_name(spark, tmp_path, sample):
+    none = sample.withColumn("Domain", F.lit("QCL")).limit(0)
+    export.write_named_sheets(none, str(tmp_path / "s"), limit=2)
+    assert sorted(p.name for p in (tmp_path / "s").glob("sheet=*")) == ["sheet=PP_1", "sheet=QCL_1", "sheet=TCL_1"]
+    assert export.read_named_sheets(spark, str(tmp_path / "s"), none.schema).isEmpty()
+    with pytest.raises(ValueError, match="sheet"):
+        export.named_sheets(none.withColumn("sheet", F.lit(1)))
+
+
 def test_provenance_and_summary(spark):
     meta = spark.createDataFrame([("QCL", "n", "2024", "s", 5, "f")], "code string, name string, updated string, source string, rows bigint, file string")
     row = export.provenance(meta, (2000, 2024), ["A", "B"], ["Crop"]).first()
