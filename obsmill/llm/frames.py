@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.sources.workspace import new_folder
+from obsmill.session import importable
+from obsmill.sources.workspace import stored
+
+__all__ = ["LONG_SLICE", "free", "importable", "named", "quoted", "slices", "stored", "texts_of"]
 
 #: A worker handles so many rows or text bytes of an Arrow batch at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
@@ -18,14 +19,6 @@ SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 LONG_SLICE = (4096, 8 << 20)
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed but lies in a shared checkout."""
-    place, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if place not in paths:
-        known["PYTHONPATH"] = os.pathsep.join([*paths, place])
-
-
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """(doc_id long, text string), other columns left out, so none can clash.
 
@@ -55,13 +48,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which also cuts the lineage."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def slices(batch: pa.RecordBatch, text_col: str, most: tuple[int, int] = (SLICE_ROWS, SLICE_BYTES)) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and few text bytes; a row is never cut."""
     at, count = 0, batch.num_rows

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,11 @@ def sound_unions(spark: SparkSession) -> None:
 def union_all(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
     sound_unions(frames[0].sparkSession)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed but lies in a shared checkout."""
+    place, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if place not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, place])

@@ -1,5 +1,8 @@
 """Releases that follow each other, their trees of fingerprints, stored states and the search index."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,31 @@ def test_indexed_search_equals_the_scan(spark, text):
     found = grams.indexed_search(table, spark.read.parquet(folder), "id", text)
     expected = selection.literal_search(table, text)
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+@pytest.mark.parametrize("letters", ["AB", "ABCÄß😀\0日", "".join(map(chr, range(32, 0xD000)))])
+@pytest.mark.parametrize("rows", [1, 60])
+def test_strings_of_a_row(letters, rows):
+    choose = random.Random(rows)
+    columns = [["".join(choose.choices(letters, k=choose.choice([0, 1, 2, 3, 300]))) for _ in range(rows)] for _ in range(3)]
+    row, strings = grams._found([pa.array(c, pa.string()) for c in columns])
+    expected = {(i, t[k : k + 3]) for c in columns for i, t in enumerate(c) for k in range(len(t) - 2)}
+    found = list(zip(row.tolist(), strings.to_pylist(), strict=True))
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_one_row_group_is_indexed_by_many_tasks(spark, many_files, monkeypatch):
+    tasks, inner = spark.sparkContext.accumulator(0), grams._listed
+
+    def counted(batches):
+        held = list(batches)
+        tasks.add(any(b.num_rows for b in held))
+        yield from inner(iter(held))
+
+    monkeypatch.setattr(grams, "_listed", counted)
+    folder = new_folder(spark, "grams")
+    table = spark.range(5000, numPartitions=1).withColumn("text", F.concat(F.lit("text "), F.col("id")))
+    grams.write_grams(table, "id", folder)
+    assert tasks.value > 2  # one pass to find the ranges, one to write
+    found = grams.indexed_search(table, spark.read.parquet(folder), "id", "T 49")
+    assert found.count() == selection.literal_search(table, "T 49").count() == 111
