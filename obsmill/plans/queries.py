@@ -25,7 +25,7 @@ from obsmill.schema import (
 )
 from obsmill.session import sound_unions, union_all
 from obsmill.sources import bulk, catalog, domains, export, grams, release, star
-from obsmill.sources.workspace import new_folder
+from obsmill.sources.workspace import new_folder, stored
 from obsmill.tables import PreparedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,9 +236,14 @@ def manifest_mismatches(spark, sf):
     return release.manifest_mismatches(release.manifest(kept), actual)
 
 
+def _observations(spark: SparkSession, sf: str) -> DataFrame:
+    """All observations, worked out from the star tables once for a release, its metadata and comparisons, which all read them."""
+    return stored(star.observations(spark, sf), "observations", compression="zstd")
+
+
 @query
 def release_parity(spark, sf):
-    rows = star.observations(spark, sf)
+    rows = _observations(spark, sf)
     store = release.ReleaseStore(spark, new_folder(spark, "store"))
     store.publish(rows, _metadata(spark, sf, rows))
     prepared = store.open().select(*rows.columns)
@@ -247,7 +252,7 @@ def release_parity(spark, sf):
 
 def _prepared(spark: SparkSession, sf: str) -> PreparedTables:
     """The star tables as a published release."""
-    rows = star.observations(spark, sf)
+    rows = _observations(spark, sf)
     store = release.ReleaseStore(spark, new_folder(spark, "store"))
     store.publish(rows, _metadata(spark, sf, rows))
     return PreparedTables(store)
@@ -262,7 +267,7 @@ def _edited(rows: DataFrame) -> DataFrame:
 
 def _updated(spark: SparkSession, sf: str) -> tuple[release.ReleaseStore, str, str, DataFrame]:
     """A release of the star tables and the one that follows it after an edit."""
-    rows = star.observations(spark, sf)
+    rows = _observations(spark, sf)
     store, metadata = release.ReleaseStore(spark, new_folder(spark, "store")), _metadata(spark, sf, rows)
     first = store.publish(rows, metadata)
     return store, first, store.update(_edited(rows), metadata), rows

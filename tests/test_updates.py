@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsmill.operators import measures, partials, selection
+from obsmill.plans import queries
 from obsmill.schema import CROP_UNITS, PRODUCTION, YIELD
-from obsmill.sources import grams, release
+from obsmill.sources import grams, release, star
 from obsmill.sources.domains import DomainStore
 from obsmill.sources.workspace import new_folder
 from obsmill.tables import PreparedTables
@@ -162,6 +163,21 @@ def test_indexed_search_equals_the_scan(spark, text):
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
 
 
+@pytest.mark.parametrize("name", ["release_parity", "release_update", "stored_production"])
+def test_observations_are_worked_out_once(spark, monkeypatch, name):
+    """A release, its metadata, the update after it and the comparison read what one pass over the tables gave."""
+    seen, rows = spark.sparkContext.accumulator(0), crops(spark)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(star, "observations", lambda *_: rows.mapInArrow(counted, rows.schema))
+    queries.registry()[name](spark, "").collect()
+    assert seen.value == rows.count()
+
+
 @pytest.mark.parametrize("letters", ["AB", "ABCÄß😀\0日", "".join(map(chr, range(32, 0xD000)))])
 @pytest.mark.parametrize("rows", [1, 60])
 def test_strings_of_a_row(letters, rows):
