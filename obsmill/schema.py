@@ -34,7 +34,7 @@ YIELD_FACTORS = {"kg/ha": 1.0, "hg/ha": 0.1, "100 mg/ha": 0.0001, "t/ha": 1000.0
 WORLD = "World"
 AGGREGATE_CPC_MARK = "F"  # a CPC code holding this letter is a group of crops
 SHEET_ROWS = 1_048_575  # rows below the header in one workbook sheet
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 # -----------------------------------------------------------------------------
 
 KEYS = ("Area", "Item", "Year")
