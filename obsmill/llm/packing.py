@@ -64,6 +64,7 @@ def _encode(path: str, end_id: int, capacity: int):
                 ]
                 names = [c.split()[0] for c in TOKENS.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del ids, columns  # a slice's ids aren't held while the next one is encoded
 
     return run
 

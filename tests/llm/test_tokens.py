@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -203,3 +206,33 @@ def test_the_program_improves_on_its_first_patterns():
     assert program.cost() <= first
     made = sum(np.array([p.get(int(a), 0) for a in program.lengths]) * u for p, u in zip(program.basis, program.uses, strict=True))
     assert np.allclose(made, counts[program.lengths])
+
+
+def test_ids_of_a_slice_are_let_go_before_the_next(monkeypatch):
+    held, alive = [], []
+
+    class Own(bytearray):
+        pass
+
+    class Ids(bytes):
+        def __add__(self, end):
+            own = Own(bytes(self) + end)
+            held.append(weakref.ref(own))
+            return own
+
+    class Encoder:
+        tokenizer = SimpleNamespace(get_vocab_size=lambda: 50_000)
+
+        def encode(self, texts):
+            alive.append(sum(r() is not None for r in held))
+            return [Ids(4 * len(t.as_py())) for t in texts]
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Encoder())
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(packing, "LONG_SLICE", (2, 1 << 20))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * n for n in range(6)])], names=["doc_id", "text"])
+    counts = []
+    for out in packing._encode("", 0, 4)(iter([batch])):
+        counts += out.column("doc_tokens").to_pylist()
+        del out
+    assert counts == [1, 2, 3, 4, 5, 6] and alive == [0, 0, 0]
