@@ -18,6 +18,23 @@ class Cut(NamedTuple):
     begins: np.ndarray
 
 
+class Known:
+    """The ids of pieces, in two generations: what the last one did not use is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        """Which of the pieces, none of them young, are not old either; those that are become young."""
+        kept = pieces & self.old.keys()
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        return list(pieces - kept)
+
+
 def cut(texts: pa.Array) -> Cut:
     """The pieces of texts between spaces; a text of n spaces has n + 1."""
     split = pc.split_pattern(texts, " ")
@@ -26,10 +43,11 @@ def cut(texts: pa.Array) -> Cut:
     return Cut(coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins - begins[0])
 
 
-def strung(values: Sequence[bytes], found: Cut, entries: np.ndarray) -> list[bytes]:
-    """For each text the values of its pieces in a row."""
-    taken = pa.array(values, pa.large_binary()).take(pa.array(entries))
+def strung(values: Sequence[bytes] | pa.LargeBinaryArray, begins: np.ndarray, entries: np.ndarray) -> list[bytes]:
+    """For each text the values of its pieces in a row; its pieces begin where `begins` tells."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())
+    taken = values.take(pa.array(entries))
     raw = pa.py_buffer(taken.buffers()[2]) if taken.buffers()[2] else b""
     view = memoryview(raw)
-    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[found.begins].tolist()
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[begins].tolist()
     return [bytes(view[a:b]) for a, b in zip(ends, ends[1:], strict=False)]

@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from obsmill.llm.byte_tokens import Known
 from obsmill.llm.frames import LONG_SLICE, slices, texts_of
-from obsmill.llm.pieces import cut, strung
+from obsmill.llm.pieces import Known, cut, strung
 
 # White space other than the space, by the widest notion of it, and normalised pieces
 # whose words are plain: letters, then signs that begin no contraction.
@@ -302,7 +301,7 @@ class WordEncoder:
             for piece in [p for p in new if len(p) > LONG]:
                 del known[piece]
             # What is decoded begins with the space before the first token.
-            return strung(ids, found, found.entries), [d[1:] for d in strung(decoded, found, found.entries)]
+            return strung(ids, found.begins, found.entries), [d[1:] for d in strung(decoded, found.begins, found.entries)]
         finally:
             gc.enable()
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from obsmill.llm import cutting, packing, token_files, word_bpe
+from obsmill.llm import byte_tokens, cutting, packing, token_files, word_bpe
 from obsmill.llm.byte_tokens import PieceEncoder
 from obsmill.sources.workspace import new_folder
 
@@ -236,3 +236,30 @@ def test_ids_of_a_slice_are_let_go_before_the_next(monkeypatch):
         counts += out.column("doc_tokens").to_pylist()
         del out
     assert counts == [1, 2, 3, 4, 5, 6] and alive == [0, 0, 0]
+
+
+def test_known_pieces_are_held_in_arrow_and_bounded():
+    """A piece costs a few dozen bytes, not the objects of two generations; long ones go."""
+    encoder, library, rng = PieceEncoder(BYTES, most_pieces=20_000), Tokenizer.from_file(BYTES), random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 12))) for _ in range(30_000)]
+    texts = [" ".join(words[i : i + 100]) + ",\n" + "z" * 5000 * (i % 3) for i in range(0, len(words), 100)]
+    for part in (texts, texts[:150], texts[150:]):
+        found = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(part)]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in part]
+        known = encoder.known
+        assert len(known.pieces) == len(known.ids) == len(known.used) <= 20_000
+        assert max(len(p) for p in known.pieces.to_pylist()) <= byte_tokens.LONG
+        assert known.pieces.nbytes + known.ids.nbytes + known.used.nbytes < 80 * 20_000
+    # What was used last is what stays.
+    assert {" " + w for w in words[15_001:15_010]} <= set(encoder.known.pieces.to_pylist())
+
+
+def test_words_and_signs_are_pieces_of_their_own():
+    texts = ["Ünder the-rose, don't (stop)\nThe end\n\nNow  x3 ", " “so” 　wide", ""]
+    raw = "".join(texts).encode()
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts = byte_tokens.begins(np.frombuffer(raw, dtype=np.uint8), ends, True).tolist()
+    pieces = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+    assert pieces == [
+        "Ünder", " the", "-", "rose", ",", " don", "'t", " (", "stop", ")\n", "The", " end", "\n\nNow", " ", " x", "3 ", " “so” 　wide",
+    ]
