@@ -55,7 +55,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces(NamedTuple):
-    """For each piece its key, the first start of its windows, the end of the starts, and whether its key occurs twice in it."""
+    """For each piece its key, the first start of its windows, the end of the starts, and whether its key leads windows from two places."""
 
     keys: np.ndarray
     starts: np.ndarray
@@ -63,17 +63,41 @@ class Pieces(NamedTuple):
     repeats: np.ndarray
 
 
-def _chunk(data: np.ndarray, length: int, gram: int) -> Pieces:
+def _chunk(data: np.ndarray, length: int, gram: int, ends: np.ndarray) -> Pieces:
+    """The pieces of neighbouring texts that end at `ends`; windows never cross an end."""
     width = length - gram + 1
     found = hashes(data, gram)
     places = np.arange(len(found), dtype=np.uint64)
-    high = found & ~_PLACES
-    first = (_sliding_least(high | places, width) & _PLACES).astype(np.int64)
-    last = (_PLACES - (_sliding_least(high | (_PLACES - places), width) & _PLACES)).astype(np.int64)
+    first = (_sliding_least(found & ~_PLACES | places, width) & _PLACES).astype(np.int64)
     keys = found[first]
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    ends = np.append(starts[1:], len(keys))
-    return Pieces(keys[starts], starts, ends, first[starts] != last[ends - 1])
+    begins = np.concatenate([[0], ends[:-1]])
+    borders = np.concatenate([begins, np.maximum(begins, ends - length + 1)])
+    change = np.concatenate([[True], keys[1:] != keys[:-1]])
+    change[borders[borders < len(keys)]] = True
+    starts = np.flatnonzero(change)
+    stops = np.append(starts[1:], len(keys))
+    whole = starts + length <= ends[np.searchsorted(ends, starts, side="right")]
+    starts, stops = starts[whole], stops[whole]
+    # Equal windows have their key's run equally far from their start, so windows of one run differ.
+    return Pieces(keys[starts], starts, stops, first[starts] != first[stops - 1])
+
+
+def together(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Pieces:
+    """The pieces of texts that stand one after the other and end at `ends`; short texts share their passes over arrays."""
+    begins = np.concatenate([[0], ends[:-1]])
+    found, at = [], 0
+    while at < len(ends):
+        begin = int(begins[at])
+        after = int(np.searchsorted(ends, begin + CHUNK, side="right"))
+        if after <= at:
+            own, after = pieces(data[begin : ends[at]], length, gram), at + 1
+        elif ends[after - 1] - begin < length:
+            own = pieces(data[:0], length, gram)
+        else:
+            own = _chunk(data[begin : ends[after - 1]], length, gram, ends[at:after] - begin)
+        found.append(own._replace(starts=own.starts + begin, ends=own.ends + begin))
+        at = after
+    return Pieces(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 def pieces(data: np.ndarray, length: int, gram: int) -> Pieces:
@@ -83,7 +107,8 @@ def pieces(data: np.ndarray, length: int, gram: int) -> Pieces:
         return Pieces(empty.astype(np.uint64), empty, empty, empty.astype(bool))
     found = []
     for at in range(0, len(data) - length + 1, CHUNK):
-        own = _chunk(data[at : at + CHUNK + length - 1], length, gram)
+        chunk = data[at : at + CHUNK + length - 1]
+        own = _chunk(chunk, length, gram, np.array([len(chunk)]))
         found.append(own._replace(starts=own.starts + at, ends=own.ends + at))
     return Pieces(*(np.concatenate(c) for c in zip(*found, strict=True)))
 

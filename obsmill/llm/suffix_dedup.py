@@ -4,7 +4,8 @@ A text is a row of letters, its bytes or its words, and a window is a string of
 `length` letters.  anchors.py gives each window a key that depends on its
 letters alone, so equal windows meet under one key, in runs called pieces.
 Pieces whose key occurs once need no look.  Of equal pieces one stands for all,
-with their number.  The others' letters are dealt to shards by key; induced.py
+with their number; where every piece of a key occurs again, so does every
+window of them.  The other keys' letters are dealt to shards by key; induced.py
 sorts the suffixes of a shard, and a window is repeated if a neighbour in that
 order shares `length` letters, or if its piece occurs twice.
 
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import anchors
@@ -54,7 +55,7 @@ def _bytes(text: str) -> np.ndarray:
 
 def _words(text: str) -> np.ndarray:
     """A hash of each word between white space."""
-    return np.array(list(map(xxhash.xxh3_64_intdigest, text.split())), dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, text.split())), dtype=np.uint64)
 
 
 BYTES, WORDS = Alphabet(_bytes, 128, 1), Alphabet(_words, 16, 8)
@@ -70,26 +71,23 @@ def _pieces(length: int, alphabet: Alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found: list[list] = [[] for _ in range(6)]
-                for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = alphabet.letters(text or "")
-                    own = anchors.pieces(data, length, alphabet.gram)
-                    starts, ends = own.starts.tolist(), own.ends.tolist()
-                    raw = data.tobytes()
-                    digests = [
-                        xxhash.xxh3_64_intdigest(raw[size * a : size * (b + length - 1)]) for a, b in zip(starts, ends, strict=True)
-                    ]
-                    columns = (
-                        own.keys.view(np.int64),
-                        np.array(digests, dtype=np.uint64).view(np.int64),
-                        (own.ends - own.starts).astype(np.int32),
-                        np.full(len(starts), row),
-                        own.starts.astype(np.int32),
-                        own.repeats,
-                    )
-                    for column, values in zip(found, columns, strict=True):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=_names(PIECE))
+                rows = part.column("row").to_numpy()
+                texts = [alphabet.letters(text or "") for text in part.column("text").to_pylist()]
+                data, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+                own = anchors.together(data, ends, length, alphabet.gram)
+                raw = data.tobytes()
+                bounds = zip((size * own.starts).tolist(), (size * (own.ends + length - 1)).tolist(), strict=True)
+                digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in bounds], dtype=np.uint64)
+                owner = np.searchsorted(ends, own.starts, side="right")
+                columns = (
+                    own.keys.view(np.int64),
+                    digests.view(np.int64),
+                    (own.ends - own.starts).astype(np.int32),
+                    rows[owner],
+                    (own.starts - np.concatenate([[0], ends])[owner]).astype(np.int32),
+                    own.repeats,
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(PIECE))
 
     return run
 
@@ -264,6 +262,12 @@ def _distinct(candidates: DataFrame) -> DataFrame:
     return stored(candidates.groupBy(*IDENTITY).agg(F.count("*").alias("times"), one), "repeat-distinct")
 
 
+def _open(distinct: DataFrame, weight: Column) -> DataFrame:
+    """The keys of pieces that occur once, with the bytes of all their pieces; where each piece occurs again, so does each window."""
+    keys = distinct.groupBy("key").agg(F.sum(weight).alias("size"), F.min("times").alias("least"))
+    return keys.where(F.col("least") == 1).select("key", "size")
+
+
 def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 2 << 20, alphabet: Alphabet = BYTES) -> DataFrame:
     """(row, spans): for rows with repeated windows, the runs of their starts as (first, last).
 
@@ -277,8 +281,7 @@ def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory:
     distinct = _distinct(candidates)
     weight = (F.col("width").cast("long") + (length - 1)) * size
     for step in (STEP, 1):
-        crowded = distinct.groupBy("key").agg(F.sum(weight).alias("size")).where(F.col("size") > shard_bytes).select("key")
-        crowded = stored(crowded, "repeat-crowded")
+        crowded = stored(_open(distinct, weight).where(F.col("size") > shard_bytes).select("key"), "repeat-crowded")
         if crowded.isEmpty():
             break
         own = candidates.join(crowded, "key", "left_semi").groupBy("row")
@@ -287,15 +290,19 @@ def repeated(texts: DataFrame, length: int, shard_bytes: int = 2 << 20, memory:
         parted = _shared(stored(parts, "repeat-pieces", compression="zstd"))
         candidates = stored(candidates.join(crowded, "key", "left_anti").unionAll(parted), "repeat-candidates", compression="zstd")
         distinct = _distinct(candidates)
-    total = distinct.agg(F.sum(weight)).first()[0] or 0
+    keys = _open(distinct, weight).select("key", F.lit(True).alias("open"))
+    distinct = stored(distinct.join(keys, "key", "left"), "repeat-open")
+    unknown, settled = distinct.where("open"), distinct.where("open is null")
+    total = unknown.agg(F.sum(weight)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     wanted = F.collect_list(F.struct(F.col("one.start").alias("start"), *IDENTITY, "times")).alias("wanted")
-    by_row = distinct.groupBy(F.col("one.row").alias("row")).agg(wanted)
+    by_row = unknown.groupBy(F.col("one.row").alias("row")).agg(wanted)
     segments = texts.join(by_row, "row").select("text", "wanted").mapInArrow(_segments(length, alphabet), SEGMENT)
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     ordered = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "key")
-    marks = stored(ordered.mapInArrow(_sorted_shards(length, memory, size), MARK), "repeat-marks")
+    every = settled.select(*IDENTITY, F.lit(0).alias("first"), F.col("width").alias("last"))
+    marks = stored(ordered.mapInArrow(_sorted_shards(length, memory, size), MARK).unionAll(every), "repeat-marks")
 
     found = candidates.join(marks, IDENTITY)
     span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))

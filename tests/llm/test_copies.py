@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from obsmill.llm import anchors, induced, minhash, simhash, suffix_dedup
 from obsmill.llm.components import components
+from obsmill.llm.frames import stored
 
 
 def signed(values):
@@ -380,3 +381,38 @@ def test_windows_of_words_equal_brute_force():
         windows = [[s[8 * i : 8 * i + 24] for i in range(len(s) // 8 - 2)] for s in own]
         counts = Counter(w for ws, n in zip(windows, times.tolist(), strict=True) for w in ws for _ in range(n))
         assert found == [{i for i, w in enumerate(ws) if counts[w] > 1} for ws in windows]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_pieces_of_many_texts_in_one_pass(words):
+    """Texts that share a pass have the pieces that they have alone, with those of a long one among them."""
+    rng, base = random.Random(8), np.uint64(0x9E3779B9)
+    texts = [bytes(rng.randrange(97, 99) for _ in range(n)) for n in (0, 399, 400, 3000, 150_000, 401, 900, 5, 1200)]
+    texts += [texts[3], texts[6] * 2, b""]
+    rows = [np.frombuffer(t, dtype=np.uint8).astype(np.uint64) * base if words else np.frombuffer(t, dtype=np.uint8) for t in texts]
+    ends = np.cumsum([len(t) for t in texts])
+    found = anchors.together(np.concatenate(rows), ends, 400, 128)
+    alone = [anchors.pieces(r, 400, 128) for r in rows]
+    begins = [0, *ends.tolist()]
+    assert found.keys.tolist() == [k for own in alone for k in own.keys.tolist()]
+    assert found.starts.tolist() == [b + x for b, own in zip(begins, alone, strict=False) for x in own.starts.tolist()]
+    assert found.ends.tolist() == [b + x for b, own in zip(begins, alone, strict=False) for x in own.ends.tolist()]
+    assert found.repeats.tolist() == [x for own in alone for x in own.repeats.tolist()]
+
+
+def test_pieces_that_all_occur_again_are_not_sorted(spark, monkeypatch):
+    def refuse(*_):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows, "letters were dealt whose windows are known to occur again"
+                yield from ()
+
+        return run
+
+    texts = passages(5) * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = stored(docs, "copies")
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", refuse)
+    rows = suffix_dedup.without_repeats(docs, 400, words=51).orderBy("doc_id").collect()
+    expected = plain_removal([(t or "").encode() for t in texts], 400)
+    assert [(r.left.n_bytes, r.left.n_removed, r.left.n_spans, hashlib.sha256(r.left.kept).hexdigest()) for r in rows] == expected
