@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from obsmill.llm import langid, packing, simhash, suffix_dedup
 from obsmill.llm.frames import free, named, quoted, stored
+from obsmill.session import small_batches
 
 SHINGLE, DISTANCE, PASSAGE_BYTES, PASSAGE_WORDS = 4, 4, 400, 51
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
@@ -22,6 +23,7 @@ ORACLE_SQL = None
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected are those without a letter or below the threshold."""
+    small_batches(spark)
     answer = free(docs, "language_id")
     found = langid.identify(docs, langid.fit(docs), into=answer)
     return found.where(F.col(answer).accepted).select(*quoted(docs))
@@ -29,6 +31,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    small_batches(spark)
     row = free(docs, "row")
     kept = simhash.groups(docs, SHINGLE, DISTANCE).where("keep").select(F.col("row").alias(row))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
@@ -37,6 +40,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of over 50 words or of 400 bytes that occur again; characters are never cut."""
+    small_batches(spark)
     left = free(docs, "left")
     cut = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, into=left, words=PASSAGE_WORDS)
     rest = F.col(left).rest
@@ -46,6 +50,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of one length, with their ids."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY)
 
 

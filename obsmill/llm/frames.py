@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from obsmill.session import importable
 from obsmill.sources.workspace import stored
 
-__all__ = ["LONG_SLICE", "free", "importable", "named", "quoted", "slices", "stored", "texts_of"]
+__all__ = ["LONG_SLICE", "free", "give_back", "importable", "lean", "named", "quoted", "slices", "stored", "texts_of"]
 
 #: A worker handles so many rows or text bytes of an Arrow batch at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
@@ -48,6 +49,26 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns to the system what this worker has freed: Arrow's pool, and the heap where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work, after which the worker holds no freed memory; workers outlive their tasks, and stages their memory."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def slices(batch: pa.RecordBatch, text_col: str, most: tuple[int, int] = (SLICE_ROWS, SLICE_BYTES)) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and few text bytes; a row is never cut."""
     at, count = 0, batch.num_rows

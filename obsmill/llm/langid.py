@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.llm.frames import importable, named, slices
+from obsmill.llm.frames import importable, lean, named, slices
 
 UNKNOWN, SPACE = "und", 32
 BUCKET_BITS, LENGTHS, STEP = 15, (2, 3, 4), 1 << 17
@@ -254,8 +254,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str =
         raise ValueError(f"the documents have a column {into}")
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by the number of buckets and languages
 
-    @F.pandas_udf("language string, score double, accepted boolean")
-    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found, scores = [], []
             own = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
@@ -267,4 +266,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str =
             frame["accepted"] = (frame["language"] != UNKNOWN) & (frame["score"] >= shared.value.threshold)
             yield frame
 
+    @F.pandas_udf("language string, score double, accepted boolean")
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return lean(each)(batches)
+
     return docs.withColumn(into, answers(F.col(named(text_col)).cast("string")))

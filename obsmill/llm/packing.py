@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from obsmill.llm import cutting
 from obsmill.llm.byte_tokens import encoder
-from obsmill.llm.frames import LONG_SLICE, slices, stored, texts_of
+from obsmill.llm.frames import LONG_SLICE, give_back, lean, slices, stored, texts_of
 
 FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 TOKENS = "doc_id long, part int, remainder int, local_rank long, local_full long, doc_tokens long, ids binary"
@@ -65,8 +65,9 @@ def _encode(path: str, end_id: int, capacity: int):
                 names = [c.split()[0] for c in TOKENS.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 del ids, columns  # a slice's ids aren't held while the next one is encoded
+                give_back()
 
-    return run
+    return lean(run)
 
 
 class Layout(NamedTuple):
@@ -171,7 +172,7 @@ def _cut(plan: Layout, wide: str, keep_ids: bool):
                 lists = pa.array(ids_out if keep_ids else [None] * len(rows), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
-    return run
+    return lean(run)
 
 
 def pack(
@@ -194,12 +195,13 @@ def pack(
     encoded = texts_of(docs, id_col, text_col).mapInArrow(_encode(tokenizer, end_id, capacity), TOKENS)
     tokens = stored(encoded, "pack-tokens", **FAST)
 
-    # One row for each task and length: counts, then their running sums over the tasks.
+    # One row for each task and length: counts, then their running sums over the tasks.  They are few, and so are their files.
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = stored(
         tokens.groupBy("part", "remainder").agg(
             F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / capacity)).alias("full")
-        ),
+        ).coalesce(files),
         "pack-cells",
     )
     histogram = cells.groupBy("remainder").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect()

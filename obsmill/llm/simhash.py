@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm.components import components
-from obsmill.llm.frames import slices, stored, texts_of
+from obsmill.llm.frames import lean, slices, stored, texts_of
 
 # Lower case of A-Z alone, and the seed of the shingles' XXH64.
 LOWER, SEED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
                     [piece.column("doc_id"), piece.column("row"), pa.array(found.view(np.int64))], names=["doc_id", "row", "fp"]
                 )
 
-    return texts_of(docs, id_col, text_col, row=True).mapInArrow(run, "doc_id long, row long, fp long")
+    return texts_of(docs, id_col, text_col, row=True).mapInArrow(lean(run), "doc_id long, row long, fp long")
 
 
 def _masks(distance: int) -> list[int]:
@@ -205,7 +205,7 @@ def _links_of(distance: int, at_least: int = 200_000):
         if len(fps):
             yield forest(keys, fps)
 
-    return run
+    return lean(run)
 
 
 def links(fps: DataFrame, distance: int, bucket_rows: int = 100_000) -> DataFrame:

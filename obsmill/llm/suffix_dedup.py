@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import anchors
-from obsmill.llm.frames import free, importable, named, slices, stored
+from obsmill.llm.frames import free, give_back, importable, lean, named, slices, stored
 from obsmill.llm.induced import suffixes
 
 PIECE = "key long, digest long, width int, row long, start int, twice boolean"
@@ -89,7 +89,7 @@ def _pieces(length: int, alphabet: Alphabet):
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(PIECE))
 
-    return run
+    return lean(run)
 
 
 def _parts(length: int, alphabet: Alphabet, step: int):
@@ -121,7 +121,7 @@ def _parts(length: int, alphabet: Alphabet, step: int):
                     [*signed, *(pa.array(c, t) for c, t in zip(columns[2:], kinds, strict=True))], names=_names(PIECE)
                 )
 
-    return run
+    return lean(run)
 
 
 def _segments(length: int, alphabet: Alphabet):
@@ -141,7 +141,7 @@ def _segments(length: int, alphabet: Alphabet):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=_names(SEGMENT))
 
-    return run
+    return lean(run)
 
 
 def _string(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -241,12 +241,13 @@ def _sorted_shards(length: int, memory: int, size: int):
                 if own != shard and held:
                     yield marks(held)
                     held = []
+                    give_back()
                 shard = own
                 held.append(tuple(segment))
         if held:
             yield marks(held)
 
-    return run
+    return lean(run)
 
 
 def _shared(pieces: DataFrame) -> DataFrame:
@@ -384,17 +385,21 @@ def without_repeats(
         passages = repeated(texts, words, alphabet=WORDS)
         passages = passages.select(F.col("row").alias(row), F.col("spans").alias(worded))
 
+    def left(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, spans, worded in batches:
+            rows = []
+            for text, own, by_words in zip(texts, spans, worded, strict=True):
+                data = (text or "").encode()
+                runs = covered(own, length) if own is not None else []
+                every = merged(runs + word_runs(text, by_words, words)) if by_words is not None else runs
+                sizes = [sum(b - a for a, b in x) for x in (runs, every)]
+                rest = None if text is None else kept(data, every, True).decode() if every else text
+                rows.append((len(data), sizes[0], len(runs), kept(data, runs, False), sizes[1], rest))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_bytes", "rest"])
+
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, n_passage_bytes long, rest string")
-    def cut(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own, by_words in zip(texts, spans, worded, strict=True):
-            data = (text or "").encode()
-            runs = covered(own, length) if own is not None else []
-            every = merged(runs + word_runs(text, by_words, words)) if by_words is not None else runs
-            sizes = [sum(b - a for a, b in x) for x in (runs, every)]
-            rest = None if text is None else kept(data, every, True).decode() if every else text
-            rows.append((len(data), sizes[0], len(runs), kept(data, runs, False), sizes[1], rest))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_bytes", "rest"])
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return lean(left)(batches)
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     joined = numbered.join(found, row, "left")

@@ -24,6 +24,17 @@ def union_all(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that go to Python workers, unless the application sets a bound.
+
+    A task holds some batches at once, in the JVM outside the heap as well as
+    in the worker; ten thousand texts are some tens of megabytes.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(bound):
+        spark.conf.set(bound, "4m")
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is not installed but lies in a shared checkout."""
     place, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment

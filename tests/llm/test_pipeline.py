@@ -1,6 +1,7 @@
 """The registered corpus queries and the pipeline on the smallest tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tests.llm.test_copies import linked_by, plain_fingerprint, plain_removal, p
 from tests.llm.test_tokens import check_pieces, library_ids
 
 FOLDER = "/root/testdata/sf0.001"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -100,3 +102,17 @@ def test_stages_of_nothing_and_of_nulls(spark):
 
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_stages_send_small_batches_to_workers(spark):
+    docs = spark.range(0, 24, 1, 1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 80000) text", "'en' lang", "'s' source", "0L n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(BATCH_BYTES)
+        stage(spark, docs.limit(0), FOLDER)
+        found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+        assert max(found) < 8 << 20 < sum(found), name

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import weakref
 import zlib
 from collections import defaultdict
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -16,7 +19,7 @@ from tokenizers import Tokenizer
 
 from obsmill.llm import byte_tokens, cutting, packing, token_files, word_bpe
 from obsmill.llm.byte_tokens import PieceEncoder
-from obsmill.sources.workspace import new_folder
+from obsmill.sources.workspace import new_folder, stored
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ALPHABET = [" ", "  ", "\n", "\t", "a", "é", "don't", "'s", "'T", "x'll", "1", "23", "²", "Ⅷ", ".", ",", "日", "́"]
@@ -263,3 +266,62 @@ def test_words_and_signs_are_pieces_of_their_own():
     assert pieces == [
         "Ünder", " the", "-", "rose", ",", " don", "'t", " (", "stop", ")\n", "The", " end", "\n\nNow", " ", " x", "3 ", " “so” 　wide",
     ]
+
+
+def test_workers_give_back_what_they_have_freed():
+    """After a task a worker holds what it still needs, not what its texts took."""
+    code = """
+import os, re
+import pyarrow as pa
+from obsmill.llm.frames import lean
+
+def held():
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+def run(batches):
+    for batch in batches:
+        words = [os.urandom(1000) for _ in range(100_000)]
+        kept.extend(words[::5000])  # the heap's end stays in use
+        yield len(pa.array(words).cast(pa.large_binary()))
+        del words
+
+kept, before = [], held()
+for wrapped in (run, lean(run)):
+    for _ in wrapped(iter([1])):
+        pass
+    print(held() - before)
+"""
+    answer = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=60)
+    plain, own = map(int, answer.stdout.split())
+    assert plain > 60 and 3 * own < plain
+
+
+def test_packing_gives_memory_back_after_each_slice(monkeypatch):
+    given = []
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["a text"] * 5000)], names=["doc_id", "text"])
+    parts = list(packing._encode(BYTES, 0, 1024)(iter([batch])))
+    assert len(given) == len(parts) == 2
+
+
+def test_counts_of_packing_are_few_files(spark, docs, monkeypatch):
+    """Their files are far fewer than the partitions, also where Spark doesn't join small ones."""
+    files = {}
+
+    def counted(df, name, **options):
+        out = stored(df, name, **options)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(packing, "stored", counted)
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        packing.pack(docs, BYTES, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files["pack-cells"] <= 4
