@@ -7,14 +7,13 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from obsmill.llm.pieces import strung
+from obsmill.llm.pieces import Remembered, strung
 
 # A run of Latin letters, with the space before it: one word of the byte-level pattern.
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -60,28 +59,6 @@ def begins(data: np.ndarray, ends: np.ndarray, words: bool) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-class Remembered(NamedTuple):
-    """Distinct pieces, the ids of each, and the call that used each last; rows of Arrow, without an object for each."""
-
-    pieces: pa.Array
-    ids: pa.Array
-    used: np.ndarray
-
-    @classmethod
-    def nothing(cls) -> Remembered:
-        return cls(pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, dtype=np.int64))
-
-    def only(self, most: int) -> Remembered:
-        """Short pieces; if these are too many, the half of the most that was used last."""
-        kept = np.flatnonzero(pc.binary_length(self.pieces).to_numpy() <= LONG)
-        if len(kept) > most:
-            last = np.argsort(-self.used[kept], kind="stable")[: most // 2]
-            kept = kept[np.sort(last)]
-        if len(kept) == len(self.used):
-            return self
-        return Remembered(self.pieces.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.used[kept])
-
-
 class PieceEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
@@ -175,7 +152,7 @@ class PieceEncoder:
         used = np.concatenate([self.known.used, np.zeros(len(new), dtype=np.int64)])
         used[entries] = self.calls
         ids = pa.concat_arrays([self.known.ids, new])
-        self.known = Remembered(distinct, ids, used).only(self.most)
+        self.known = Remembered(distinct, ids, used).only(self.most, LONG)
         return strung(ids, np.searchsorted(starts, offsets), entries)
 
 

@@ -1,8 +1,8 @@
-"""Cuts texts at spaces and tells equal pieces by numbers, without an object for every piece."""
+"""Cuts texts at spaces, tells equal pieces by numbers and remembers their ids, without an object for every piece."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -10,37 +10,70 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-class Cut(NamedTuple):
-    """The distinct pieces; for every piece, text after text, its number among them; where each text's pieces begin, and the end."""
+class Remembered(NamedTuple):
+    """Distinct pieces, the ids of each, and the call that used each last; rows of Arrow, without an object for each."""
 
-    pieces: list[str]
-    entries: np.ndarray
-    begins: np.ndarray
+    pieces: pa.Array
+    ids: pa.Array
+    used: np.ndarray
+
+    @classmethod
+    def nothing(cls) -> Remembered:
+        return cls(pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, dtype=np.int64))
+
+    def only(self, most: int, long: int) -> Remembered:
+        """Pieces of up to `long` bytes; if these are too many, the half of the most that was used last."""
+        kept = np.flatnonzero(pc.binary_length(self.pieces).to_numpy() <= long)
+        if len(kept) > most:
+            last = np.argsort(-self.used[kept], kind="stable")[: most // 2]
+            kept = kept[np.sort(last)]
+        if len(kept) == len(self.used):
+            return self
+        return Remembered(self.pieces.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.used[kept])
 
 
 class Known:
-    """The ids of pieces, in two generations: what the last one did not use is forgotten."""
+    """The ids of up to `most` pieces of up to `long` bytes, from one call to the next; `learn` gives those of new ones."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int, long: int, learn: Callable[[list[str]], pa.Array]):
+        self.most, self.long, self.learn, self.rows, self.calls = most, long, learn, Remembered.nothing(), 0
 
-    def age(self) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+    @property
+    def young(self) -> list[str]:
+        """The pieces that are remembered."""
+        return self.rows.pieces.to_pylist()
 
-    def unknown(self, pieces: set[str]) -> list[str]:
-        """Which of the pieces, none of them young, are not old either; those that are become young."""
-        kept = pieces & self.old.keys()
-        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
-        return list(pieces - kept)
+    def strung(self, pieces: pa.Array, begins: np.ndarray) -> pa.Array:
+        """The ids of each run of pieces in a row; a run begins where `begins` tells."""
+        if not len(pieces):
+            return pa.array([b""] * (len(begins) - 1), pa.large_binary())
+        # The numbers of known pieces come first, in their order, and those of new ones after them.
+        coded = pa.chunked_array([self.rows.pieces, pieces]).dictionary_encode()
+        last = coded.chunk(coded.num_chunks - 1)
+        entries, distinct = last.indices.to_numpy(), last.dictionary
+        new = self.learn(distinct.slice(len(self.rows.pieces)).to_pylist())
+        self.calls += 1
+        used = np.concatenate([self.rows.used, np.zeros(len(new), dtype=np.int64)])
+        used[entries] = self.calls
+        ids = pa.concat_arrays([self.rows.ids, new])
+        self.rows = Remembered(distinct, ids, used).only(self.most, self.long)
+        return joined(ids, begins, entries)
 
 
-def cut(texts: pa.Array) -> Cut:
-    """The pieces of texts between spaces; a text of n spaces has n + 1."""
-    split = pc.split_pattern(texts, " ")
-    coded = split.flatten().dictionary_encode()
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts between spaces, of which a text of n spaces has n + 1; where each text's begin, and the end."""
+    split = pc.split_pattern(texts.cast(pa.large_string()), " ")
     begins = split.offsets.to_numpy()
-    return Cut(coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins - begins[0])
+    return split.flatten(), begins - begins[0]
+
+
+def joined(values: pa.Array, begins: np.ndarray, entries: np.ndarray) -> pa.Array:
+    """For each run of entries their values in a row, as rows of Arrow; a run begins where `begins` tells."""
+    if not len(entries):
+        return pa.array([b""] * (len(begins) - 1), pa.large_binary())
+    taken = values.take(pa.array(entries))
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[begins]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(ends), taken.buffers()[2]])
 
 
 def strung(values: Sequence[bytes] | pa.LargeBinaryArray, begins: np.ndarray, entries: np.ndarray) -> list[bytes]:

@@ -5,9 +5,10 @@ a word exactly if each token encodes to itself and each two neighbours encode
 to themselves when put together.  So the encoding of every prefix of a word is
 given by its last token and the encoding of the shorter prefix before it, and
 the state of a trie node is that last token alone.  A depth-first walk over the
-distinct words computes it once for every shared prefix.  Which tokens can be
-the last one follows from the longest end of the prefix that begins a token,
-which the walk carries along as an automaton over the vocabulary would.
+distinct words, which is their sorted order, computes it once for every shared
+prefix.  Which tokens can be the last one follows from the longest end of the
+prefix that begins a token, which the walk carries along as an automaton over
+the vocabulary would.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from obsmill.llm.frames import LONG_SLICE, slices, texts_of
-from obsmill.llm.pieces import Known, cut, strung
+from obsmill.llm.frames import give_back, lean, slices, texts_of
+from obsmill.llm.pieces import Known, cut, joined
+from obsmill.session import small_batches
 
 # White space other than the space, by the widest notion of it, and normalised pieces
 # whose words are plain: letters, then signs that begin no contraction.
 _SPACE = re.compile(r"[^\S ]")
 _SIMPLE = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)?")
 ENCODED = "doc_id long, ids array<int>, decoded string"
-#: Words and pieces of more letters are not remembered, so what is remembered is bounded in bytes.
+#: Words and pieces of more bytes are not remembered, so what is remembered is bounded in bytes.
 LONG = 128
+#: Rows and text bytes of a slice, whose new words are Python objects while their ids are found.
+SLICE = (2048, 2 << 20)
 
 
 def _byte_letters() -> list[str]:
@@ -53,9 +57,6 @@ class Merges:
         self.ids: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
-        #: The ids of tokens as little-endian 32-bit numbers, and tokens as they are decoded.
-        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
-        self.spoken = {t: f" {t}".encode() for t in self.ids}
         self.longest = max(len(self._letters(t)) for t in self.ids)
         # Tokens whose letters encode to them; the others never come up.
         self.usable = {t for t in self.ids if self._merged(self._symbols(t)) == [t]}
@@ -91,7 +92,7 @@ class Merges:
             return text
         known = self._links.get(text)
         if known is None:
-            if len(self._links) > 500_000:
+            if len(self._links) > 200_000:
                 self._links.clear()
             known = text
             while known not in self.prefixes:
@@ -103,7 +104,7 @@ class Merges:
         """The usable tokens at the end of a text, the longest first, within a word and at its end."""
         known = self._ending.get(held)
         if known is None:
-            if len(self._ending) > 500_000:
+            if len(self._ending) > 200_000:
                 self._ending.clear()
             ends = [held[i:] for i in range(len(held))]
             known = self._ending[held] = ([t for t in ends if t in self.usable], [t + self.end for t in ends if t + self.end in self.usable])
@@ -155,7 +156,7 @@ class Merges:
         key = (left, right)
         known = self._beside.get(key)
         if known is None:
-            if len(self._beside) > 1_000_000:
+            if len(self._beside) > 400_000:
                 self._beside.clear()
             known = self._beside[key] = self._apart(left, right)
         return known
@@ -186,51 +187,42 @@ class Merges:
                 j += 1
 
 
-class WordTrie:
-    """Distinct words as nested dictionaries; a node's end holds the word itself."""
-
-    END = ""
-
-    def __init__(self, words: Iterable[str]):
-        self.root: dict = {}
-        for word in words:
-            node = self.root
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[self.END] = word
-
-    def encodings(self, merges: Merges) -> Iterator[tuple[str, list[str]]]:
-        """(word, tokens), depth first.  last[d] is the last token of the prefix of d letters."""
-        last: list[str] = [""]
-        extra = len(merges.end)
-        stack: list[tuple[int, str, dict]] = [(1, merges.follow("", a), n) for a, n in self.root.items() if a]
-        if self.END in self.root:
-            yield "", []
-        while stack:
-            depth, held, node = stack.pop()
-            del last[depth:]
-            within, ends = merges.ending(held)
-            if self.END in node:
-                end = merges.last_token(ends, depth, last, extra)
-                yield node[self.END], self._tokens(last, end, depth - len(end) + extra)
-                if len(node) == 1:
-                    continue
-            last.append(merges.last_token(within, depth, last, 0))
-            stack += [(depth + 1, merges.follow(held, a), n) for a, n in node.items() if a]
-
-    @staticmethod
-    def _tokens(last: list[str], end: str, depth: int) -> list[str]:
-        tokens = [end]
+def encodings(words: list[str], merges: Merges) -> Iterator[list[str]]:
+    """The tokens of each of the sorted words; that order is a depth-first walk over their trie.
+
+    held[d] and last[d] tell of the prefix of d letters: which end of it begins
+    a token, and its last token.
+    """
+    held, last, before = [""], [""], ""
+    extra, prefixes, follow, ending, last_token = len(merges.end), merges.prefixes, merges.follow, merges.ending, merges.last_token
+    for word in words:
+        depth = 0
+        for a, b in zip(before, word, strict=False):
+            if a != b:
+                break
+            depth += 1
+        del held[depth + 1 :], last[depth + 1 :]
+        now = held[depth]
+        for letter in word[depth:]:
+            text = now + letter
+            now = text if text in prefixes else follow(now, letter)
+            held.append(now)
+        for depth in range(len(last), len(word)):
+            last.append(last_token(ending(held[depth])[0], depth, last, 0))
+        before, tokens, depth = word, [], len(word)
+        if word:
+            tokens.append(last_token(ending(now)[1], depth, last, extra))
+            depth -= len(tokens[0]) - extra
         while depth:
             tokens.append(last[depth])
             depth -= len(last[depth])
-        return tokens[::-1]
+        yield tokens[::-1]
 
 
 class WordEncoder:
-    """Encodes and decodes texts; remembers up to twice `most` pieces between spaces, and as many words, but no long ones."""
+    """Encodes and decodes texts; remembers the ids of up to `most` pieces between spaces, and of as many words, but of no long ones."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -241,7 +233,12 @@ class WordEncoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")" if self.added else r"(?!)()")
         self.letters = _byte_letters()
-        self.pieces, self.words = Known(most), Known(most)
+        self.pieces, self.words = Known(most, LONG, self._learn), Known(most, LONG, self._merge)
+        spoken = [""] * (1 + max([*self.merges.ids.values(), *self.added.values()]))
+        for token, i in (self.merges.ids | self.added).items():
+            spoken[i] = token
+        #: What each id is decoded to, after a space, and then the same without.
+        self.spoken = pa.array([*(f" {t}" for t in spoken), *spoken], pa.large_string()).cast(pa.large_binary())
 
     def _split(self, normal: str) -> list[str]:
         """The words of normalised text, in the letters of their bytes."""
@@ -251,59 +248,58 @@ class WordEncoder:
         found = self.pattern.findall(normal)
         return [w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()]) for w in found]
 
-    def _words(self, pieces: list[str]) -> dict[str, list[str | int]]:
-        """The words of each piece; added tokens, which are not normalised, as their ids."""
+    def _words(self, pieces: list[str]) -> list[list[str]]:
+        """The words of each piece; added tokens, which are not normalised, come after a space, which no word holds."""
         normal = self.tokenizer.normalizer.normalize_str
-        plain = [p for p in pieces if p and not self.cut.search(p) and not _SPACE.search(p)]
+        plain = [bool(p) and not self.cut.search(p) and not _SPACE.search(p) for p in pieces]
         # No letter is joined across a space, so one call does for all pieces without other white space.
-        whole = normal(" ".join(plain)).split(" ")
-        found: dict[str, list[str | int]] = {p: self._split(w) for p, w in zip(plain, whole, strict=bool(plain))}
-        for piece in pieces:
-            if piece not in found:
+        whole = iter(normal(" ".join([p for p, is_plain in zip(pieces, plain, strict=True) if is_plain])).split(" "))
+        found = []
+        for piece, is_plain in zip(pieces, plain, strict=True):
+            if is_plain:
+                found.append(self._split(next(whole)))
+            else:
                 parts = self.cut.split(piece)
-                found[piece] = [w for p in parts for w in ([self.added[p]] if p in self.added else self._split(normal(p)))]
+                found.append([w for p in parts for w in ([f" {p}"] if p in self.added else self._split(normal(p)))])
         return found
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Makes the pieces and their words young."""
+    def _learn(self, pieces: list[str]) -> pa.Array:
+        """The ids of pieces, by those of their words."""
         found = self._words(pieces)
-        used = {w for ws in found.values() for w in ws if isinstance(w, str)}
-        new = self.words.unknown(used.difference(self.words.young))
-        words = self.words.young
-        packed, spoken = self.merges.packed.__getitem__, self.merges.spoken.__getitem__
-        for word, tokens in WordTrie(new).encodings(self.merges):
-            words[word] = (b"".join(map(packed, tokens)), b"".join(map(spoken, tokens)))
-        special = {i: (array("i", [i]).tobytes(), f" {t}".encode()) for t, i in self.added.items()}
-        young = self.pieces.young
-        for piece, ws in found.items():
-            if len(ws) == 1 and isinstance(ws[0], str):
-                young[piece] = words[ws[0]]
-                continue
-            parts = [words[w] if isinstance(w, str) else special[w] for w in ws]
-            young[piece] = (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-        for word in [w for w in new if len(w) > LONG]:
-            del words[word]
+        begins = np.concatenate([[0], np.cumsum([len(ws) for ws in found], dtype=np.int64)])
+        return self.words.strung(pa.array([w for ws in found for w in ws], pa.large_string()), begins)
+
+    def _merge(self, words: list[str]) -> pa.Array:
+        """The ids of words."""
+        ids, special = self.merges.ids.__getitem__, {f" {t}": array("i", [i]).tobytes() for t, i in self.added.items()}
+        found = [special.get(w, b"") for w in words]
+        order = sorted((i for i, w in enumerate(words) if w not in special), key=words.__getitem__)
+        for i, tokens in zip(order, encodings([words[i] for i in order], self.merges), strict=True):
+            found[i] = array("i", map(ids, tokens)).tobytes()
+        return pa.array(found, pa.large_binary())
+
+    def rows(self, texts: pa.Array) -> tuple[pa.ListArray, pa.StringArray]:
+        """For each text its ids and what they decode to."""
+        gc.disable()  # nothing here is a cycle
+        try:
+            found = self.pieces.strung(*cut(pc.fill_null(texts, "")))
+        finally:
+            gc.enable()
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1) // 4
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, found.buffers()[2] or pa.py_buffer(b"")])
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+        # A text's first token has no space before it.
+        spoken = flat.to_numpy().copy()
+        spoken[ends[:-1][ends[:-1] < ends[1:]]] += len(self.spoken) // 2
+        return ids, joined(self.spoken, ends, spoken).cast(pa.large_string()).cast(pa.string())
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids as little-endian 32-bit numbers, and in UTF-8 what they decode to."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return [], []
-        gc.disable()  # nothing here is a cycle
-        try:
-            self.pieces.age()
-            self.words.age()
-            found = cut(pc.fill_null(texts, ""))
-            known = self.pieces.young
-            new = self.pieces.unknown(set(found.pieces).difference(known))
-            self._learn(new)
-            ids, decoded = zip(*map(known.__getitem__, found.pieces), strict=True)
-            for piece in [p for p in new if len(p) > LONG]:
-                del known[piece]
-            # What is decoded begins with the space before the first token.
-            return strung(ids, found.begins, found.entries), [d[1:] for d in strung(decoded, found.begins, found.entries)]
-        finally:
-            gc.enable()
+        ids, decoded = self.rows(texts)
+        return [row.values.to_numpy().tobytes() for row in ids], [text.as_py().encode() for text in decoded]
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -315,6 +311,18 @@ def _encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
+def _encode(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE):
+                ids, decoded = _encoder(tokenizer).rows(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
+                del ids, decoded
+                give_back()
+
+    return lean(run)
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every whole text, without an exchange.
 
@@ -322,18 +330,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     stay null, repeated rows are kept, an empty table gives none.  Other
     columns are ignored.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", LONG_SLICE):
-                found, spoken = _encoder(tokenizer).encode(piece.column("text"))
-                offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                decoded = pa.array(spoken, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
-
-    return texts_of(docs, id_col, text_col).mapInArrow(run, ENCODED)
+    small_batches(docs.sparkSession)
+    return texts_of(docs, id_col, text_col).mapInArrow(_encode(tokenizer), ENCODED)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -74,6 +74,76 @@ def test_long_words_are_not_remembered():
             assert max(map(len, known)) <= max(word_bpe.LONG, encoder.merges.longest + 1)
 
 
+def test_known_words_are_held_in_arrow_and_bounded():
+    """What is remembered costs a few dozen bytes a piece or word, not the objects of two generations."""
+    encoder, library, rng = word_bpe.WordEncoder(WORDS, most=20_000), Tokenizer.from_file(WORDS), random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    texts = [" ".join(words[i : i + 100]) + ",\n" + "z" * 5000 * (i % 3) + "<|endoftext|>" for i in range(0, len(words), 100)]
+    for part in (texts, texts[:150], texts[150:]):
+        for text, raw, decoded in zip(part, *encoder.encode(part), strict=True):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(raw, dtype="<i4").tolist() == ids
+            assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
+        for known in (encoder.pieces.rows, encoder.words.rows):
+            assert len(known.pieces) == len(known.ids) == len(known.used) <= 20_000
+            assert known.pieces.nbytes + known.ids.nbytes + known.used.nbytes < 80 * 20_000
+    # What was used last is what stays.
+    assert set(words[15_001:15_010]) <= set(encoder.pieces.young)
+
+
+def test_sorted_words_share_their_beginnings():
+    merges, library = word_bpe.WordEncoder(WORDS).merges, Tokenizer.from_file(WORDS)
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("aehr") for _ in range(rng.randrange(1, 9))) for _ in range(3000)} | {"a", "aa", "aaa", "there", "thereby"})
+    found = list(word_bpe.encodings(words, merges))
+    assert found == [library.encode(w, add_special_tokens=False).tokens for w in words]
+    assert list(word_bpe.encodings(["", "a"], merges)) == [[], ["a</w>"]] and list(word_bpe.encodings([], merges)) == []
+
+
+def test_words_of_empty_texts_and_of_slices():
+    encoder = word_bpe.WordEncoder(WORDS)
+    assert encoder.encode([]) == ([], [])
+    assert encoder.encode([None, "", " ", "\n"]) == ([b""] * 4, [b""] * 4)
+    texts = pa.array(["no", "a text", None, "", "a text", " x"])
+    whole = encoder.encode(texts)
+    assert encoder.encode(texts.slice(1, 4)) == tuple(part[1:5] for part in whole)
+    assert whole[1] == [b"no</w>", b"a</w> text</w>", b"", b"", b"a</w> text</w>", b"x</w>"]
+
+
+def test_words_take_little_memory():
+    """What a worker still holds after many distinct words is some dozen bytes for each, not an object."""
+    code = """
+import os, random
+import public_tokenizers
+from obsmill.llm import word_bpe
+from obsmill.llm.frames import give_back
+
+def held():
+    give_back()
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+rng = random.Random(5)
+letters = str.maketrans("0123456789", "etaoinshrd")
+texts = [" ".join(f"{rng.randrange(40_000)}".translate(letters) + rng.choice(("", "!", ".", ",", ";", ":")) for _ in range(100)) for _ in range(8_000)]
+encoder = word_bpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+encoder.encode(texts[:10])
+before = held()
+for i in range(0, len(texts), 2_000):
+    encoder.encode(texts[i : i + 2_000])
+print(held() - before)
+"""
+    answer = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=120)
+    assert int(answer.stdout) < 50
+
+
+def test_words_give_memory_back_after_each_slice(monkeypatch):
+    given = []
+    monkeypatch.setattr(word_bpe, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["a text"] * 3000)], names=["doc_id", "text"])
+    parts = list(word_bpe._encode(WORDS)(iter([batch])))
+    assert len(given) == len(parts) == 2 and sum(p.num_rows for p in parts) == 3000
+
+
 def test_tokens_side_by_side():
     """What the edges of two tokens tell is what merging their letters gives."""
     merges, rng = word_bpe.WordEncoder(WORDS).merges, random.Random(12)
